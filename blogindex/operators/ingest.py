@@ -123,17 +123,16 @@ def new_versions(pages: DataFrame, statuses: DataFrame) -> DataFrame:
 
 
 def latest_versions(versions: DataFrame, order: list[str]) -> DataFrame:
-    """The last version of each URL and the time of its first one.
+    """The last version of each URL, with the index time of its first one.
 
     The winner is found on narrow columns with map-side reduction; wide rows then meet
     it on the full version key, which no URL can make hot.
     """
-    key = F.struct(*order)
     winners = versions.groupBy("url_hash").agg(
-        F.max(key).alias("_key"), F.min("written_at").alias("indexed_at"))
-    winners = winners.select("url_hash", *[F.col(f"_key.{c}").alias(c) for c in order], "indexed_at")
+        F.max(F.struct(*order)).alias("_key"), F.min("indexed_at").alias("_first"))
+    winners = winners.select("url_hash", *[F.col(f"_key.{c}").alias(c) for c in order], "_first")
     return (versions.join(winners, ["url_hash", *order])
-            .withColumnRenamed("written_at", "updated_at"))
+            .withColumn("indexed_at", F.col("_first")).drop("_first"))
 
 
 def apply_upsert(pages: DataFrame, statuses: DataFrame, current: DataFrame | None, as_of: Column
@@ -144,7 +143,7 @@ def apply_upsert(pages: DataFrame, statuses: DataFrame, current: DataFrame | Non
     replaces give only their first index time to the new row.
     """
     written = latest_versions(
-        new_versions(pages, statuses).withColumn("written_at", as_of), ["seq"])
+        new_versions(pages, statuses).withColumns({"indexed_at": as_of, "updated_at": as_of}), ["seq"])
     columns = [*schemas.STORED_COLUMNS, "indexed_at", "updated_at"]
     if current is None:
         return written.select(*columns)

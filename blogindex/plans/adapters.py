@@ -26,9 +26,8 @@ def raw_pages(spark: SparkSession, root: str) -> DataFrame:
         "page_id", "url", "html", F.lit("text/html").alias("content_type"))
 
 
-def doc_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Documents as crawled pages; spread over the cores when the file is small."""
-    docs = spread(table(spark, root, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+def pages_of_documents(docs: DataFrame) -> DataFrame:
+    """Document rows, of a table or a stream, as crawled pages."""
     lines = F.split("text", "\n")
     none = F.lit(None).cast("string")
     empty = F.expr("cast(array() as array<string>)")
@@ -41,13 +40,30 @@ def doc_pages(spark: SparkSession, root: str) -> DataFrame:
         (F.lit(1704067200) + F.col("doc_id")).alias("created_at"))
 
 
-def recrawls(spark: SparkSession, root: str) -> DataFrame:
-    """The same documents as repeated visits to few addresses."""
-    pages = doc_pages(spark, root)
+def doc_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as crawled pages; spread over the cores when the file is small."""
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang", "source")
+    return pages_of_documents(spread(docs, "doc_id"))
+
+
+def visits_of(pages: DataFrame) -> DataFrame:
+    """The pages as repeated visits to few addresses: seven per source, some at once again."""
     source = F.regexp_extract("location", "^(https://[^/]+)/", 1)
-    moved = pages.withColumn("location", F.concat(source, F.lit("/"), F.col("doc_id") % 7))
-    again = moved.filter("doc_id % 5 = 0").withColumn("seq", F.col("seq") + 0.5)
-    return moved.union(again)
+    twice = F.array(F.lit(0.0), F.lit(0.5))
+    times = F.when(F.col("doc_id") % 5 == 0, twice).otherwise(F.slice(twice, 1, 1))
+    return (pages.withColumn("location", F.concat(source, F.lit("/"), F.col("doc_id") % 7))
+            .withColumn("_later", F.explode(times))
+            .withColumn("seq", F.col("seq") + F.col("_later")).drop("_later"))
+
+
+def recrawls(spark: SparkSession, root: str) -> DataFrame:
+    return visits_of(doc_pages(spark, root))
+
+
+def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The file of a table as a stream."""
+    return (spark.readStream.schema(table(spark, root, name).schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(root))
 
 
 def indexed_docs(spark: SparkSession, root: str) -> DataFrame:

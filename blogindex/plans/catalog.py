@@ -18,6 +18,8 @@ from blogindex.operators import (
 from blogindex.plans import adapters as ad
 from blogindex.session import new_work_dir, work_root
 from blogindex.sources import lists, records, stores
+from blogindex.streaming import jobs
+from blogindex.streaming.store import PageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,3 +703,83 @@ def summary_change(spark, d):
     first = rows.groupBy("domain").agg(F.min("snapshot").alias("snapshot")).groupBy("snapshot").agg(F.count("*").alias("unique_domains"))
     counts = pages.join(first, "snapshot", "left").select("snapshot", "total_pages", F.coalesce("unique_domains", F.lit(0)).alias("unique_domains"))
     return stats.summary_change(stats.running_totals(counts, "snapshot", ["total_pages", "unique_domains"], span=4))
+
+
+# ---- trained classifier and English search
+
+def _trained(spark, d):
+    """(labelled documents, model)."""
+    labels = ad.table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    docs = _doc_tokens(spark, d).join(labels, "doc_id")
+    return docs, classify.train(docs, "doc_id", stop_words=ENGLISH_STOP_WORDS)
+
+
+@query
+def train_classifier(spark, d):
+    """Report of the held-out split."""
+    docs, model = _trained(spark, d)
+    scored = classify.score(classify.split(docs, "doc_id")[1], model, ENGLISH_STOP_WORDS)
+    return classify.classification_report(scored.withColumn("prediction", classify.predict(F.col("p_dev"))))
+
+
+@query
+def classify_pages(spark, d):
+    """All documents scored by the trained model on the serving fields, and routed."""
+    pages = features.page_tokens(ad.doc_pages(spark, d), "doc_id", schemas.SERVE_FIELDS)
+    scored = classify.score(pages, _trained(spark, d)[1], ENGLISH_STOP_WORDS)
+    return routing.route(scored, 0.9).select("doc_id", "p_not", "p_dev", "route")
+
+
+@query
+def search_english(spark, d):
+    return _result_columns(_search(spark, d, config="english"))
+
+
+# ---- streams over the tables
+
+@query
+def stream_admission(spark, d):
+    root = new_work_dir(spark, "admission")
+    shapes = F.array(F.col("url"), F.col("url"), F.concat("url", F.lit("%zz")))
+    items = ad.table_stream(spark, d, "pages").select(
+        F.explode(shapes).alias("location"), (F.col("page_id") % 6).cast("int").alias("retries"))
+    jobs.admission_stream(items, root, f"{root}/checkpoint", lambda s: lists.domain_table(s, ad.BLOCKED),
+                          lambda s: _page_blacklist(s, d)).awaitTermination()
+    return spark.read.parquet(f"{root}/admitted").select("location")
+
+
+@query
+def stream_route(spark, d):
+    """Routes of a stream of documents, scored by a rule on the title, by output."""
+    root = new_work_dir(spark, "route")
+    pages = ad.pages_of_documents(ad.table_stream(spark, d, "documents")).withColumn(
+        "links", F.array("location", F.concat("location", F.lit("/next"))))
+    jobs.routing_stream(pages, root, f"{root}/checkpoint",
+                        lambda df: df.withColumn("p_not", (F.length("title") % 100) / 100.0), 0.8).awaitTermination()
+    outputs = [spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("output"), F.col(col).alias("value"))
+               for name, col in (("index", "location"), ("frontier", "location"), ("blacklist", "domain"))]
+    return outputs[0].union(outputs[1]).union(outputs[2])
+
+
+def _stream_store(spark, d):
+    root = new_work_dir(spark, "store")
+    store = PageStore(spark, root)
+    pages = ad.visits_of(ad.pages_of_documents(ad.table_stream(spark, d, "documents")))
+    jobs.index_stream(pages, store, f"{root}/checkpoint",
+                      now=lambda: dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)).awaitTermination()
+    return store
+
+
+@query
+def stream_index(spark, d):
+    return _stream_store(spark, d).pages().select(
+        "id", "url", "url_hash", "title", "domain", "content_hash",
+        F.col("word_count").cast("bigint").alias("word_count"), "created_at")
+
+
+@query
+def stream_search(spark, d):
+    """Search over the streamed, then compacted, index."""
+    store = _stream_store(spark, d).compact(new_work_dir(spark, "compact"))
+    return store.search(ad.queries(spark, d)).select(
+        "query_id", F.col("position").cast("bigint").alias("position"), "url", F.round("rank", 6).alias("rank"))

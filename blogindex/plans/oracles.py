@@ -436,4 +436,12 @@ ORACLES: dict[str, str] = {
         t AS (SELECT s.snapshot, count(*) AS total_pages, count(DISTINCT r.domain) AS unique_domains FROM s JOIN r ON r.snapshot <= s.snapshot GROUP BY 1)
         SELECT *, greatest(total_pages - lag(total_pages, 1, total_pages) OVER (ORDER BY snapshot), 0) AS total_pages_growth,
             greatest(unique_domains - lag(unique_domains, 1, unique_domains) OVER (ORDER BY snapshot), 0) AS unique_domains_growth FROM t""",
+    "stream_admission": f"""WITH {FRONT}, {BLACK} SELECT DISTINCT location FROM front WHERE retries <= 3
+        AND NOT (copy = 2 AND url NOT LIKE '%?%') AND {HOST} NOT IN (SELECT host FROM black)
+        AND NOT regexp_matches({HOST}, '(^|\\.)(cheap-pills\\.example\\.com|spam-farm\\.example\\.org)$')""",
+    "stream_route": f"""WITH {DOCS}, r AS (SELECT location, source, length(title) % 100 AS p FROM docs)
+        SELECT 'index' AS output, location AS value FROM r WHERE p <= 50
+        UNION ALL SELECT 'frontier', unnest([location, location || '/next']) FROM r WHERE p < 80
+        UNION ALL SELECT DISTINCT 'blacklist', source || '.example.com' FROM r WHERE p >= 80""",
 }
+ORACLES["stream_index"] = ORACLES["apply_upsert"]
