@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blogindex.functions import text as tx
+from blogindex.plans.rows import runs
 
 
 def default_stop_words() -> list[str]:
@@ -50,12 +51,13 @@ def term_counts(docs: DataFrame, key: str, low: int = 1, high: int = 3,
                 stop_words: list[str] | None = None) -> DataFrame:
     """(key, term, tf) over the n-grams of the tokens left after the stop words.
 
-    Partitioned by key, the grouping by (key, term) needs no shuffle of the terms.
+    Terms of a document are counted inside its row, so no term is shuffled.
     """
-    kept = tx.remove_stop_words(F.col("tokens"), stop_words or [])
-    return (docs.select(key, kept.alias("tokens"))
-            .select(key, F.explode(tx.ngrams(F.col("tokens"), low, high)).alias("term"))
-            .groupBy(key, "term").agg(F.count("*").alias("tf")))
+    kept = docs.select(key, tx.remove_stop_words(F.col("tokens"), stop_words or []).alias("tokens"))
+    terms = kept.select(key, F.transform(tx.ngrams(F.col("tokens"), low, high),
+                                         lambda t: F.struct(t.alias("term"))).alias("_terms"))
+    return runs(terms, "_terms", "term", F.size, "tf").select(
+        key, "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 def select_vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = 2, max_df: float = 0.9,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from blogindex.functions import text as tx
 from blogindex.functions.stemming import stem_words
 from blogindex.functions.stopwords import ENGLISH_STOP_WORDS
-from blogindex.plans.sizing import spread
+from blogindex.plans.rows import runs, unnest
 
 # Limits of positions, and field weights.
 MAX_POSITION, MAX_POSITIONS = 16_383, 256
@@ -36,40 +36,37 @@ def lexemes(text: Column, config: str = "simple", stop_words: list[str] | None =
     return F.filter(placed, lambda e: ~e["lexeme"].isin(stop_words)) if stop_words else placed
 
 
-def with_lexemes(df: DataFrame, texts: dict[str, Column], config: str,
-                 stop_words: list[str] | None = None) -> DataFrame:
-    """The frame with one (pos, lexeme) list per named text."""
-    df = df.withColumns({n: lexemes(F.coalesce(t, F.lit("")), config, stop_words)
-                         for n, t in texts.items()})
-    if config == "english":
-        # One Arrow function per text; it stems each distinct word of a batch once.
-        df = df.withColumns({f"_stem_{n}": stem_words(F.transform(F.col(n), lambda e: e["lexeme"]))
-                             for n in texts})
-        df = df.withColumns({
-            n: F.zip_with(F.col(n), F.col(f"_stem_{n}"),
-                          lambda e, s: F.struct(e["pos"].alias("pos"), s.alias("lexeme")))
-            for n in texts}).drop(*[f"_stem_{n}" for n in texts])
-    return df
+def _stemmed(df: DataFrame, entries: str, config: str) -> DataFrame:
+    """The entries with their lexemes stemmed under the 'english' configuration.
+
+    One Arrow call per batch takes all lexemes and stems each distinct one once.
+    """
+    if config != "english":
+        return df
+    stems = stem_words(F.transform(F.col(entries), lambda e: e["lexeme"]))
+    return df.withColumn("_stems", stems).withColumn(
+        entries, F.zip_with(F.col(entries), F.col("_stems"),
+                            lambda e, s: e.withField("lexeme", s))).drop("_stems")
 
 
 def analyze(df: DataFrame, key: str, text: Column, config: str = "simple",
             stop_words: list[str] | None = None) -> DataFrame:
     """(key, pos, lexeme) of a text."""
-    return with_lexemes(df.select(key, text.alias("_text")), {"_l": F.col("_text")}, config, stop_words) \
-        .select(key, F.inline("_l"))
+    placed = df.select(key, lexemes(F.coalesce(text, F.lit("")), config, stop_words).alias("_l"))
+    return _stemmed(placed, "_l", config).transform(lambda d: unnest(d, "_l", key))
 
 
-def document_vectors(pages: DataFrame, key: str = "id", config: str = "simple",
-                     stop_words: list[str] | None = None) -> DataFrame:
-    """(key, lexeme, pos, weight) of the weighted fields, one after the other.
+def _entries(pages: DataFrame, keep: list[str], config: str, stop_words: list[str] | None) -> DataFrame:
+    """The kept columns and _all, the (lexeme, pos, weight) list of the weighted fields.
 
     Each field continues behind the last kept position of those before it. Everything
-    happens inside the row, so no shuffle is needed.
+    happens inside the row. The steps are separate projections because a list used twice
+    in one expression would be computed twice.
     """
     texts = {f"_f{i}": F.array_join(F.col(name), " ") if name in ("headings", "keywords") else F.col(name)
              for i, (name, _) in enumerate(FIELDS)}
-    df = with_lexemes(pages.select(key, *[name for name, _ in FIELDS]), texts, config, stop_words)
-    df = df.select(key, *texts)
+    df = pages.select(*keep, *[lexemes(F.coalesce(t, F.lit("")), config, stop_words).alias(n)
+                               for n, t in texts.items()])
     cap = F.lit(MAX_POSITION)
     df = df.withColumns({
         f"_e{i}": F.coalesce(F.try_element_at(F.col(f"_f{i}"), F.lit(-1))["pos"], F.lit(0))
@@ -85,29 +82,33 @@ def document_vectors(pages: DataFrame, key: str = "id", config: str = "simple",
     for i, (_, weight) in enumerate(FIELDS):
         shifted.append(placed(i, weight, start))
         start = F.least(start + F.col(f"_e{i}"), cap)
-    return df.select(key, F.inline(F.concat(*shifted)))
+    return _stemmed(df.select(*keep, F.concat(*shifted).alias("_all")), "_all", config)
+
+
+def document_vectors(pages: DataFrame, key: str = "id", config: str = "simple",
+                     stop_words: list[str] | None = None) -> DataFrame:
+    """(key, lexeme, pos, weight) of each page's fields; needs no shuffle."""
+    entries = _entries(pages, [key], config, stop_words)
+    return unnest(entries, "_all", key)
 
 
 def build_postings(pages: DataFrame, key: str = "id", config: str = "simple",
                    stop_words: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """(lexeme, key, positions): positions with weight letter, in order, each position once.
+    """(lexeme, key, keep..., positions): positions with weight letter, in order, each once.
 
-    Pages spread by key first; grouping by (key, lexeme) then stays within the task that
-    split the page, so occurrences are never shuffled. A group is part of one page and
-    pages have bounded length. keep names page columns to carry along, such as a version.
+    A page's entries are sorted and cut into runs of one lexeme inside its row, so the
+    postings come out of a map-only plan; only writing them by lexeme shuffles.
     """
-    rest = keep or []
-    source = spread(pages.select(key, *rest, *[n for n, _ in FIELDS]), key)
-    if rest:
-        source = source.withColumn(key, F.struct(key, *rest))
-    vectors = document_vectors(source, key, config, stop_words)
-    grouped = vectors.groupBy(key, "lexeme").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.col("weight").alias("w")))).alias("_all"))
-    once = F.filter("_all", lambda p, i: (i == 0) | (p["pos"] != F.try_element_at("_all", i)["pos"]))
-    out = grouped.select("lexeme", key, F.slice(once, 1, MAX_POSITIONS).alias("positions"))
-    if rest:
-        out = out.select("lexeme", f"{key}.*", "positions")
-    return out
+    columns = [key, *(keep or [])]
+    entries = _entries(pages, columns, config, stop_words)
+
+    def once(run: Column) -> Column:
+        kept = F.filter(run, lambda p, i: (i == 0) | (p["pos"] != F.try_element_at(run, i)["pos"]))
+        return F.slice(kept, 1, MAX_POSITIONS)
+
+    grouped = runs(entries, "_all", "lexeme", lambda run: F.transform(
+        run, lambda e: F.struct(e["pos"].alias("pos"), e["weight"].alias("w"))), "_run")
+    return grouped.select("lexeme", *columns, once(F.col("_run")).alias("positions"))
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
