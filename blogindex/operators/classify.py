@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from blogindex.functions import text as tx
 from blogindex.operators import features as fe
 
+_ROWS_PER_TASK = 2000
+
 
 def training_set(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.withColumn("label", F.lit(1.0)).unionByName(
@@ -73,8 +75,10 @@ def train(docs: DataFrame, key: str, C: float = 1.0, balanced: bool = True,
         data = data.join(F.broadcast(class_weights(fitted)), "label")
     else:
         data = data.withColumn("weight", F.lit(1.0))
-    # Rows of unit weight on average: the weights of balanced classes sum to the row count.
-    total = data.agg(F.sum("weight")).first()[0]
+    size = data.agg(F.sum("weight").alias("weight"), F.count("*").alias("rows")).first()
+    total = size["weight"]
+    # Every iteration is a job: few rows per task would make it all scheduling.
+    data = data.coalesce(-(-size["rows"] // _ROWS_PER_TASK))
     regression = LogisticRegression(
         weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (C * total),
         standardization=False, maxIter=2000, tol=1e-6)
