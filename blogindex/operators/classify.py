@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -57,6 +58,15 @@ def train(docs: DataFrame, key: str, C: float = 1.0, balanced: bool = True,
     that reaches the driver, and its size is bounded.
     """
     stop_words = fe.default_stop_words() if stop_words is None else stop_words
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(docs, key, C, balanced, stop_words, fit_on, vocabulary_size)
+    finally:
+        docs.unpersist()
+
+
+def _fit(docs: DataFrame, key: str, C: float, balanced: bool, stop_words: list[str], fit_on: str,
+         vocabulary_size: int) -> PipelineModel:
     fitted = split(docs, key)[0]
     source = docs if fit_on == "all" else fitted
     n_docs = fe.document_count(source)
@@ -76,13 +86,18 @@ def train(docs: DataFrame, key: str, C: float = 1.0, balanced: bool = True,
     else:
         data = data.withColumn("weight", F.lit(1.0))
     size = data.agg(F.sum("weight").alias("weight"), F.count("*").alias("rows")).first()
-    total = size["weight"]
-    # Every iteration is a job: few rows per task would make it all scheduling.
-    data = data.coalesce(-(-size["rows"] // _ROWS_PER_TASK))
-    regression = LogisticRegression(
-        weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (C * total),
-        standardization=False, maxIter=2000, tol=1e-6)
-    return Pipeline(stages=[counter, scale, unit, regression]).fit(data)
+    prepared = PipelineModel(stages=[counter, scale, unit])
+    # Every iteration is a job over these rows: keep the finished vectors, and enough of
+    # them per task that an iteration is not all scheduling.
+    vectors = prepared.transform(data).select("label", "weight", "features") \
+        .coalesce(-(-size["rows"] // _ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        regression = LogisticRegression(
+            weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (C * size["weight"]),
+            standardization=False, maxIter=2000, tol=1e-6).fit(vectors)
+    finally:
+        vectors.unpersist()
+    return PipelineModel(stages=[counter, scale, unit, regression])
 
 
 def score(docs: DataFrame, model: PipelineModel, stop_words: list[str] | None = None) -> DataFrame:

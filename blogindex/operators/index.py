@@ -111,12 +111,16 @@ def build_postings(pages: DataFrame, key: str = "id", config: str = "simple",
     return grouped.select("lexeme", *columns, once(F.col("_run")).alias("positions"))
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Sorted by lexeme across files, so a lookup skips most row groups.
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Map-only write: each file is sorted by lexeme, so a lookup skips most row groups."""
+    order = ["lexeme", *[c for c in postings.columns if c not in ("lexeme", "positions")]]
+    postings.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def cluster_postings(postings: DataFrame, path: str) -> None:
+    """Write sorted across files as well; for stored postings, since ranges need a sampling pass.
 
     Ranges include the page, so a lexeme found on very many pages spans several files.
     """
     order = ["lexeme", *[c for c in postings.columns if c not in ("lexeme", "positions")]]
-    ranged = postings.repartitionByRange(partitions, *order) if partitions \
-        else postings.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    write_postings(postings.repartitionByRange(*order), path)

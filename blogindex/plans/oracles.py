@@ -445,3 +445,12 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'blacklist', source || '.example.com' FROM r WHERE p >= 80""",
 }
 ORACLES["stream_index"] = ORACLES["apply_upsert"]
+
+# Search over the visits' final table: the same SQL with that table for the documents.
+_VISITED = f"""{VISITS}, idx AS (
+  SELECT h.url, h.title, h.body AS content, [d.lang, d.source] AS keywords, h.created_at
+  FROM hashed h JOIN docs d ON d.doc_id = floor(h.seq)
+  JOIN (SELECT url_hash, max(seq) AS seq FROM judged WHERE status <> 'skipped' GROUP BY url_hash) USING (url_hash, seq))"""
+ORACLES["stream_search"] = f"WITH {RANKED.replace(IDX, _VISITED)}" + """
+  SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, created_at DESC, url) AS position,
+                        url, round(rank, 6) AS rank FROM ranked JOIN idx USING (url)) WHERE position <= 10"""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from blogindex import schemas
 from blogindex.operators import index, ingest, search, stats
+from blogindex.plans.sizing import spread
 
 _VERSION = ["batch_id", "seq"]
 
@@ -72,27 +73,25 @@ class PageStore:
     def write_batch(self, batch: DataFrame, batch_id: int, as_of: Column, ms: Column | None = None,
                     settings=ingest.DEFAULTS) -> None:
         """Validate, decide, and append one batch of pages (PAGE columns and seq)."""
-        valid = ingest.validate(batch, settings).persist()
+        valid = ingest.validate(spread(batch, "location"), settings).persist()
+        statuses = ingest.full_status(valid, self.current_hashes(before=batch_id)).persist()
         try:
-            statuses = ingest.full_status(valid, self.current_hashes(before=batch_id))
             pages = ingest.indexed_page(valid, as_of, settings.created_at_unit)
             changed = ingest.new_versions(pages, statuses).select(
                 "seq", *schemas.STORED_COLUMNS, as_of.alias("indexed_at"), as_of.alias("updated_at"))
             changed.write.mode("overwrite").parquet(self._path("versions", batch_id))
             written = self.spark.read.schema(changed.schema).parquet(self._path("versions", batch_id)) \
                 .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            self._write_postings(written, batch_id)
+            keyed = spread(written, "id").withColumn("id", _version_id())
+            index.write_postings(index.build_postings(keyed, "id", self.config, self.stop_words),
+                                 self._path("postings", batch_id))
             counts = stats.batch_counts(statuses).withColumns({
                 "date": F.to_date(as_of), "ms": (F.lit(None) if ms is None else ms).cast("decimal(10,2)")})
             counts.write.mode("overwrite").parquet(self._path("counts", batch_id))
         finally:
+            statuses.unpersist()
             valid.unpersist()
 
-    def _write_postings(self, versions: DataFrame, batch_id: int) -> None:
-        keyed = versions.withColumn("id", _version_id())
-        index.write_postings(index.build_postings(keyed, "id", self.config, self.stop_words),
-                             self._path("postings", batch_id))
-
     def daily_stats(self) -> DataFrame | None:
         """Derived from the batch rows, so a repeated batch counts once."""
         counts = self.counts()
@@ -110,17 +109,21 @@ class PageStore:
         return found.withColumn("id", F.substring("id", 1, 36))
 
     def compact(self, target: str) -> PageStore:
-        """Write the current table as one batch of a new store, postings sorted as a whole."""
-        pages, counts = self.pages(), self.counts()
-        if pages is None or counts is None:
+        """Write the current table as one batch of a new store.
+
+        Postings are not built anew: those of current versions are kept and sorted as a
+        whole. Versions keep the batch they came from, which their postings refer to.
+        """
+        pages, postings, counts = self.pages(), self.postings(), self.counts()
+        if pages is None or postings is None or counts is None:
             raise ValueError(f"nothing is indexed in {self.root}")
-        last = counts.agg(F.max("batch_id")).first()[0]
         new = PageStore(self.spark, target, self.config, self.stop_words)
-        pages.drop("batch_id").repartitionByRange("url_hash").sortWithinPartitions("domain", "created_at") \
-            .write.mode("overwrite").parquet(new._path("versions", last))
-        written = self.spark.read.parquet(new._path("versions", last)) \
-            .withColumn("batch_id", F.lit(last).cast("bigint"))
-        new._write_postings(written, last)
+        pages.repartition("batch_id", F.pmod(F.xxhash64("url_hash"), F.lit(64))) \
+            .sortWithinPartitions("batch_id", "domain", "created_at") \
+            .write.mode("overwrite").partitionBy("batch_id").parquet(new._path("versions"))
+        live = postings.drop("batch_id").join(pages.select(_version_id().alias("id")), "id", "left_semi")
+        last = counts.agg(F.max("batch_id")).first()[0]
+        index.cluster_postings(live.select("lexeme", "id", "positions"), new._path("postings", last))
         counts.write.mode("overwrite").partitionBy("batch_id").parquet(new._path("counts"))
         return new
 
