@@ -80,24 +80,23 @@ def clean_path(path: Column) -> Column:
         .otherwise(plain)
 
 
-def _parts(url: Column) -> dict[str, Column]:
-    """Origin, path, query (with ?) and fragment (with #) of a URL with an authority."""
+def url_parts(url: Column) -> dict[str, Column]:
+    """Origin, path, query (with ?) and fragment (with #) of a URL with an authority, and its scheme."""
     pattern = rf"(?s)^((?:{_SCHEME}:)?//[^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
     names = ["origin", "path", "query", "fragment"]
-    return {n: F.regexp_extract(url, pattern, i + 1) for i, n in enumerate(names)}
+    parts = {n: F.regexp_extract(url, pattern, i + 1) for i, n in enumerate(names)}
+    return {**parts, "scheme": F.regexp_extract(url, rf"^({_SCHEME}:)?//", 1)}
 
 
 def _absolute(link: Column) -> Column:
     """Written form of a link that has a host: lower-case scheme, encoded path."""
-    p = _parts(link)
-    scheme = F.regexp_extract(link, rf"^({_SCHEME}:)?//", 1)
-    rest = F.substring(p["origin"], F.length(scheme) + 1, F.length(p["origin"]))
-    return F.concat(F.lower(scheme), rest, encode_path(p["path"]), p["query"], p["fragment"])
+    p = url_parts(link)
+    rest = F.substring(p["origin"], F.length(p["scheme"]) + 1, F.length(p["origin"]))
+    return F.concat(F.lower(p["scheme"]), rest, encode_path(p["path"]), p["query"], p["fragment"])
 
 
-def _appended(base: Column, link: Column) -> Column:
+def _appended(p: dict[str, Column], link: Column) -> Column:
     """The link appended to the page's own path; the page keeps query and fragment."""
-    p = _parts(base)
     joined = F.concat(F.lit("/"), p["path"],
                       F.when(link == "", "").otherwise(F.concat(F.lit("/"), link)))
     path = clean_path(joined)
@@ -107,9 +106,8 @@ def _appended(base: Column, link: Column) -> Column:
     return F.concat(p["origin"], encode_path(path), p["query"], p["fragment"])
 
 
-def _resolved(base: Column, link: Column) -> Column:
+def _resolved(p: dict[str, Column], link: Column) -> Column:
     """Reference resolution after RFC 3986."""
-    p = _parts(base)
     pattern = r"(?s)^([^?#]*)(\?[^#]*)?(#.*)?$"
     path, query, fragment = (F.regexp_extract(link, pattern, i) for i in (1, 2, 3))
     folder = F.regexp_extract(p["path"], r"^(.*/)", 1)
@@ -125,23 +123,25 @@ def _resolved(base: Column, link: Column) -> Column:
         F.concat(p["origin"], encode_path(full_path), full_query, fragment))
 
 
-def normalize_link(base: Column, href: Column, mode: str = "append") -> Column:
+def normalize_link(base: Column | dict[str, Column], href: Column, mode: str = "append") -> Column:
     """Written form of a page link; null when the link does not parse.
 
-    'append' joins a host-less link to the whole page path, 'rfc3986' resolves it.
+    'append' joins a host-less link to the whole page path, 'rfc3986' resolves it. For
+    many links of one page, base may be url_parts() of its address held in columns.
     """
     if mode not in ("append", "rfc3986"):
         raise ValueError(f"unknown link mode: {mode}")
+    parts = base if isinstance(base, dict) else url_parts(base)
     link = F.regexp_replace(href, r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+\z", "")
-    relative = _appended(base, link) if mode == "append" else _resolved(base, link)
-    if mode == "rfc3986":
-        scheme = F.regexp_extract(base, rf"^({_SCHEME}:)", 1)
-        hosted = F.when(link.startswith("//"), F.concat(scheme, _absolute(link))) \
-            .otherwise(_absolute(link))
+    if mode == "append":
+        relative, hosted = _appended(parts, link), _absolute(link)
     else:
-        hosted = _absolute(link)
-    return F.when(~parses(link), F.lit(None)) \
-        .when(hostname(link) != "", hosted).otherwise(relative)
+        relative = _resolved(parts, link)
+        hosted = F.when(link.startswith("//"), F.concat(parts["scheme"], _absolute(link))) \
+            .otherwise(_absolute(link))
+    # Most links are a path or start with a web scheme: only those with // can have a host.
+    has_host = link.contains("//") & (hostname(link) != "")
+    return F.when(~parses(link), F.lit(None)).when(has_host, hosted).otherwise(relative)
 
 
 def host_suffixes(host: Column) -> Column:

@@ -38,9 +38,8 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, weight): n / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
+    even = counts.agg(F.sum("_n") / F.count("*")).scalar()
+    return counts.select(label, (even / F.col("_n")).alias("weight"))
 
 
 def _with_ngrams(docs: DataFrame, stop_words: list[str]) -> DataFrame:

@@ -147,15 +147,16 @@ def raw_fields(html: pd.Series) -> pd.DataFrame:
 def extract_pages(df: DataFrame, mode: str = "append") -> DataFrame:
     """Crawled pages of documents (page_id, url, html), other columns kept."""
     keep = [c for c in df.columns if c not in ("url", "html")]
-    base = F.col("url")
+    base = urls.url_parts(F.col("url"))
 
     def links(name: str):
-        written = F.transform(F.col(name), lambda h: urls.normalize_link(base, h, mode))
+        written = F.transform(F.col(name), lambda h: urls.normalize_link(
+            {p: F.col("_base")[p] for p in base}, h, mode))
         return F.filter(written, lambda u: u.isNotNull())
 
     return (spread(df, "url")
             .select(*keep, "url", raw_fields("html").alias("_f"))
-            .select(*keep, "url", "_f.*")
+            .select(*keep, "url", "_f.*", F.struct(*[v.alias(p) for p, v in base.items()]).alias("_base"))
             .select(*keep, "title", "description", "author", "keywords", "headings", "content",
                     links("hrefs").alias("links"), links("srcs").alias("script_links"),
-                    "script_content", base.alias("location")))
+                    "script_content", F.col("url").alias("location")))

@@ -68,8 +68,8 @@ def select_vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = 2, max
     """
     totals = counts.groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total"))
-    return (totals.crossJoin(F.broadcast(n_docs.select("n")))
-            .filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df))
+    n = n_docs.select("n").scalar()
+    return (totals.filter((F.col("df") >= min_df) & (F.col("df") <= n * max_df))
             .orderBy(F.desc("total"), "term").limit(size)
             .select("term", "df", "total"))
 
@@ -80,8 +80,8 @@ def document_count(docs: DataFrame) -> DataFrame:
 
 def idf(vocabulary: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, idf): ln((1+n)/(1+df)) + 1."""
-    weight = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
-    return vocabulary.crossJoin(F.broadcast(n_docs.select("n"))).select("term", weight.alias("idf"))
+    n = n_docs.select("n").scalar()
+    return vocabulary.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: DataFrame, key: str) -> DataFrame:

@@ -82,12 +82,11 @@ def queries(spark: SparkSession, root: str) -> DataFrame:
 def linked_docs(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, location, links): document i links to 2i+1 and 2i+2, modulo their number."""
     docs = table(spark, root, "documents").select("doc_id", "source", "lang")
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.agg(F.count("*")).scalar()
     where = F.format_string("https://%s.example.com/%s/%d", "source", "lang", "doc_id")
     named = docs.select("doc_id", where.alias("location"))
-    targets = docs.crossJoin(F.broadcast(n)).select(
-        "doc_id", F.posexplode(F.array((2 * F.col("doc_id") + 1) % F.col("n"),
-                                       (2 * F.col("doc_id") + 2) % F.col("n"))).alias("pos", "target"))
+    targets = docs.select("doc_id", F.posexplode(F.array(
+        (2 * F.col("doc_id") + 1) % n, (2 * F.col("doc_id") + 2) % n)).alias("pos", "target"))
     links = targets.join(named.select(F.col("doc_id").alias("target"), F.col("location").alias("link")), "target") \
         .groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "link"))),
                                            lambda s: s["link"]).alias("links"))
