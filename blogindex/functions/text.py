@@ -34,6 +34,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({_ASCII_WORD})"), F.lit(1))
 
 
+def has_tokens(text: Column) -> Column:
+    return F.lower(text).rlike(_ASCII_WORD)
+
+
 def remove_stop_words(toks: Column, stop_words: list[str]) -> Column:
     return F.filter(toks, lambda t: ~t.isin(stop_words)) if stop_words else toks
 
@@ -43,9 +47,9 @@ def ngrams(toks: Column, low: int = 1, high: int = 3) -> Column:
     def of_size(n: int) -> Column:
         if n == 1:
             return toks
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))) \
-            .otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+        starts = F.slice(toks, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda t, i: F.concat(
+            t, *[x for k in range(1, n) for x in (F.lit(" "), F.get(toks, i + k))]))
 
     return F.concat(*[of_size(n) for n in range(low, high + 1)])
 

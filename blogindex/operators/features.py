@@ -19,7 +19,9 @@ def page_tokens(df: DataFrame, key: str, fields: list[str], text_col: str | None
                 ) -> DataFrame:
     """(key, tokens): classifier tokens of the page text; pages without any are dropped."""
     source = F.col(text_col) if text_col else tx.page_text(fields)
-    return df.select(key, tx.tokens(source).alias("tokens")).filter(F.size("tokens") > 0)
+    # A match test stops at the first token; a filter on the list would be pushed below
+    # the projection and make the whole list twice.
+    return df.filter(tx.has_tokens(source)).select(key, tx.tokens(source).alias("tokens"))
 
 
 def filter_dictionary(docs: DataFrame, words: DataFrame, key: str) -> DataFrame:
