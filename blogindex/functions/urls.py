@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*"
-_AUTHORITY = rf"^(?:{_SCHEME}:)?//([^/?#]*)"
-_DOT_SEGMENT = r"(^|/)\.{1,2}(/|$)"
+SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*"
+AUTHORITY = rf"^(?:{SCHEME}:)?//([^/?#]*)"
+DOT_SEGMENT = r"(^|/)\.{1,2}(/|$)"
 # Characters a URL path may carry as they are.
-_PATH_OK = r"^(?:[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]]|%[0-9A-Fa-f]{2})*$"
+PATH_OK = r"^(?:[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]]|%[0-9A-Fa-f]{2})*$"
 # Characters that form encoding escapes but a URL path keeps.
-_PATH_KEEPS = {
+PATH_KEEPS = {
     "%2F": "/", "%7E": "~", "%24": "$", "%26": "&", "%2B": "+",
     "%2C": ",", "%3A": ":", "%3B": ";", "%3D": "=", "%40": "@",
 }
@@ -19,13 +19,13 @@ _PATH_KEEPS = {
 
 def netloc(url: Column) -> Column:
     """Authority with user info and port; '' without one."""
-    return F.regexp_extract(url, rf"^{_SCHEME}://([^/?#]*)", 1)
+    return F.regexp_extract(url, rf"^{SCHEME}://([^/?#]*)", 1)
 
 
 def hostname(url: Column) -> Column:
     """Host without user info, port or brackets, in its own case."""
     host = F.regexp_extract(
-        F.regexp_extract(url, _AUTHORITY, 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
+        F.regexp_extract(url, AUTHORITY, 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
     return F.regexp_replace(host, r"[\[\]]", "")
 
 
@@ -41,13 +41,13 @@ def valid_location(url: Column) -> Column:
 def parses(url: Column) -> Column:
     """Whether a strict URL parser takes the string."""
     before_query = F.regexp_replace(url, r"\?[^#]*", "")
-    authority = F.regexp_extract(url, _AUTHORITY, 1)
+    authority = F.regexp_extract(url, AUTHORITY, 1)
     return (
         url.isNotNull()
         & ~url.rlike(r"[\x00-\x1f\x7f]")
         & ~url.startswith(":")
         & ~before_query.rlike(r"%(?![0-9A-Fa-f]{2})")
-        & ~url.rlike(rf"^(?!{_SCHEME}:)[^/?#]*:")
+        & ~url.rlike(rf"^(?!{SCHEME}:)[^/?#]*:")
         & ~authority.rlike(r'[ <>"^`{}|\\]')
         & ~authority.rlike(r":[^@\]]*[^0-9@\]:][^@\]]*$")
     )
@@ -57,14 +57,14 @@ def _percent_encode(path: Column) -> Column:
     """Decode, then encode everything a path may not hold."""
     plain = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
     out = F.regexp_replace(F.regexp_replace(F.url_encode(plain), r"\+", "%20"), r"\*", "%2A")
-    for escape, char in _PATH_KEEPS.items():
+    for escape, char in PATH_KEEPS.items():
         out = F.replace(out, F.lit(escape), F.lit(char))
     return out
 
 
 def encode_path(path: Column) -> Column:
     """Keep a valid path as written; percent-encode any other as a whole."""
-    return F.when(path.rlike(_PATH_OK), path).otherwise(_percent_encode(path))
+    return F.when(path.rlike(PATH_OK), path).otherwise(_percent_encode(path))
 
 
 def clean_path(path: Column) -> Column:
@@ -76,16 +76,16 @@ def clean_path(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
     folded = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
     plain = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "(?<=.)/$", "")
-    return F.when(path.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(folded, "/"))) \
+    return F.when(path.rlike(DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(folded, "/"))) \
         .otherwise(plain)
 
 
 def url_parts(url: Column) -> dict[str, Column]:
     """Origin, path, query (with ?) and fragment (with #) of a URL with an authority, and its scheme."""
-    pattern = rf"(?s)^((?:{_SCHEME}:)?//[^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+    pattern = rf"(?s)^((?:{SCHEME}:)?//[^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
     names = ["origin", "path", "query", "fragment"]
     parts = {n: F.regexp_extract(url, pattern, i + 1) for i, n in enumerate(names)}
-    return {**parts, "scheme": F.regexp_extract(url, rf"^({_SCHEME}:)?//", 1)}
+    return {**parts, "scheme": F.regexp_extract(url, rf"^({SCHEME}:)?//", 1)}
 
 
 def _absolute(link: Column) -> Column:
@@ -118,7 +118,7 @@ def _resolved(p: dict[str, Column], link: Column) -> Column:
     cleaned = F.when(keep_slash, F.concat(cleaned, F.lit("/"))).otherwise(cleaned)
     full_path = F.when(path == "", p["path"]).otherwise(cleaned)
     full_query = F.when((path == "") & (query == ""), p["query"]).otherwise(query)
-    own_scheme = link.rlike(rf"^{_SCHEME}:")
+    own_scheme = link.rlike(rf"^{SCHEME}:")
     return F.when(own_scheme, link).otherwise(
         F.concat(p["origin"], encode_path(full_path), full_query, fragment))
 

@@ -18,7 +18,7 @@ def result_cards(results: DataFrame, *keep: str) -> DataFrame:
         *keep, "url", _filled("domain", urls.hostname(F.col("url"))).alias("domain"),
         _filled("title", F.lit("Untitled")).alias("title"),
         _filled("description", F.col("content_summary")).alias("description"),
-        F.to_date(F.timestamp_seconds("created_at")).alias("created"),
+        F.date_from_unix_date(F.floor(F.col("created_at") / 86400).cast("int")).alias("created"),
         "word_count", F.round("rank", 3).alias("score"))
 
 

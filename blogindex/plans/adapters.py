@@ -10,7 +10,7 @@ from blogindex.operators import ingest, stats
 from blogindex.plans.sizing import spread
 
 BLOCKED = ["cheap-pills.example.com", "spam-farm.example.org"]
-AS_OF = "2024-02-01 00:00:00"
+AS_OF = "2024-02-01 00:00:00Z"
 
 
 def as_of() -> Column:

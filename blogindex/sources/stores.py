@@ -10,17 +10,16 @@ from blogindex.functions import urls
 from blogindex.functions.ids import uuid_from_hash
 
 
-def page_json(df: DataFrame) -> DataFrame:
+def page_json(df: DataFrame, created_at_unit: str = "s") -> DataFrame:
     """(value): one JSON text per page, all fields present, created_at in milliseconds."""
-    created = F.when(F.col("created_at") < 100_000_000_000, F.col("created_at") * 1000) \
-        .otherwise(F.col("created_at")).alias("created_at")
+    created = (F.col("created_at") * (1000 if created_at_unit == "s" else 1)).alias("created_at")
     record = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in schemas.TEXT_COLUMNS
                         else F.col(c) for c in schemas.PAGE_COLUMNS[:-1]], created)
     return df.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_pages_json(df: DataFrame, path: str) -> None:
-    page_json(df).write.mode("append").text(path)
+def write_pages_json(df: DataFrame, path: str, created_at_unit: str = "s") -> None:
+    page_json(df, created_at_unit).write.mode("append").text(path)
 
 
 def store_pages(df: DataFrame, root: str, files_per_host: int = 8) -> None:

@@ -84,7 +84,7 @@ def index_stream(pages: DataFrame, store: PageStore, checkpoint: str, once: bool
     def work(batch: DataFrame, batch_id: int) -> None:
         begun = time.monotonic()
         ready = batch.select(*schemas.PAGE_COLUMNS, "seq")
-        spent = F.lit(round((time.monotonic() - begun) * 1000, 2))
-        store.write_batch(ready, batch_id, F.lit(now()).cast("timestamp"), spent)
+        store.write_batch(ready, batch_id, F.lit(now()).cast("timestamp"),
+                          lambda: round((time.monotonic() - begun) * 1000, 2))
 
     return _start(pages, checkpoint, once, work)

@@ -10,6 +10,8 @@ so it gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +72,12 @@ class PageStore:
     def postings(self) -> DataFrame | None:
         return self._committed("postings")
 
-    def write_batch(self, batch: DataFrame, batch_id: int, as_of: Column, ms: Column | None = None,
-                    settings=ingest.DEFAULTS) -> None:
-        """Validate, decide, and append one batch of pages (PAGE columns and seq)."""
+    def write_batch(self, batch: DataFrame, batch_id: int, as_of: Column,
+                    elapsed_ms: Callable[[], float] | None = None, settings=ingest.DEFAULTS) -> None:
+        """Validate, decide, and append one batch of pages (PAGE columns and seq).
+
+        elapsed_ms tells the time spent so far, when the counts are about to be written.
+        """
         valid = ingest.validate(spread(batch, "location"), settings).persist()
         statuses = ingest.full_status(valid, self.current_hashes(before=batch_id)).persist()
         try:
@@ -86,7 +91,7 @@ class PageStore:
             index.write_postings(index.build_postings(keyed, "id", self.config, self.stop_words),
                                  self._path("postings", batch_id))
             counts = stats.batch_counts(statuses).withColumns({
-                "date": F.to_date(as_of), "ms": (F.lit(None) if ms is None else ms).cast("decimal(10,2)")})
+                "date": F.to_date(as_of), "ms": F.lit(elapsed_ms() if elapsed_ms else None).cast("decimal(10,2)")})
             counts.write.mode("overwrite").parquet(self._path("counts", batch_id))
         finally:
             statuses.unpersist()

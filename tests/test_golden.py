@@ -71,6 +71,8 @@ def test_links(spark):
     }
     got = values(spark, urls.normalize_link(F.lit(base), F.col("x")), list(cases))
     assert got == list(cases.values())
+    register_functions(spark)
+    assert values(spark, F.expr(f"normalize_link('{base}', x)"), list(cases)) == list(cases.values())
     resolved = {
         "/c": "https://h.org/c", "../c": "https://h.org/c", "c/": "https://h.org/a/c/", "": "https://h.org/a/b?q=1",
         "#t": "https://h.org/a/b?q=1#t", "?p=2": "https://h.org/a/b?p=2", "//o.org/j": "https://o.org/j", "..": "https://h.org/",
