@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from blogindex.functions import urls
-from blogindex.plans.sizing import spread
 
 # Tags whose text is content, headings, and tags that hold raw text.
 CONTENT_TAGS = frozenset((
@@ -154,8 +153,7 @@ def extract_pages(df: DataFrame, mode: str = "append") -> DataFrame:
             {p: F.col("_base")[p] for p in base}, h, mode))
         return F.filter(written, lambda u: u.isNotNull())
 
-    return (spread(df, "url")
-            .select(*keep, "url", raw_fields("html").alias("_f"))
+    return (df.select(*keep, "url", raw_fields("html").alias("_f"))
             .select(*keep, "url", "_f.*", F.struct(*[v.alias(p) for p, v in base.items()]).alias("_base"))
             .select(*keep, "title", "description", "author", "keywords", "headings", "content",
                     links("hrefs").alias("links"), links("srcs").alias("script_links"),

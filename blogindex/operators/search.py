@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blogindex.functions import text as tx
-from blogindex.operators.index import analyze
+from blogindex.operators.index import WEIGHTS, analyze
 
-# Twice the reciprocal of each field weight, which is a whole number.
-_TWICE_INVERSE = {"A": 2, "B": 5, "C": 10, "D": 20}
+# Twice the reciprocal of each field weight is a whole number, so its sums are exact.
+_TWICE_INVERSE = {letter: round(2 / weight) for letter, weight in WEIGHTS.items()}
 
 
 def parse_queries(queries: DataFrame, config: str = "simple", stop_words: list[str] | None = None

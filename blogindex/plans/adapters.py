@@ -22,8 +22,8 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "pages").select(
-        "page_id", "url", "html", F.lit("text/html").alias("content_type"))
+    pages = table(spark, root, "pages").select("page_id", "url", "html")
+    return spread(pages, "page_id").withColumn("content_type", F.lit("text/html"))
 
 
 def pages_of_documents(docs: DataFrame) -> DataFrame:

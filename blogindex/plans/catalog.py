@@ -765,7 +765,7 @@ def _stream_store(spark, d):
     root = new_work_dir(spark, "store")
     store = PageStore(spark, root)
     pages = ad.visits_of(ad.pages_of_documents(ad.table_stream(spark, d, "documents")))
-    jobs.index_stream(pages, store, f"{root}/checkpoint",
+    jobs.index_stream(pages, store, f"{root}/checkpoint", partitions=spark.sparkContext.defaultParallelism,
                       now=lambda: dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)).awaitTermination()
     return store
 

@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by key when the input has fewer tasks than there are cores.
 
-    A large scan already has more, and is left alone: it needs no shuffle.
+    A large scan already has more, and is left alone: it needs no shuffle. For scans only:
+    counting the tasks of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast after a count that stops at max_rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def chunk_of(seq: Column, span: int) -> Column:
     """Number of the run of arrival numbers a row belongs to.
 

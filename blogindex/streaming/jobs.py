@@ -79,11 +79,17 @@ def routing_stream(pages: DataFrame, out: str, checkpoint: str, score: Callable[
 
 
 def index_stream(pages: DataFrame, store: PageStore, checkpoint: str, once: bool = True,
+                 partitions: int | None = None,
                  now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)) -> StreamingQuery:
-    """Validate and upsert micro-batches of pages (PAGE columns and seq) into the store."""
+    """Validate and upsert micro-batches of pages (PAGE columns and seq) into the store.
+
+    partitions spreads a micro-batch by address when its few files would make few tasks.
+    """
     def work(batch: DataFrame, batch_id: int) -> None:
         begun = time.monotonic()
         ready = batch.select(*schemas.PAGE_COLUMNS, "seq")
+        if partitions:
+            ready = ready.repartition(partitions, "location", "seq")
         store.write_batch(ready, batch_id, F.lit(now()).cast("timestamp"),
                           lambda: round((time.monotonic() - begun) * 1000, 2))
 

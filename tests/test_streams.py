@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,12 @@ from tests.conftest import DATA
 NOW = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 
 
+def _write(path, number, text):
+    """A file whose time tells its place: a stream takes older files first."""
+    path.write_text(text)
+    os.utime(path, (1_700_000_000 + 60 * number,) * 2)
+
+
 def _write_parts(df, path, parts):
     """One file per part, in order of seq."""
     rows = [json.loads(r) for r in df.orderBy("seq").toJSON().collect()]
@@ -23,7 +30,7 @@ def _write_parts(df, path, parts):
     path.mkdir()
     for i in range(parts):
         text = "\n".join(json.dumps({**r, "seq": n}) for n, r in list(enumerate(rows))[i * step:(i + 1) * step])
-        (path / f"{i}.json").write_text(text)
+        _write(path / f"{i}.json", i, text)
 
 
 def test_index_stream(spark, tmp_path):
@@ -64,7 +71,7 @@ def test_admission_stream(spark, tmp_path):
     parts = [[("http://a.org/", 0), ("http://b.org/", 4), ("http://a.org/", 1)], [("http://a.org/", 0), ("http://b.org/", 0), ("http://x.bad.org/", 0)],
              [("http://c.org/", 0), (":no", 0)]]
     for i, part in enumerate(parts):
-        (src / f"{i}.json").write_text("\n".join(json.dumps({"location": u, "retries": r, "seq": 0}) for u, r in part))
+        _write(src / f"{i}.json", i, "\n".join(json.dumps({"location": u, "retries": r, "seq": 0}) for u, r in part))
     stream = records.stream_frontier(spark, str(src), max_files=1)
     jobs.admission_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda s: lists.domain_table(s, ["bad.org"]),
                           lambda s: s.createDataFrame([("c.org",)], "domain STRING")).awaitTermination()
