@@ -20,11 +20,21 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from blogindex.llm.fingerprints import fingerprint_documents
+    return fingerprint_documents(_documents(spark, folder))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from blogindex.llm.sharding import shard_documents
     return shard_documents(_documents(spark, folder))
 
 
+def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from blogindex.llm.pieces import encode_decode
+    return encode_decode(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     from blogindex.llm.packing import pack_documents
     return pack_documents(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
@@ -35,6 +45,6 @@ def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_round_trip(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_sharding, op9_packing, op10_token_output)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_fingerprints, op7_sharding, op8_pieces, op9_packing, op10_token_output)}
 
 ORACLES: dict[str, str] = {}

@@ -110,10 +110,18 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each item (descending sizes) under the least capacity found that needs no more shards."""
+    """Shard of each item (descending sizes) under the least capacity found that needs no more shards.
+
+    Items larger than an even share of what is left have a shard of their own and do not
+    count for the capacity of the others.
+    """
     if not sizes:
         return []
-    low = max(-(-sum(sizes) // shards), sizes[0])
+    rest, alone = sum(sizes), 0
+    while alone < min(shards - 1, len(sizes)) and sizes[alone] * (shards - alone) > rest:
+        rest -= sizes[alone]
+        alone += 1
+    low = max(1, -(-rest // (shards - alone)))
     high = low
     best = best_fit_decreasing(sizes, high)
     step = max(1, low // 4096)
