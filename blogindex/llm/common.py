@@ -25,10 +25,11 @@ def as_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
-def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes | None]]]:
-    """The first two columns of each Arrow batch as lists."""
+def text_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[list, ...]]:
+    """The columns of Arrow batches as lists, so few rows at a time that their words fit as well."""
     for batch in batches:
-        yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(0, batch.num_rows, rows):
+            yield tuple(c.to_pylist() for c in batch.slice(i, rows).columns)
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:

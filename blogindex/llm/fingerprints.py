@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blogindex.llm.common import as_bytes, block_starts, in_blocks, rows_of, words
+from blogindex.llm.common import as_bytes, block_starts, in_blocks, rows_of, text_rows, words
 
 SAMPLES = 64
 # Documents, and bytes of text, that are fingerprinted together.
@@ -156,7 +156,6 @@ def fingerprint_documents(docs: DataFrame, block_rows: int = 4096) -> DataFrame:
     blocks = in_blocks(keyed, "doc_id", block_starts(docs, "doc_id", block_rows), and_next=True)
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
-        yield from _block_rows(rows)
+        yield from _block_rows(row for some in text_rows(batches) for row in zip(*some))
 
     return blocks.mapInArrow(run, _DDL)

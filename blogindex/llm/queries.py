@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blogindex.llm.common import table
+from blogindex.llm.jaccard import component_sql
+from blogindex.llm.rules import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,21 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from blogindex.llm.rules import quality_rules
+    return quality_rules(_documents(spark, folder))
+
+
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from blogindex.llm.jaccard import jaccard_components
+    return jaccard_components(_documents(spark, folder), n=4, percent=85)
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from blogindex.llm.quality import quality_scores
+    return quality_scores(_documents(spark, folder), table(spark, folder, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from blogindex.llm.fingerprints import fingerprint_documents
     return fingerprint_documents(_documents(spark, folder))
@@ -45,6 +62,7 @@ def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_round_trip(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_fingerprints, op7_sharding, op8_pieces, op9_packing, op10_token_output)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_quality_rules, op4_jaccard, op5_quality, op6_fingerprints, op7_sharding, op8_pieces, op9_packing, op10_token_output)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op4_jaccard": component_sql(4, 85)}
