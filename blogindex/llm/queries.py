@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blogindex.llm.common import table
 from blogindex.llm.jaccard import component_sql
+from blogindex.llm.licenses import licence_sql
 from blogindex.llm.rules import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder))
 
 
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from blogindex.llm.licenses import document_files, scan_licences
+    return scan_licences(document_files(_documents(spark, folder)))
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     from blogindex.llm.jaccard import jaccard_components
     return jaccard_components(_documents(spark, folder), n=4, percent=85)
@@ -63,6 +69,8 @@ def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_rules, op4_jaccard, op5_quality, op6_fingerprints, op7_sharding, op8_pieces, op9_packing, op10_token_output)}
+    op2_quality_rules, op3_licenses, op4_jaccard, op5_quality, op6_fingerprints, op7_sharding, op8_pieces, op9_packing, op10_token_output)}
 
-ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY_SQL, "op4_jaccard": component_sql(4, 85)}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": QUALITY_SQL, "op3_licenses": licence_sql(), "op4_jaccard": component_sql(4, 85),
+}
