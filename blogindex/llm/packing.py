@@ -21,11 +21,11 @@ _PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_
 def cut_documents(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each document and its rest."""
     def run(batches):
-        encode, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
         for ids, texts in text_rows(batches):
             out: list[tuple] = []
-            for doc_id, text in zip(ids, texts):
-                raw = encode(text) + end
+            for doc_id, raw in zip(ids, encoder.encode_all(texts)):
+                raw += end
                 total = len(raw) // 4
                 for start in range(0, total, window):
                     piece = raw[4 * start:4 * (start + window)]

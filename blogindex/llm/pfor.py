@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blogindex.llm.common import as_bytes, block_starts, in_blocks, rows_of, sums_before
+from blogindex.llm.common import as_bytes, block_starts, in_blocks, rows_of, sums_before, text_rows
 from blogindex.llm.tokens import word_encoder
 from blogindex.session import new_work_dir
 
 MAGIC, BLOCK = b"PFR1", 512
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIQI"), struct.Struct("<IBH")
 # A segment is closed when it holds so many ids.
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 1_000_000
 _SEGMENT = pa.schema([("block", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
                       ("data", pa.binary())])
 _DOC = pa.schema([("block", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("inside", pa.int64()),
@@ -131,23 +131,22 @@ def write_tokens(docs: DataFrame, root: str, path: str, end_id: int = 1, block_r
     blocks = in_blocks(docs.select(F.col("doc_id").cast("bigint"), as_bytes()), "doc_id", starts)
 
     def run(batches):
-        encode, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
         now, segment, size, names, raw = None, 0, 0, [], []
 
         def close():
             return rows_of({"block": [now], "segment": [segment], "n_docs": [len(raw)], "n_ids": [size // 4],
                             "data": [write_segment(names, raw)]}, _SEGMENT)
 
-        for batch in batches:
-            for doc_id, text, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for ids, texts, numbers, _ in text_rows(batches):
+            for doc_id, data, block in zip(ids, encoder.encode_all(texts), numbers):
                 if raw and (block != now or size >= 4 * SEGMENT_IDS):
                     yield close()
                     segment, size, names, raw = (segment + 1 if block == now else 0), 0, [], []
                 now = block
-                data = encode(text) + end
                 names.append(doc_id)
-                raw.append(data)
-                size += len(data)
+                raw.append(data + end)
+                size += len(data) + len(end)
         if raw:
             yield close()
 
@@ -162,7 +161,7 @@ def read_tokens(spark: SparkSession, root: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, segment, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for block, segment, data in zip(*(c.to_pylist() for c in batch.columns)):
                 names, lengths, ids = read_segment(data)
                 ends = np.cumsum(lengths.astype(np.int64))
                 raw = memoryview(ids.tobytes())

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer that drops white space.
+"""Token ids of whole texts by a public tokenizer that lower-cases and drops white space.
 
 Such a tokenizer gives a text the ids of its words one after another, so every distinct
 word is encoded once and a text is a join of known pieces.
@@ -7,60 +7,85 @@ word is encoded once and a text is a join of known pieces.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 
 from blogindex.llm.common import words
 
 # Words kept per worker; all are dropped when there are more, which costs time only.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 _GROUP = 400
+# A run of precomposed Latin letters, then ASCII signs that start no contraction and no
+# special token: the tokenizer cuts between the two and lower-cases the first.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([-.,;:!?%&*$#|()\"/]*)")
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit numbers.
 
-    The words of a group are encoded as one text with a special token between them. Only
-    the six ASCII blanks separate words, which every such tokenizer drops.
+    Words of Latin letters and signs go to the model in these two runs. The others are
+    encoded as texts of many words with a special token between them. Only the six ASCII
+    blanks separate words, which every such tokenizer drops.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark, self.mark_id = min(
             ((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda x: x[1])
+        self.visible = _visible_bytes()
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.visible)
+            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return found
 
     def _learn(self, new: list[bytes]) -> None:
-        mark = self.mark.encode()
-        plain = [w for w in new if mark not in w]
+        known, rest = self.known, []
         for w in new:
-            if mark in w:
-                self.known[w] = np.array(self._encode(w.decode("utf-8", "replace")), "<u4").tobytes()
-        groups = [plain[i:i + _GROUP] for i in range(0, len(plain), _GROUP)]
-        texts = [f" {self.mark} ".join(w.decode("utf-8", "replace") for w in g) for g in groups]
+            text = w.decode("utf-8", "replace")
+            plain = _PLAIN.fullmatch(text)
+            if plain:
+                known[w] = self._run(plain[1].lower()) + self._run(plain[2])
+            elif self.mark in text:
+                known[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                rest.append((w, text))
+        groups = [rest[i:i + _GROUP] for i in range(0, len(rest), _GROUP)]
+        texts = [f" {self.mark} ".join(t for _, t in g) for g in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             raw = ids.tobytes()
             lows = [0, *((cuts + 1) * 4).tolist()]
             highs = [*(cuts * 4).tolist(), len(raw)]
-            for word, low, high in zip(group, lows, highs, strict=True):
-                self.known[word] = raw[low:high]
+            for (word, _), low, high in zip(group, lows, highs, strict=True):
+                known[word] = raw[low:high]
 
-    def __call__(self, text: bytes | None) -> bytes:
-        parts = words(text, lower=False)
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text; the words that are new to the worker are learned together."""
+        split = [words(t, lower=False) for t in texts]
         known = self.known
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            self._learn([w for w in dict.fromkeys(parts) if w not in known])
-            return b"".join([known[w] for w in parts])
+        if len(known) + len(self.runs) > CACHED_WORDS:
+            known.clear()
+            self.runs = {"": b""}
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(list(new))
+        return [b"".join([known[w] for w in parts]) for parts in split]
 
 
 @functools.lru_cache(maxsize=2)
