@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from blogindex.llm import fingerprints, hmm, jaccard, licenses, packing, pfor, pieces, quality, rules, sharding
 from blogindex.llm.common import table
-from blogindex.llm.jaccard import component_sql
-from blogindex.llm.licenses import licence_sql
-from blogindex.llm.rules import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,54 +22,55 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def op1_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.language_scores(_documents(spark, folder))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.rules import quality_rules
-    return quality_rules(_documents(spark, folder))
+    return rules.quality_rules(_documents(spark, folder))
 
 
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.licenses import document_files, scan_licences
-    return scan_licences(document_files(_documents(spark, folder)))
+    return licenses.scan_licences(licenses.document_files(_documents(spark, folder)))
 
 
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.jaccard import jaccard_components
-    return jaccard_components(_documents(spark, folder), n=4, percent=85)
+    return jaccard.jaccard_components(_documents(spark, folder), n=4, percent=85)
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.quality import quality_scores
-    return quality_scores(_documents(spark, folder), table(spark, folder, "labels"))
+    return quality.quality_scores(_documents(spark, folder), table(spark, folder, "labels"))
 
 
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.fingerprints import fingerprint_documents
-    return fingerprint_documents(_documents(spark, folder))
+    return fingerprints.fingerprint_documents(_documents(spark, folder))
 
 
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.sharding import shard_documents
-    return shard_documents(_documents(spark, folder))
+    return sharding.shard_documents(_documents(spark, folder))
 
 
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.pieces import encode_decode
-    return encode_decode(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
+    return pieces.encode_decode(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.packing import pack_documents
-    return pack_documents(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
 
 
 def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
-    from blogindex.llm.pfor import token_round_trip
-    return token_round_trip(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
+    return pfor.token_round_trip(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_rules, op3_licenses, op4_jaccard, op5_quality, op6_fingerprints, op7_sharding, op8_pieces, op9_packing, op10_token_output)}
+    op1_hidden_markov, op2_quality_rules, op3_licenses, op4_jaccard, op5_quality, op6_fingerprints, op7_sharding,
+    op8_pieces, op9_packing, op10_token_output)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
-    "op2_quality_rules": QUALITY_SQL, "op3_licenses": licence_sql(), "op4_jaccard": component_sql(4, 85),
+    "op2_quality_rules": rules.QUALITY_SQL,
+    "op3_licenses": licenses.licence_sql(),
+    "op4_jaccard": jaccard.component_sql(4, 85),
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
