@@ -286,8 +286,8 @@ def _enough(pairs: DataFrame, like: Likeness) -> DataFrame:
         .filter(F.col("_n") >= F.least(F.lit(SHARED), must)).drop("_n")
 
 
-def _with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among the ids, which are broadcast if they are few enough."""
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the stored ids (id), which are broadcast if they are few enough."""
     few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, df[key] == ids["id"], "left_semi")
 
@@ -319,7 +319,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
         .filter(by_bits("bits_a", "bits_b", "size_a", "size_b")).select("a", "b")
     near = stored(near, "candidates")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = _with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes()), ids, "doc_id")
+    texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes()), ids, "doc_id")
     # Repeated rows of an id have the same text; one of them is enough.
     whole = texts.mapInArrow(hashes, "id bigint, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
     whole = stored(whole, "hashes")

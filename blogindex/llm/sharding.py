@@ -138,15 +138,15 @@ def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def _bins_of_parts(parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _bins_of_parts(parts: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A part's (item, bin, bytes): its items in bins of BIN_ITEMS on average, the smallest in finer ones."""
-    return lambda items: _bins_of_part(items, parts)
+    return lambda items: _bins_of_part(items, parts, most)
 
 
-def _bins_of_part(items: pd.DataFrame, parts: int) -> pd.DataFrame:
+def _bins_of_part(items: pd.DataFrame, parts: int, most: int) -> pd.DataFrame:
     items = items.sort_values(["bytes", "item"], ascending=[False, True], kind="stable")
     sizes = items["bytes"].tolist()
-    capacity = max(1, sum(sizes) * BIN_ITEMS // len(sizes))
+    capacity = max(1, min(sum(sizes) * BIN_ITEMS // len(sizes), most))
     spare, cut = sum(sizes) // FINE, len(sizes)
     while cut and spare >= sizes[cut - 1]:
         cut -= 1
@@ -161,16 +161,18 @@ def _bins_of_part(items: pd.DataFrame, parts: int) -> pd.DataFrame:
 def assign_groups(units: DataFrame, shards: int) -> DataFrame:
     """(item, shard) for (item, bytes): items packed in levels until one task holds the rest.
 
-    While there are more than PART_ITEMS items, they are dealt by hash into parts, each
-    part packs its own into bins, and the bins are the items of the next level. So no
-    task sees more than a part, and the last one packs bins that are small against a shard.
+    While there are more than PART_ITEMS items (or 256 per shard), they are dealt by hash
+    into parts, each part packs its own into bins of at most a 32nd of a shard, and the
+    bins are the items of the next level, at most half as many. So no task sees more than
+    that, and the last one packs bins that are small against a shard.
     """
     level, above = units.select("item", "bytes"), []
-    while (n := level.count()) > PART_ITEMS:
+    most = (units.agg(F.sum("bytes")).first()[0] or 0) // (32 * shards)
+    while (n := level.count()) > max(PART_ITEMS, 256 * shards):
         parts = -(-n // PART_ITEMS)
         dealt = level.withColumn("_part", F.pmod(F.xxhash64("item"), F.lit(parts)))
         packed = stored(dealt.groupBy("_part").applyInPandas(
-            _bins_of_parts(parts), "item bigint, bin bigint, bytes bigint"), "bins")
+            _bins_of_parts(parts, most), "item bigint, bin bigint, bytes bigint"), "bins")
         above.append(packed.select("item", "bin"))
         level = packed.groupBy(F.col("bin").alias("item")).agg(F.sum("bytes").alias("bytes"))
 
