@@ -8,11 +8,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blogindex.functions import text as tx
 from blogindex.operators import features as fe
+from blogindex.session import exists
 
 _ROWS_PER_TASK = 2000
 
@@ -170,12 +171,12 @@ def load_model(path: str) -> PipelineModel:
 
 
 def load_or_train(path: str, docs, key: str, **options) -> PipelineModel:
-    """The saved model, or a newly trained and saved one; docs is a callable giving the rows."""
-    from pyspark.errors import PySparkException
-    from py4j.protocol import Py4JJavaError
-    try:
+    """The saved model, or where the path is absent a newly trained and saved one.
+
+    docs is a callable giving the rows. A model that is there but cannot be read is an error.
+    """
+    if exists(SparkSession.active(), path):
         return load_model(path)
-    except (PySparkException, Py4JJavaError):
-        model = train(docs(), key, **options)
-        save_model(model, path)
-        return model
+    model = train(docs(), key, **options)
+    save_model(model, path)
+    return model

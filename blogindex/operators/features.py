@@ -24,6 +24,11 @@ def page_tokens(df: DataFrame, key: str, fields: list[str], text_col: str | None
     return df.filter(tx.has_tokens(source)).select(key, tx.tokens(source).alias("tokens"))
 
 
+def token_occurrences(docs: DataFrame, key: str) -> DataFrame:
+    """(key, pos, token); the outer form, as the inner one would make the token list twice."""
+    return docs.select(key, F.posexplode_outer("tokens").alias("pos", "token")).filter("pos IS NOT NULL")
+
+
 def filter_dictionary(docs: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """(key, pos, token): tokens of which some proper prefix of four or more letters is a word.
 
@@ -31,7 +36,7 @@ def filter_dictionary(docs: DataFrame, words: DataFrame, key: str) -> DataFrame:
     of the test goes back to the occurrences by an equi-join that Spark may broadcast or
     split where a token is hot.
     """
-    occurrences = docs.select(key, F.posexplode("tokens").alias("pos", "token"))
+    occurrences = token_occurrences(docs, key)
     vocabulary = occurrences.select("token").filter("token RLIKE '^[a-z]{5,}$'").distinct()
     kept = (vocabulary
             .select("token", F.explode(F.expr(

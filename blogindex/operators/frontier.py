@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -83,8 +84,13 @@ def admission_report(frontier: DataFrame, visited: DataFrame, blocked: DataFrame
 
 def expand_links(pages: DataFrame, *keep: str) -> DataFrame:
     """(keep..., pos, location, retries): one frontier item per link, duplicates kept."""
-    return (pages.select(*keep, F.posexplode("links").alias("pos", "location"))
-            .withColumn("retries", F.lit(0)))
+    return _each_link(pages.select(*keep, F.posexplode_outer("links").alias("pos", "location"))) \
+        .withColumn("retries", F.lit(0))
+
+
+def _each_link(exploded: DataFrame) -> DataFrame:
+    """Without the row of an empty list; the inner form would compute the list twice."""
+    return exploded.filter("pos IS NOT NULL")
 
 
 def _numbered(df: DataFrame, parent: str, order: list[str], start: int, span: int) -> DataFrame:
@@ -105,7 +111,7 @@ def _numbered(df: DataFrame, parent: str, order: list[str], start: int, span: in
             .drop("_chunk", "_offset", "_row"))
 
 
-def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int = 1000,
+def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int | None = None,
                 blocked: DataFrame | None = None,
                 route: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
                 key: str = "exact", span: int = 10_000) -> DataFrame:
@@ -115,14 +121,15 @@ def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int = 1000,
     locations, looks up their pages and queues the links. route(pages) may return
     (pages to follow, domains to blacklist); the set applies from the next wave on.
     Each wave is checkpointed to the shared folder, so lineage stays short and an
-    executor's loss costs no earlier wave.
+    executor's loss costs no earlier wave. The crawl ends when the frontier is empty; with
+    max_waves, a crawl that is not done by then is an error.
     """
     work_root(seeds.sparkSession)
     frontier = seeds.select("location", "seq")
     done: DataFrame | None = None
     black: DataFrame | None = None
     start = 0
-    for wave in range(max_waves):
+    for wave in itertools.count():
         new = frontier.groupBy("location").agg(F.min("seq").alias("_order"))
         if done is not None:
             new = new.join(done.select("location"), "location", "left_anti")
@@ -133,6 +140,8 @@ def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int = 1000,
         count = new.count()
         if count == 0:
             break
+        if max_waves is not None and wave >= max_waves:
+            raise RuntimeError(f"{count} locations are left after {max_waves} waves")
         start += count
         done = new if done is None else done.union(new)
         if wave % 16 == 15:
@@ -146,9 +155,8 @@ def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int = 1000,
             fetched, more = route(fetched)
             black = more.select("domain") if black is None else black.union(more.select("domain"))
             black = black.distinct().checkpoint()
-        frontier = (fetched.select(F.col("seq").alias("_parent"), F.posexplode("links")
-                                   .alias("pos", "location"))
+        frontier = (_each_link(fetched.select(F.col("seq").alias("_parent"), F.posexplode_outer("links")
+                                              .alias("pos", "location")))
                     .select("location", F.struct(F.col("_parent").alias("parent"), "pos").alias("seq")))
-    if done is None:
-        raise ValueError("max_waves must be positive")
-    return done
+    return frontier.select("location", F.lit(0).alias("wave"), F.lit(0).cast("bigint").alias("seq")).limit(0) \
+        if done is None else done

@@ -49,10 +49,10 @@ def page_window(df: DataFrame) -> DataFrame:
 
 
 def terminal_listing(results: DataFrame) -> DataFrame:
-    """Text form of the operators' search."""
+    """Text form of the operators' search, in order of its position."""
     short = F.when(F.length("description") > 100, F.concat(F.left("description", F.lit(100)), F.lit("...")))
     return results.select(
-        _filled("title", F.lit("No title")).alias("title"), "url", "domain",
+        "position", _filled("title", F.lit("No title")).alias("title"), "url", "domain",
         _filled("author", F.lit("Unknown")).alias("author"), "word_count",
         F.format_string("%.4f", F.col("rank")).alias("rank"),
-        F.nullif(F.coalesce(short, F.col("description")), F.lit("")).alias("description"))
+        F.nullif(F.coalesce(short, F.col("description")), F.lit("")).alias("description")).orderBy("position")

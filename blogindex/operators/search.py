@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from blogindex.functions import text as tx
 from blogindex.operators.index import WEIGHTS, analyze
 
+# Result rows that are sent to the wide columns; more meet them by a shuffle.
+_BROADCAST_WINNERS = 100_000
 # Twice the reciprocal of each field weight is a whole number, so its sums are exact.
 _TWICE_INVERSE = {letter: round(2 / weight) for letter, weight in WEIGHTS.items()}
 
@@ -141,12 +143,14 @@ def search_totals(postings: DataFrame, pages: DataFrame, queries: DataFrame, con
 
 def search(postings: DataFrame, pages: DataFrame, queries: DataFrame, page: int = 1,
            per_page: int = 10, domain: str | None = None, min_words: int | None = None,
-           config: str = "simple", stop_words: list[str] | None = None) -> DataFrame:
+           config: str = "simple", stop_words: list[str] | None = None,
+           texts: DataFrame | None = None) -> DataFrame:
     """One page of results per query, with position and snippet.
 
-    Only the winners, at most per_page per query, meet the wide page columns. The ranking
-    window keeps its top rows per map task before the shuffle, so a query that hits a
-    large part of the corpus sends few rows.
+    Only the winners, at most per_page per query, meet the wide columns, of texts if it is
+    given, else of the pages; as long as they are few they are broadcast to them. The
+    ranking window keeps its top rows per map task before the shuffle, so a query that
+    hits a large part of the corpus sends few rows.
     """
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page starts at 1, per_page lies in 1..100")
@@ -156,8 +160,10 @@ def search(postings: DataFrame, pages: DataFrame, queries: DataFrame, page: int
     winners = (hits.withColumn("position", F.row_number().over(order))
                .filter((F.col("position") <= first + per_page) & (F.col("position") > first))
                .select("query_id", "position", "id", "rank"))
-    wide = pages.select("id", "url", "title", "description", "content", "domain", "word_count", "created_at")
-    return wide.join(winners, "id").select(
+    wide = (pages if texts is None else texts).select(
+        "id", "url", "title", "description", "content", "domain", "word_count", "created_at")
+    few = queries.count() * per_page <= _BROADCAST_WINNERS
+    return wide.join(F.broadcast(winners) if few else winners, "id").select(
         "query_id", "position", "id", "url", "title", "description",
         tx.snippet(F.col("content")).alias("content_summary"), "domain", "word_count",
         "created_at", "rank")
@@ -165,13 +171,14 @@ def search(postings: DataFrame, pages: DataFrame, queries: DataFrame, page: int
 
 def search_pages(postings: DataFrame, pages: DataFrame, query: str, limit: int = 20, offset: int = 0,
                  config: str = "simple") -> DataFrame:
-    """The operators' own search of one text: adds the author, has no snippet."""
+    """The operators' own search of one text, by position: adds the author, has no snippet."""
     queries = pages.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("q"))
-    top = (ranked_hits(postings, pages, queries, config)
-           .orderBy(F.desc("rank"), F.desc("created_at"), "url").offset(offset).limit(limit)
-           .select("id", "rank"))
+    order = [F.desc("rank"), F.desc("created_at"), "url"]
+    top = ranked_hits(postings, pages, queries, config).orderBy(*order).offset(offset).limit(limit)
+    # Only the rows of one page are numbered: the limit comes first.
+    top = top.select((F.row_number().over(Window.orderBy(*order)) + offset).alias("position"), "id", "rank")
     return pages.select("id", "url", "title", "description", "author", "domain", "word_count",
-                        "created_at").join(F.broadcast(top), "id")
+                        "created_at").join(top, "id").orderBy("position")
 
 
 def paging(totals: DataFrame, page: int, per_page: int) -> DataFrame:

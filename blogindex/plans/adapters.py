@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blogindex.functions import text as tx
 from blogindex.operators import ingest, stats
 from blogindex.plans.sizing import spread
+from blogindex.session import new_work_dir
 
 BLOCKED = ["cheap-pills.example.com", "spam-farm.example.org"]
 AS_OF = "2024-02-01 00:00:00Z"
@@ -60,10 +61,15 @@ def recrawls(spark: SparkSession, root: str) -> DataFrame:
     return visits_of(doc_pages(spark, root))
 
 
-def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The file of a table as a stream."""
-    return (spark.readStream.schema(table(spark, root, name).schema)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(root))
+def table_stream(spark: SparkSession, root: str, name: str, key: str, parts: int = 4) -> DataFrame:
+    """A table as a stream of several micro-batches, one file each, in order of the key."""
+    rows = table(spark, root, name)
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    path, step = new_work_dir(spark, name), max(1, -(-(high - low + 1) // parts))
+    for i in range(parts):
+        part = rows.filter(F.col(key).between(low + i * step, low + (i + 1) * step - 1))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def indexed_docs(spark: SparkSession, root: str) -> DataFrame:
@@ -79,6 +85,13 @@ def queries(spark: SparkSession, root: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.array_join(F.slice(long_words, 1, 2), " ").alias("q"))
 
 
+def common_words(spark: SparkSession, root: str) -> str:
+    """The two words that most items hold, as one query."""
+    held = table(spark, root, "benchmark").select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("word"))
+    top = held.groupBy("word").count().orderBy(F.desc("count"), "word").limit(2).collect()
+    return " ".join(r["word"] for r in top)
+
+
 def linked_docs(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, location, links): document i links to 2i+1 and 2i+2, modulo their number."""
     docs = table(spark, root, "documents").select("doc_id", "source", "lang")

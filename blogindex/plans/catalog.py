@@ -237,8 +237,9 @@ def extract_title(spark, d):
 
 
 def _list_field(spark, d, name):
-    return _extracted(spark, d).select("page_id", F.posexplode(name).alias("pos", name)) \
-        .withColumn("pos", F.col("pos").cast("bigint"))
+    # The inner form would walk every page twice.
+    return _extracted(spark, d).select("page_id", F.posexplode_outer(name).alias("pos", name)) \
+        .filter("pos IS NOT NULL").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query
@@ -361,7 +362,7 @@ def filter_dictionary(spark, d):
 
 @query
 def lemmatize(spark, d):
-    occurrences = _doc_tokens(spark, d).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    occurrences = features.token_occurrences(_doc_tokens(spark, d), "doc_id")
     lemmas = _word_list(spark, d).filter("length(word) > 5").select(
         F.col("word").alias("token"), F.expr("left(word, 5)").alias("lemma"))
     return features.lemmatize(occurrences, lemmas).withColumn("pos", F.col("pos").cast("bigint"))
@@ -667,14 +668,14 @@ def snippet(spark, d):
 
 @query
 def search_pages(spark, d):
-    out = search.search_pages(_postings(spark, d), ad.indexed_docs(spark, d), "the with", limit=20, offset=5)
-    return out.select("url", "title", "author", "domain", F.round("rank", 6).alias("rank"))
+    out = search.search_pages(_postings(spark, d), ad.indexed_docs(spark, d), ad.common_words(spark, d), limit=20, offset=5)
+    return out.select(F.col("position").cast("bigint").alias("position"), "url", "title", "author", "domain", F.round("rank", 6).alias("rank"))
 
 
 @query
 def terminal_listing(spark, d):
-    out = search.search_pages(_postings(spark, d), ad.indexed_docs(spark, d), "the with", limit=20)
-    return present.terminal_listing(out).select("title", "url", "domain", "author", "description", F.col("rank").alias("rank"))
+    out = search.search_pages(_postings(spark, d), ad.indexed_docs(spark, d), ad.common_words(spark, d), limit=20)
+    return present.terminal_listing(out).select(F.col("position").cast("bigint").alias("position"), "title", "url", "domain", "author", "description", F.col("rank").alias("rank"))
 
 
 @query
@@ -741,7 +742,7 @@ def search_english(spark, d):
 def stream_admission(spark, d):
     root = new_work_dir(spark, "admission")
     shapes = F.array(F.col("url"), F.col("url"), F.concat("url", F.lit("%zz")))
-    items = ad.table_stream(spark, d, "pages").select(
+    items = ad.table_stream(spark, d, "pages", "page_id").select(
         F.explode(shapes).alias("location"), (F.col("page_id") % 6).cast("int").alias("retries"))
     jobs.admission_stream(items, root, f"{root}/checkpoint", lambda s: lists.domain_table(s, ad.BLOCKED),
                           lambda s: _page_blacklist(s, d)).awaitTermination()
@@ -752,21 +753,27 @@ def stream_admission(spark, d):
 def stream_route(spark, d):
     """Routes of a stream of documents, scored by a rule on the title, by output."""
     root = new_work_dir(spark, "route")
-    pages = ad.pages_of_documents(ad.table_stream(spark, d, "documents")).withColumn(
+    pages = ad.pages_of_documents(ad.table_stream(spark, d, "documents", "doc_id")).withColumn(
         "links", F.array("location", F.concat("location", F.lit("/next"))))
     jobs.routing_stream(pages, root, f"{root}/checkpoint",
                         lambda df: df.withColumn("p_not", (F.length("title") % 100) / 100.0), 0.8).awaitTermination()
     outputs = [spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("output"), F.col(col).alias("value"))
                for name, col in (("index", "location"), ("frontier", "location"), ("blacklist", "domain"))]
-    return outputs[0].union(outputs[1]).union(outputs[2])
+    return outputs[0].union(outputs[1]).union(outputs[2].distinct())  # a domain may be rejected in several batches
 
 
-def _stream_store(spark, d):
-    root = new_work_dir(spark, "store")
-    store = PageStore(spark, root)
-    pages = ad.visits_of(ad.pages_of_documents(ad.table_stream(spark, d, "documents")))
-    jobs.index_stream(pages, store, f"{root}/checkpoint", partitions=spark.sparkContext.defaultParallelism,
+def _visit_stream(spark, d):
+    return ad.visits_of(ad.pages_of_documents(ad.table_stream(spark, d, "documents", "doc_id")))
+
+
+def _index(spark, pages, store, checkpoint):
+    jobs.index_stream(pages, store, f"{store.root}/{checkpoint}", partitions=spark.sparkContext.defaultParallelism,
                       now=lambda: dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)).awaitTermination()
+
+
+def _stream_store(spark, d):
+    store = PageStore(spark, new_work_dir(spark, "store"))
+    _index(spark, _visit_stream(spark, d), store, "checkpoint")
     return store
 
 
@@ -783,3 +790,34 @@ def stream_search(spark, d):
     store = _stream_store(spark, d).compact(new_work_dir(spark, "compact"))
     return store.search(ad.queries(spark, d)).select(
         "query_id", F.col("position").cast("bigint").alias("position"), "url", F.round("rank", 6).alias("rank"))
+
+
+@query
+def stream_counts(spark, d):
+    """What the micro-batches of the visits did, all together."""
+    store = _stream_store(spark, d)
+    return store.counts().agg(F.count("*").alias("batches"), *[F.sum(c).cast("bigint").alias(c) for c in stats.COUNTS])
+
+
+@query
+def stream_daily_stats(spark, d):
+    """The day's counters after several batches have been merged into them."""
+    daily = _stream_store(spark, d).daily_stats()
+    return daily.select("date", *stats.STATS_COUNTERS)
+
+
+@query
+def stream_replay(spark, d):
+    """Search after four micro-batches, a compaction, the last batch once more, and a second stream.
+
+    The second stream, with a checkpoint of its own, visits every document at its own address.
+    """
+    store = _stream_store(spark, d).compact(new_work_dir(spark, "compact"))
+    last = store.counts().agg(F.max("batch_id")).first()[0]
+    pages = ad.recrawls(spark, d)
+    low, high = ad.table(spark, d, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    replayed = pages.filter(F.col("doc_id") >= low + 3 * max(1, -(-(high - low + 1) // 4)))
+    store.write_batch(replayed.select(*schemas.PAGE_COLUMNS, "seq"), last, ad.as_of())
+    _index(spark, ad.pages_of_documents(ad.table_stream(spark, d, "documents", "doc_id")), store, "second")
+    return store.search(ad.queries(spark, d)).select(
+        "query_id", F.col("position").cast("bigint").alias("position"), "url", F.round("rank", 6).alias("rank"))

@@ -126,8 +126,10 @@ TOTALS = f"""{HITS}, totals AS (
   SELECT b.item_id AS query_id, count(h.url) AS total
   FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id GROUP BY ALL)"""
 
-ONE = f"""{VEC}, terms AS (SELECT 0 AS query_id, unnest(['the', 'with']) AS lexeme),
-one AS (SELECT 0 AS query_id, url, 2 AS n FROM (SELECT DISTINCT url, lexeme FROM post WHERE lexeme IN ('the', 'with'))
+ONE = rf"""{VEC}, terms AS (SELECT 0 AS query_id, lexeme FROM (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{W}')) AS lexeme FROM benchmark)
+  GROUP BY lexeme ORDER BY count(*) DESC, lexeme LIMIT 2),
+one AS (SELECT 0 AS query_id, url, 2 AS n FROM (SELECT DISTINCT url, lexeme FROM post WHERE lexeme IN (SELECT lexeme FROM terms))
         GROUP BY url HAVING count(*) = 2),
 {ranks('one')}, listed AS (
   SELECT url, title, domain, rank, row_number() OVER (ORDER BY round(rank, 9) DESC, created_at DESC, url) AS nth
@@ -421,9 +423,9 @@ ORACLES: dict[str, str] = {
             CASE WHEN total > 2 THEN lo > 1 END AS first, CASE WHEN total > 2 THEN lo > 2 END AS gap_before,
             CASE WHEN total > 2 THEN hi < pages END AS last, CASE WHEN total > 2 THEN hi < pages - 1 END AS gap_after FROM g""",
     "snippet": f"WITH {IDX}, {SNIPPET} SELECT url, snippet FROM snip",
-    "search_pages": f"""WITH {ONE} SELECT url, title, NULL::VARCHAR AS author, domain, round(rank, 6) AS rank
+    "search_pages": f"""WITH {ONE} SELECT nth AS position, url, title, NULL::VARCHAR AS author, domain, round(rank, 6) AS rank
         FROM listed WHERE nth BETWEEN 6 AND 25""",
-    "terminal_listing": f"""WITH {ONE} SELECT CASE WHEN title = '' THEN 'No title' ELSE title END AS title, url, domain, 'Unknown' AS author,
+    "terminal_listing": f"""WITH {ONE} SELECT nth AS position, CASE WHEN title = '' THEN 'No title' ELSE title END AS title, url, domain, 'Unknown' AS author,
         NULL::VARCHAR AS description, printf('%.4f', rank) AS rank FROM listed WHERE nth <= 20""",
     "search_results": f"WITH {IDX} SELECT id, url, title, domain, word_count, created_at, 0.0::DOUBLE AS rank FROM idx",
     "result_cards": f"""WITH {results(1, 10)} SELECT query_id, url, domain, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title,
@@ -454,3 +456,15 @@ _VISITED = f"""{VISITS}, idx AS (
 ORACLES["stream_search"] = f"WITH {RANKED.replace(IDX, _VISITED)}" + """
   SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, created_at DESC, url) AS position,
                         url, round(rank, 6) AS rank FROM ranked JOIN idx USING (url)) WHERE position <= 10"""
+
+ORACLES["stream_counts"] = f"""WITH {VISITS} SELECT 4::BIGINT AS batches, count(*) AS processed, count(*) FILTER (status = 'inserted') AS inserted,
+    count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'skipped') AS skipped, 0::BIGINT AS errors FROM judged"""
+ORACLES["stream_daily_stats"] = f"""WITH {VISITS} SELECT DATE '2024-02-01' AS date, count(*) AS pages_processed,
+    count(*) FILTER (status = 'inserted') AS pages_inserted, count(*) FILTER (status = 'updated') AS pages_updated,
+    count(*) FILTER (status = 'skipped') AS pages_skipped, 0::BIGINT AS processing_errors FROM judged"""
+
+# The visits' final table and every accepted document at its own address.
+_BOTH = f"""{_VISITED.replace("idx AS", "visited AS")}, idx AS (
+  SELECT * FROM visited UNION ALL
+  SELECT location, title, body, [lang, source], created_at FROM docs WHERE {accepted()} AND location NOT IN (SELECT url FROM visited))"""
+ORACLES["stream_replay"] = ORACLES["stream_search"].replace(_VISITED, _BOTH)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,14 +33,14 @@ def build_session(master: str | None = None, app: str = "blogindex", **conf: str
 def work_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in spark.checkpoint.dir. A local run without that setting
-    gets a temporary folder; a cluster without it is refused, because a
-    machine-local folder would not survive the loss of an executor.
+    A cluster names it in spark.checkpoint.dir. A run in one process without that setting
+    gets a temporary folder; a cluster without it, local-cluster included, is refused,
+    because a machine-local folder would not survive the loss of an executor.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="blogindex-")
     if not context.getCheckpointDir():
@@ -47,5 +48,11 @@ def work_root(spark: SparkSession) -> str:
     return root
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in any store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def new_work_dir(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"

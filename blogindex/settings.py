@@ -7,10 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    batch_size: int = 10
     min_content_length: int = 100
     max_content_length: int = 50_000
-    queue_timeout_seconds: int = 30
     max_retries: int = 3
     rejection_percent: int = 90
     created_at_unit: str = "s"

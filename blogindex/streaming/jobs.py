@@ -1,7 +1,8 @@
 """The three streaming jobs: admission, routing, indexing.
 
 Each writes one folder per micro-batch with overwrite, so a batch that runs again after a
-failure replaces its own output.
+failure replaces its own output. Folders are numbered by checkpoint and batch: a stream with
+a new checkpoint adds to what is there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from blogindex import schemas
 from blogindex.functions import urls
 from blogindex.operators import domains, routing
 from blogindex.settings import DEFAULTS
-from blogindex.streaming.store import PageStore
+from blogindex.streaming.store import STREAM_BATCHES, PageStore, stream_number
 
 Lookup = Callable[[SparkSession], DataFrame | None]
 
@@ -27,8 +28,10 @@ def _folder(root: str, name: str, batch_id: int) -> str:
     return f"{root}/{name}/batch_id={batch_id}"
 
 
-def _start(stream: DataFrame, checkpoint: str, once: bool, work) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work)
+def _start(stream: DataFrame, root: str, checkpoint: str, once: bool, work) -> StreamingQuery:
+    first = stream_number(stream.sparkSession, root, checkpoint) * STREAM_BATCHES
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: work(batch, first + batch_id))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -56,7 +59,7 @@ def admission_stream(frontier: DataFrame, out: str, checkpoint: str, blocked: Lo
         finally:
             live.unpersist()
 
-    return _start(first, checkpoint, once, work)
+    return _start(first, out, checkpoint, once, work)
 
 
 def routing_stream(pages: DataFrame, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
@@ -75,7 +78,7 @@ def routing_stream(pages: DataFrame, out: str, checkpoint: str, score: Callable[
         finally:
             routed.unpersist()
 
-    return _start(pages, checkpoint, once, work)
+    return _start(pages, out, checkpoint, once, work)
 
 
 def index_stream(pages: DataFrame, store: PageStore, checkpoint: str, once: bool = True,
@@ -93,4 +96,4 @@ def index_stream(pages: DataFrame, store: PageStore, checkpoint: str, once: bool
         store.write_batch(ready, batch_id, F.lit(now()).cast("timestamp"),
                           lambda: round((time.monotonic() - begun) * 1000, 2))
 
-    return _start(pages, checkpoint, once, work)
+    return _start(pages, store.root, checkpoint, once, work)

@@ -371,3 +371,35 @@ def test_store_needs_content(spark, tmp_path):
     assert store.pages() is None and store.daily_stats() is None
     with pytest.raises(ValueError):
         store.search(spark.createDataFrame([(1, "x")], "query_id BIGINT, q STRING"))
+
+
+def test_seeds_are_numbered_by_file_and_line(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("http://a.org/0\n")
+    (tmp_path / "b.txt").write_text("".join(f"http://b.org/{i}\n" for i in range(50)))
+    rows = lists.read_seeds(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [tuple(r) for r in rows] == list(enumerate(["http://a.org/0", *[f"http://b.org/{i}" for i in range(50)]]))
+
+
+@pytest.mark.parametrize("use", [lambda df: df.count(), lambda df: df.select("seq").collect(), lambda df: df.collect()])
+def test_bad_seed_fails_whatever_is_read(spark, tmp_path, use):
+    (tmp_path / "a.txt").write_text("http://a.org/\n:no\n")
+    with pytest.raises(Exception, match="seed line is no URL"):
+        use(lists.read_seeds(spark, str(tmp_path)))
+
+
+def test_crawl_ends_when_the_frontier_is_empty(spark):
+    from blogindex.operators import frontier
+    pages = spark.createDataFrame([(f"http://a.org/{i}", [f"http://a.org/{i + 1}"]) for i in range(5)], "location string, links array<string>")
+    seeds = spark.createDataFrame([("http://a.org/0", 0)], "location string, seq bigint")
+    got = frontier.crawl_waves(seeds, pages).collect()
+    assert sorted((r.wave, r.location) for r in got) == [(i, f"http://a.org/{i}") for i in range(6)]
+    assert frontier.crawl_waves(seeds, pages, max_waves=6).count() == 6
+    with pytest.raises(RuntimeError, match="1 locations are left after 3 waves"):
+        frontier.crawl_waves(seeds, pages, max_waves=3)
+    assert frontier.crawl_waves(seeds.limit(0), pages).count() == 0
+
+
+def test_model_that_cannot_be_read_is_not_replaced(spark, tmp_path):
+    (tmp_path / "model").mkdir()
+    with pytest.raises(Exception):
+        classify.load_or_train(str(tmp_path / "model"), lambda: pytest.fail("trained"), "doc_id")

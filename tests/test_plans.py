@@ -15,7 +15,8 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGro
 WITH_PYTHON = {n for n in catalog.QUERIES if n.startswith("extract_")} | {"assemble_page", "search_english"}
 # Queries that run streams, files or model fits while they are built.
 SKIP = {"train_classifier", "classify_pages", "crawl_waves", "store_lookup", "read_corpus", "read_seeds",
-        "stream_admission", "stream_route", "stream_index", "stream_search"}
+        "stream_admission", "stream_route", "stream_index", "stream_search", "stream_counts", "stream_daily_stats",
+        "stream_replay"}
 
 
 def plan(df):
@@ -59,6 +60,13 @@ def test_lookup_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [In(lexeme" in text
 
 
+def test_each_page_is_walked_once(spark):
+    for name in ("extract_links", "extract_headings", "extract_content", "extract_script_text", "assemble_page"):
+        text = plan(catalog.QUERIES[name](spark, DATA))
+        tree = text[:text.index("(1) Scan")]
+        assert tree.count("ArrowEvalPython (") == 1, name
+
+
 def test_scans_read_few_columns(spark):
     text = plan(catalog.QUERIES["block_domains"](spark, DATA))
     assert "html" not in text
