@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blogindex.functions import text as tx
 from blogindex.operators import features as fe
+from blogindex.plans.rows import unnest
 from blogindex.session import exists
 
-_ROWS_PER_TASK = 2000
-
-
 def training_set(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.withColumn("label", F.lit(1.0)).unionByName(
         negative.withColumn("label", F.lit(0.0)))
@@ -43,11 +38,6 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, (even / F.col("_n")).alias("weight"))
 
 
-def _with_ngrams(docs: DataFrame, stop_words: list[str]) -> DataFrame:
-    kept = tx.remove_stop_words(F.col("tokens"), stop_words)
-    return docs.withColumn("terms", tx.ngrams(kept, 1, 3))
-
-
 def train(docs: DataFrame, key: str, C: float = 1.0, balanced: bool = True,
           stop_words: list[str] | None = None, fit_on: str = "all",
           vocabulary_size: int = 10_000) -> PipelineModel:
@@ -75,47 +65,47 @@ def _fit(docs: DataFrame, key: str, C: float, balanced: bool, stop_words: list[s
     rows = vocabulary.join(fe.idf(vocabulary, n_docs), "term").orderBy("term").collect()
     if not rows:
         raise ValueError("no term is frequent enough to train on")
-    counter = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in rows], inputCol="terms", outputCol="tf")
-    scale = ElementwiseProduct(inputCol="tf", outputCol="tfidf",
-                               scalingVec=Vectors.dense([r["idf"] for r in rows]))
-    unit = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
-    data = _with_ngrams(fitted, stop_words)
+    stages = fe.vector_stages([r["term"] for r in rows], [r["idf"] for r in rows])
+    data = fe.with_ngrams(fitted, stop_words)
     if balanced:
         data = data.join(F.broadcast(class_weights(fitted)), "label")
     else:
         data = data.withColumn("weight", F.lit(1.0))
-    size = data.agg(F.sum("weight").alias("weight"), F.count("*").alias("rows")).first()
-    prepared = PipelineModel(stages=[counter, scale, unit])
-    # Every iteration is a job over these rows: keep the finished vectors, and enough of
-    # them per task that an iteration is not all scheduling.
-    vectors = prepared.transform(data).select("label", "weight", "features") \
-        .coalesce(-(-size["rows"] // _ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    size = data.agg(F.sum("weight").alias("weight")).first()
+    prepared = PipelineModel(stages=stages)
+    # Every iteration is a job over these rows: keep the finished vectors.
+    vectors = prepared.transform(data).select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         regression = LogisticRegression(
             weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (C * size["weight"]),
             standardization=False, maxIter=2000, tol=1e-6).fit(vectors)
     finally:
         vectors.unpersist()
-    return PipelineModel(stages=[counter, scale, unit, regression])
+    return PipelineModel(stages=[*stages, regression])
 
 
 def score(docs: DataFrame, model: PipelineModel, stop_words: list[str] | None = None) -> DataFrame:
     """The input with p_not and p_dev, the two class probabilities."""
     stop_words = fe.default_stop_words() if stop_words is None else stop_words
-    scored = model.transform(_with_ngrams(docs, stop_words))
+    scored = model.transform(fe.with_ngrams(docs, stop_words))
     p = vector_to_array("probability")
     return scored.select(*docs.columns, p[0].alias("p_not"), p[1].alias("p_dev"))
 
 
-def score_linear(weights: DataFrame, coefficients: DataFrame, intercept: float, key: str
-                 ) -> DataFrame:
-    """(key, p_not, p_dev) from long features (key, term, weight) and (term, coefficient)."""
-    margin = F.sum(F.col("weight") * F.coalesce("coefficient", F.lit(0.0))) + F.lit(intercept)
+def score_linear(vectors: DataFrame, coefficients: list[float], intercept: float, key: str) -> DataFrame:
+    """(key, p_not, p_dev) of vectors (key, indices, values); one coefficient per term, in the row.
+
+    Documents with no term are left out, by unnesting a list of none or one: a filter would
+    be pushed below the vectors and make them twice.
+    """
+    # One constant: an array of thousands of them is slow to plan.
+    weights = F.split(F.lit(",".join(repr(float(c)) for c in coefficients)), ",").try_cast("array<double>")
+    products = F.zip_with("indices", "values", lambda i, v: v * F.get(weights, i))
+    margin = F.aggregate(products, F.lit(0.0), lambda a, x: a + x) + F.lit(intercept)
+    found = F.when(F.size("indices") > 0, F.array(F.struct(margin.alias("_margin"))))
     p_dev = 1.0 / (1.0 + F.exp(-F.col("_margin")))
-    return (weights.join(coefficients, "term", "left")
-            .groupBy(key).agg(margin.alias("_margin"))
-            .select(key, (1.0 - p_dev).alias("p_not"), p_dev.alias("p_dev")))
+    return unnest(vectors.select(key, found.alias("_found")), "_found", key) \
+        .select(key, (1.0 - p_dev).alias("p_not"), p_dev.alias("p_dev"))
 
 
 def predict(p_dev: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import Transformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blogindex.functions import text as tx
-from blogindex.plans.rows import runs
+from blogindex.plans.rows import runs, unnest
 
 
 def default_stop_words() -> list[str]:
@@ -91,13 +93,41 @@ def idf(vocabulary: DataFrame, n_docs: DataFrame) -> DataFrame:
     return vocabulary.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight) with unit length per key.
+def vector_stages(terms: list[str], idfs: list[float]) -> list[Transformer]:
+    """Term lists (terms) to unit TF-IDF vectors (features), all inside the row."""
+    return [CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="tf"),
+            ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(idfs)),
+            Normalizer(inputCol="tfidf", outputCol="features", p=2.0)]
 
-    The vocabulary is bounded by its size limit, so it is broadcast; the counts keep
-    their partitioning by key and the norm needs no shuffle.
+
+def with_ngrams(docs: DataFrame, stop_words: list[str], low: int = 1, high: int = 3) -> DataFrame:
+    """The input with terms, the n-grams of the tokens left after the stop words."""
+    kept = tx.remove_stop_words(F.col("tokens"), stop_words)
+    return docs.withColumn("terms", tx.ngrams(kept, low, high))
+
+
+def vectorize(docs: DataFrame, key: str, vocabulary: DataFrame, n_docs: DataFrame, low: int = 1, high: int = 3,
+              stop_words: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """((key, indices, values), terms): unit TF-IDF weights of each document by place in the term list.
+
+    The vocabulary, bounded by its size limit, comes to the driver and goes into the plan;
+    counting, weighing and the norm happen in the document's row, so nothing is shuffled.
+    A document without a term of the vocabulary has empty lists.
     """
-    weighted = (counts.join(F.broadcast(idf(vocabulary, n_docs)), "term")
-                .select(key, "term", (F.col("tf") * F.col("idf")).alias("_w")))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    rows = vocabulary.join(idf(vocabulary, n_docs), "term").orderBy("term").collect()
+    terms = [r["term"] for r in rows]
+    if not terms:
+        empty = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<double>)")
+        return docs.select(key, empty[0].alias("indices"), empty[1].alias("values")).limit(0), terms
+    made = with_ngrams(docs, stop_words or [], low, high).select(key, "terms")
+    for stage in vector_stages(terms, [r["idf"] for r in rows]):
+        made = stage.transform(made)
+    vector = F.unwrap_udt("features")
+    return made.select(key, vector["indices"].alias("indices"), vector["values"].alias("values")), terms
+
+
+def tfidf(vectors: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, term, weight): the long form of the vectors."""
+    named = F.split(F.lit("\n".join(terms)), "\n")  # one constant; an array of thousands of them is slow to plan
+    entries = F.zip_with("indices", "values", lambda i, v: F.struct(F.get(named, i).alias("term"), v.alias("weight")))
+    return unnest(vectors.select(key, entries.alias("_entries")), "_entries", key)

@@ -394,14 +394,15 @@ def vocabulary(spark, d):
     return features.select_vocabulary(_counts(spark, d), _n_docs(spark, d))
 
 
-def _tfidf(spark, d):
-    n = _n_docs(spark, d)
-    return features.tfidf(_counts(spark, d), vocabulary(spark, d), n, "doc_id")
+def _vectors(spark, d):
+    return features.vectorize(_doc_tokens(spark, d), "doc_id", vocabulary(spark, d), _n_docs(spark, d),
+                              stop_words=ENGLISH_STOP_WORDS)
 
 
 @query
 def tfidf(spark, d):
-    return _tfidf(spark, d).withColumn("weight", F.round("weight", 6))
+    vectors, terms = _vectors(spark, d)
+    return features.tfidf(vectors, terms, "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 # ---- classifier and routing
@@ -425,10 +426,8 @@ def class_weights(spark, d):
 
 def _scored(spark, d):
     """Probabilities from coefficients given by a rule on the term."""
-    vocab = vocabulary(spark, d)
-    rule = ((F.length("term") % 7) - 3) / 2.0
-    coefficients = vocab.select("term", rule.alias("coefficient"))
-    return classify.score_linear(_tfidf(spark, d), coefficients, 0.1, "doc_id")
+    vectors, terms = _vectors(spark, d)
+    return classify.score_linear(vectors, [(len(t) % 7 - 3) / 2.0 for t in terms], 0.1, "doc_id")
 
 
 @query
