@@ -29,8 +29,9 @@ SMOOTHING = 1000.0
 END = b" "
 # Training texts are cut into windows of so many tokens for the expectation step.
 WINDOW = 512
-# Bytes of text whose words share a dictionary.
-CHUNK_BYTES = 8_000_000
+# Bytes of text, and words, that share a dictionary; so few that their numbers take two bytes
+# each. A single text with more words has four bytes each.
+CHUNK_BYTES, CHUNK_WORDS = 8_000_000, 50_000
 # Expected counts are summed as whole numbers of this fraction, so that any order of adding gives the same model.
 _UNIT = 1 << 16
 _CHUNK = pa.schema([("chunk", pa.string()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
@@ -48,6 +49,10 @@ def _class_column(word: Column) -> Column:
     return F.when(word == F.lit(END), CLASSES).otherwise(F.crc32(word) % CLASSES).cast("int")
 
 
+def _number_type(n_words: int) -> type:
+    return np.uint16 if n_words <= 1 << 16 else np.uint32
+
+
 def chunked(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
     """Texts as runs of numbers into a dictionary, many texts to a row; each row has its training counts."""
     def run(batches):
@@ -60,7 +65,8 @@ def chunked(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
             train = np.repeat(~np.array(held, bool), lengths)
             return rows_of({
                 "chunk": [f"{part}-{number}"], "words": [list(known)], "ids": [ids], "held": [held], "lengths": [lengths],
-                "times": [np.bincount(at[train], minlength=len(known))], "tokens": [at.tobytes()]}, _CHUNK)
+                "times": [np.bincount(at[train], minlength=len(known))],
+                "tokens": [at.astype(_number_type(len(known))).tobytes()]}, _CHUNK)
 
         for names, texts, out in text_rows(batches):
             for name, text, is_held in zip(names, texts, out):
@@ -74,7 +80,7 @@ def chunked(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
                 held.append(is_held)
                 lengths.append(len(line) + 1)
                 size += len(text or b"")
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(known) >= CHUNK_WORDS:
                     yield close()
                     number += 1
                     known = {END: 0}
@@ -187,7 +193,7 @@ def train_model(chunks: DataFrame, shares: np.ndarray, states: int = STATES, rou
             for names, held, lengths, raw in text_rows(batches, 1):
                 sizes, out = np.array(lengths[0], np.int64), np.array(held[0], bool)
                 own = np.array([word_class(w) for w in names[0]], np.int64)
-                tokens = np.frombuffer(raw[0], np.uint32)[np.repeat(~out, sizes)]
+                tokens = np.frombuffer(raw[0], _number_type(len(own)))[np.repeat(~out, sizes)]
                 for part, more in zip(total, expected_counts(m, own[tokens], _windows(sizes[~out]))):
                     part += more
             flat = np.rint(np.concatenate([t.ravel() for t in total]) * _UNIT).astype(np.int64)
@@ -231,15 +237,16 @@ def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states:
     shared = docs.sparkSession.sparkContext.broadcast((model, total + 0.5 * (kinds + 1)))
 
     pairs = chunks.select("chunk", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
-    found = pairs.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c")))).alias("_c"))
-    joined = chunks.drop("times").join(found.select("chunk", F.transform("_c", lambda x: x["c"]).alias("c")), "chunk")
+    entry = F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), _class_column(F.col("word")).alias("k"))
+    found = pairs.groupBy("chunk").agg(F.sort_array(F.collect_list(entry)).alias("_c"))
+    joined = chunks.drop("words", "times").join(found.select(
+        "chunk", F.transform("_c", lambda x: x["c"]).alias("c"), F.transform("_c", lambda x: x["k"]).alias("k")), "chunk")
 
     def run(batches):
         m, mass = shared.value
-        for names, ids, held, lengths, raw, c in text_rows(batches, 1):
-            sizes, c = np.array(lengths[0], np.int64), np.array(c[0], np.float64)
-            own = np.array([word_class(w) for w in names[0]], np.int64)
-            tokens = np.frombuffer(raw[0], np.uint32)
+        for ids, held, lengths, raw, c, k in text_rows(batches, 1):
+            sizes, c, own = np.array(lengths[0], np.int64), np.array(c[0], np.float64), np.array(k[0], np.int64)
+            tokens = np.frombuffer(raw[0], _number_type(len(own)))
             starts = np.cumsum(sizes) - sizes
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
             inside = np.log10((c + 0.5) / mass[own])
@@ -249,6 +256,6 @@ def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states:
                 "base_score": np.add.reduceat(base[tokens], starts),
                 "score": np.add.reduceat(inside[tokens], starts) + log_likelihood(m, own[tokens], sizes)}, _SCORE)
 
-    return joined.select("words", "ids", "held", "lengths", "tokens", "c").mapInArrow(
+    return joined.select("ids", "held", "lengths", "tokens", "c", "k").mapInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
              "base_score double, score double")

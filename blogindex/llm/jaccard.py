@@ -77,7 +77,7 @@ class Shingler:
 def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
     """Weight of each hash bucket: how often its shingles occur, where that is often.
 
-    A task reports the buckets that hold several times its average. The weights only
+    A task reports the buckets that hold clearly more than its average. The weights only
     order shingles; any order gives the same links. The array has a fixed size.
     """
     def run(batches):
@@ -91,7 +91,7 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
                     some, held = [], 0
         if some:
             counts += np.bincount(np.concatenate(some).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(counts > max(8, 4 * counts.mean()))
+        at = np.flatnonzero(counts > 1 + counts.mean() + 2.5 * np.sqrt(counts.mean()))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "times": pa.array(counts[at], pa.int64())})
 
     often = docs.select(as_bytes()).mapInArrow(run, "bucket int, times bigint") \
@@ -109,21 +109,29 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def may_link(size_a: int, size_b: int, map_a: bytes, map_b: bytes, percent: int) -> bool:
-    """False if the bits that only one bitmap has rule a link out.
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap brought down to so many bytes, by halves laid over each other."""
+    out = np.frombuffer(bits, np.uint8)
+    while len(out) > size:
+        out = out[:len(out) // 2] | out[len(out) // 2:]
+    return out
 
-    Each of them is a shingle that the other set lacks, so the intersection is at most a
+
+def may_link(sizes: np.ndarray, bits: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """False for the pairs (a, b) of rows that the bits of only one bitmap rule out.
+
+    Each such bit is a shingle that the other set lacks, so the intersection is at most a
     set's size less their number.
     """
-    a, b = np.frombuffer(map_a, np.uint8), np.frombuffer(map_b, np.uint8)
-    while len(a) > len(b):
-        a = a[:len(a) // 2] | a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[:len(b) // 2] | b[len(b) // 2:]
-    only_a = int(np.bitwise_count(a & ~b).sum())
-    only_b = int(np.bitwise_count(b & ~a).sum())
-    most = min(size_a - only_a, size_b - only_b)
-    return 100 * most >= percent * (size_a + size_b - most)
+    width = min(map(len, bits))
+    maps = np.stack([folded(x, width) for x in bits]).view(np.uint64)
+    out = np.empty(len(a), bool)
+    for low in range(0, len(a), 20_000):
+        i, j = a[low:low + 20_000], b[low:low + 20_000]
+        x, y = maps[i], maps[j]
+        most = np.minimum(sizes[i] - np.bitwise_count(x & ~y).sum(axis=1), sizes[j] - np.bitwise_count(y & ~x).sum(axis=1))
+        out[low:low + 20_000] = 100 * most >= percent * (sizes[i] + sizes[j] - most)
+    return out
 
 
 _SET_DDL = "doc_id bigint, size int, key binary, prefix array<bigint>, bits binary"
@@ -161,11 +169,11 @@ def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator
     """Rows of tiles with company, and for each one or two partners to try first.
 
     Rows come sorted by (token, size, id). A row's partners are the last row before it in
-    its tile that may be the smaller side, and the first such row of its size band. Only
-    the rows that a later one may refer to are carried over to the next batch.
+    its tile that may be the smaller side, and the row of the smallest id, as copies often
+    come after what they were made of. Only the rows that a later one may refer to are
+    carried over to the next batch.
     """
     kept = None
-    step = np.log(100 / percent)
 
     def work(token, size, id_, low, ghosts, final):
         n = len(token)
@@ -176,16 +184,12 @@ def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator
         last = np.maximum.accumulate(np.where(low, at, -1))
         before = np.r_[-1, last[:-1]]
         before[(before >= 0) & (run[np.maximum(before, 0)] != run)] = -1
-        band = np.floor(np.log(np.maximum(size, 1)) / step + 1e-9).astype(np.int64)
-        part = np.cumsum(np.r_[True, (run[1:] != run[:-1]) | (band[1:] != band[:-1])])
-        firsts = np.full(part[-1] + 1, n)
-        np.minimum.at(firsts, part[low], at[low])
-        first = firsts[part]
-        first = np.where(first < at, first, -1)
+        by_id = np.lexsort((id_, run))
+        oldest = by_id[np.flatnonzero(new)][run - 1]
         hold = np.zeros(n, bool)
         if not final:  # what the next batch may refer to, and the last row, which may have company yet
             hold[-1] = True
-            for p in (last[-1], firsts[part[-1]]):
+            for p in (last[-1], oldest[-1]):
                 if 0 <= p < n and run[p] == run[-1]:
                     hold[p] = True
         emit = ~alone & ~ghosts
@@ -196,12 +200,12 @@ def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator
             held_back[-1] = not ghosts[-1]
         live = np.flatnonzero(emit)
         out = [(token[live], size[live], id_[live], low[live], None, None)]
-        for partner in (before, np.where(first == before, -1, first)):
+        for partner in (before, np.where((oldest == before) | (oldest == at), -1, oldest)):
             some = live[partner[live] >= 0]
-            p = partner[some]
-            fits = 100 * size[p].astype(np.int64) >= percent * size[some].astype(np.int64)
-            some, p = some[fits], p[fits]
-            out.append((token[some], size[some], id_[some], low[some], id_[p], size[p]))
+            small, large = np.minimum(some, partner[some]), np.maximum(some, partner[some])
+            fits = 100 * size[small].astype(np.int64) >= percent * size[large].astype(np.int64)
+            small, large = small[fits], large[fits]
+            out.append((token[large], size[large], id_[large], low[large], id_[small], size[small]))
         rest = np.flatnonzero(hold)
         return out, (token[rest], size[rest], id_[rest], low[rest], ~held_back[rest])
 
@@ -230,16 +234,17 @@ def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator
 def _crossing(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, size_a, size_b) of every pair of a tile that may link and is not in one component.
 
-    Rows: token, cell, part, size, id, low, component, sorted by (token, cell, size, id).
-    A cell holds at most two parts of a large tile, and pairs come from different ones.
+    Rows: token, cell, part, size, id, low, component, bits, sorted by (token, cell, size,
+    id). A cell holds at most two parts of a large tile, and pairs come from different
+    ones. Only pairs that their bitmaps do not rule out leave the tile.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32())])
     kept: list[np.ndarray] | None = None
 
-    def tile(part, size, id_, low, component, across):
+    def tile(part, size, id_, low, component, bits, across):
         for b0 in range(0, len(id_), 512):
             b = slice(b0, b0 + 512)
-            start = np.searchsorted(size, -(-int(size[b0]) * percent // 100))
+            start = int(np.searchsorted(size, -(-int(size[b0]) * percent // 100)))
             a = slice(start, min(b0 + 512, len(id_)))
             fits = low[a][:, None] & (component[a][:, None] != component[b][None, :])
             fits &= 100 * size[a].astype(np.int64)[:, None] >= percent * size[b].astype(np.int64)[None, :]
@@ -247,22 +252,27 @@ def _crossing(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             if across:
                 fits &= part[a][:, None] != part[b][None, :]
             i, j = np.nonzero(fits)
+            i, j = i + a.start, j + b.start
+            if len(i):
+                used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                may = may_link(size[used].astype(np.int64), [bits[u] for u in used], at[:len(i)], at[len(i):], percent)
+                i, j = i[may], j[may]
             if len(i):
-                yield rows_of({"a": id_[a][i], "b": id_[b][j], "size_a": size[a][i], "size_b": size[b][j]}, schema)
+                yield rows_of({"a": id_[i], "b": id_[j], "size_a": size[i], "size_b": size[j]}, schema)
 
     def tiles(columns):
-        token, cell, part, size, id_, low, component = columns
+        token, cell, part, size, id_, low, component, bits = columns
         new = np.r_[True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]
         starts = np.r_[np.flatnonzero(new), len(token)]
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if e - s > 1 and (component[s:e] != component[s]).any():
                 parts = part[s:e]
-                yield from tile(parts, size[s:e], id_[s:e], low[s:e], component[s:e], (parts != parts[0]).any())
+                yield from tile(parts, size[s:e], id_[s:e], low[s:e], component[s:e], bits[s:e], (parts != parts[0]).any())
 
     for batch in sorted_rows:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
         if kept is not None:
             columns = [np.concatenate(pair) for pair in zip(kept, columns)]
         token, cell = columns[:2]
@@ -292,11 +302,13 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df[key] == ids["id"], "left_semi")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b) of the pairs that link: first by bitmaps, then by exact overlap."""
+def linked(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b) of the pairs that link: by the bitmaps of sets, if these are given, then by exact overlap."""
     @F.pandas_udf("boolean")
     def by_bits(a: pd.Series, b: pd.Series, size_a: pd.Series, size_b: pd.Series) -> pd.Series:
-        return pd.Series([may_link(*x, like.percent) for x in zip(size_a, size_b, a, b)], dtype="bool")
+        first, second = np.array([0]), np.array([1])
+        return pd.Series([may_link(np.array(x[:2]), list(x[2:]), first, second, like.percent)[0]
+                          for x in zip(size_a, size_b, a, b)], dtype="bool")
 
     @F.pandas_udf("boolean")
     def by_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -313,11 +325,12 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(ids, pa.int64()), "hashes": pa.array([make(t).tobytes() for t in texts], pa.binary())})
 
-    maps = sets.select("id", "bits")
-    near = pairs.join(maps.withColumnsRenamed({"id": "a", "bits": "bits_a"}), "a") \
-        .join(maps.withColumnsRenamed({"id": "b", "bits": "bits_b"}), "b") \
-        .filter(by_bits("bits_a", "bits_b", "size_a", "size_b")).select("a", "b")
-    near = stored(near, "candidates")
+    if sets is not None:
+        maps = sets.select("id", "bits")
+        pairs = pairs.join(maps.withColumnsRenamed({"id": "a", "bits": "bits_a"}), "a") \
+            .join(maps.withColumnsRenamed({"id": "b", "bits": "bits_b"}), "b") \
+            .filter(by_bits("bits_a", "bits_b", "size_a", "size_b"))
+    near = stored(pairs.select("a", "b"), "candidates")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes()), ids, "doc_id")
     # Repeated rows of an id have the same text; one of them is enough.
@@ -359,10 +372,11 @@ def link_classes(classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFra
     cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: (
         F.least(F.col("part"), j) * F.col("_parts") + F.greatest(F.col("part"), j)).cast("int"))
     rows = live.join(large, "token").withColumn("part", part).withColumn("cell", F.explode(cells)) \
-        .select("token", "cell", "part", "size", "id", "low", "component")
+        .join(classes.select("id", "bits"), "id") \
+        .select("token", "cell", "part", "size", "id", "low", "component", "bits")
     crossing = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "id").mapInArrow(
         lambda batches: _crossing(batches, p), "a bigint, b bigint, size_a int, size_b int")
-    second = linked(_enough(crossing, like), classes, docs, like)
+    second = linked(_enough(crossing, like), None, docs, like)
     drop_stored(tiles, live, known)
     return first.unionAll(second)
 
