@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blogindex.functions import urls
 from blogindex.operators import domains as dom
-from blogindex.plans.sizing import chunk_of
+from blogindex.plans.sizing import chunk_of, sums_before
 from blogindex.session import work_root
 from blogindex.settings import DEFAULTS
 
@@ -97,13 +97,11 @@ def _numbered(df: DataFrame, parent: str, order: list[str], start: int, span: in
     """Dense numbers in the given order, without one task that sees all rows.
 
     Rows are numbered inside chunks of parents; only the chunk sizes, one row per
-    span of parents, are summed in order.
+    span of parents, are summed in order, again in runs.
     """
     chunked = df.withColumn("_chunk", chunk_of(F.col(parent), span))
     sizes = chunked.groupBy("_chunk").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    offsets = sums_before(sizes, "_chunk", ["_size"]).withColumnRenamed("_o__size", "_offset")
     inside = Window.partitionBy("_chunk").orderBy(*order)
     return (chunked.withColumn("_row", F.row_number().over(inside))
             .join(offsets, "_chunk")

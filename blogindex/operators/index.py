@@ -56,7 +56,8 @@ def analyze(df: DataFrame, key: str, text: Column, config: str = "simple",
     return _stemmed(placed, "_l", config).transform(lambda d: unnest(d, "_l", key))
 
 
-def _entries(pages: DataFrame, keep: list[str], config: str, stop_words: list[str] | None) -> DataFrame:
+def _entries(pages: DataFrame, keep: list[str], config: str, stop_words: list[str] | None,
+             position_limits: bool) -> DataFrame:
     """The kept columns and _all, the (lexeme, pos, weight) list of the weighted fields.
 
     Each field continues behind the last kept position of those before it. Everything
@@ -67,44 +68,50 @@ def _entries(pages: DataFrame, keep: list[str], config: str, stop_words: list[st
              for i, (name, _) in enumerate(FIELDS)}
     df = pages.select(*keep, *[lexemes(F.coalesce(t, F.lit("")), config, stop_words).alias(n)
                                for n, t in texts.items()])
-    cap = F.lit(MAX_POSITION)
+    def capped(pos: Column) -> Column:
+        return F.least(pos, F.lit(MAX_POSITION)) if position_limits else pos
+
     df = df.withColumns({
         f"_e{i}": F.coalesce(F.try_element_at(F.col(f"_f{i}"), F.lit(-1))["pos"], F.lit(0))
         for i in range(len(FIELDS))})
 
     def placed(i: int, weight: str, start: Column) -> Column:
         return F.transform(F.col(f"_f{i}"), lambda e: F.struct(
-            e["lexeme"].alias("lexeme"), F.least(e["pos"] + start, cap).alias("pos"),
+            e["lexeme"].alias("lexeme"), capped(e["pos"] + start).alias("pos"),
             F.lit(weight).alias("weight")))
 
     start: Column = F.lit(0)
     shifted = []
     for i, (_, weight) in enumerate(FIELDS):
         shifted.append(placed(i, weight, start))
-        start = F.least(start + F.col(f"_e{i}"), cap)
+        start = capped(start + F.col(f"_e{i}"))
     return _stemmed(df.select(*keep, F.concat(*shifted).alias("_all")), "_all", config)
 
 
 def document_vectors(pages: DataFrame, key: str = "id", config: str = "simple",
-                     stop_words: list[str] | None = None) -> DataFrame:
+                     stop_words: list[str] | None = None, position_limits: bool = True) -> DataFrame:
     """(key, lexeme, pos, weight) of each page's fields; needs no shuffle."""
-    entries = _entries(pages, [key], config, stop_words)
+    entries = _entries(pages, [key], config, stop_words, position_limits)
     return unnest(entries, "_all", key)
 
 
 def build_postings(pages: DataFrame, key: str = "id", config: str = "simple",
-                   stop_words: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+                   stop_words: list[str] | None = None, keep: list[str] | None = None,
+                   position_limits: bool = True) -> DataFrame:
     """(lexeme, key, keep..., positions): positions with weight letter, in order, each once.
 
+    With position_limits, the published limits of the search-vector type hold: 256 positions
+    per lexeme, and those above 16,383 are pressed into it. Without, every position is kept.
+
     A page's entries are sorted and cut into runs of one lexeme inside its row, so the
     postings come out of a map-only plan; only writing them by lexeme shuffles.
     """
     columns = [key, *(keep or [])]
-    entries = _entries(pages, columns, config, stop_words)
+    entries = _entries(pages, columns, config, stop_words, position_limits)
 
     def once(run: Column) -> Column:
         kept = F.filter(run, lambda p, i: (i == 0) | (p["pos"] != F.try_element_at(run, i)["pos"]))
-        return F.slice(kept, 1, MAX_POSITIONS)
+        return F.slice(kept, 1, MAX_POSITIONS) if position_limits else kept
 
     grouped = runs(entries, "_all", "lexeme", lambda run: F.transform(
         run, lambda e: F.struct(e["pos"].alias("pos"), e["weight"].alias("w"))), "_run")

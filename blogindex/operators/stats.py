@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blogindex.plans.sizing import chunk_of
+from blogindex.plans.sizing import chunk_of, sums_before
 from blogindex.schemas import STATS_COUNTERS
 
 COUNTS = ["processed", "inserted", "updated", "skipped", "errors"]
@@ -122,14 +122,12 @@ def page_count(pages: DataFrame) -> DataFrame:
 def running_totals(df: DataFrame, order: str, columns: list[str], span: int = 100_000) -> DataFrame:
     """Sums of the columns over all rows up to each one, in order of a dense number.
 
-    Chunks are summed in parallel; only their totals, one row each, pass through an
-    ordering of the whole.
+    Chunks are summed in parallel, then runs of their totals, one row each; only one row
+    per run passes through an ordering of the whole.
     """
     rows = df.withColumn("_chunk", chunk_of(F.col(order), span))
     totals = rows.groupBy("_chunk").agg(*[F.sum(c).alias(c) for c in columns])
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in columns])
+    offsets = sums_before(totals, "_chunk", columns)
     inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumns({f"_r_{c}": F.sum(c).over(inside) for c in columns})

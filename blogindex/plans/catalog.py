@@ -130,12 +130,8 @@ def read_corpus(spark, d):
     pages = ad.labelled_docs(spark, d).withColumn("site", F.element_at("keywords", 2))
     for name, label in (("positive", 1.0), ("negative", 0.0)):
         (pages.filter(F.col("label") == label).select("site", *schemas.PAGE_COLUMNS)
-         .write.partitionBy("site").json(f"{root}/{name}"))
-    # One record per file is the corpus form; files of JSON lines read the same without multiLine.
-    def read(name, label):
-        return spark.read.schema(schemas.PAGE).json(f"{root}/{name}/*/*.json").withColumn("label", F.lit(label))
-
-    return classify.training_set(read("positive", 1.0).drop("label"), read("negative", 0.0).drop("label")) \
+         .write.option("maxRecordsPerFile", 1).partitionBy("site").json(f"{root}/{name}"))
+    return records.read_corpus(spark, f"{root}/positive", f"{root}/negative") \
         .select("location", "label", F.size("content").cast("bigint").alias("lines"))
 
 
@@ -324,7 +320,7 @@ def crawl_waves(spark, d):
     first = ad.table(spark, d, "documents").filter("doc_id = 0").select(
         F.format_string("https://%s.example.com/%s/%d", "source", "lang", "doc_id").alias("location"),
         F.col("doc_id").alias("seq"))
-    return frontier.crawl_waves(first, pages, span=128)
+    return frontier.crawl_waves(first, pages)
 
 
 # ---- text and features
@@ -559,7 +555,7 @@ def stats_for(spark, d):
 
 @query
 def session_totals(spark, d):
-    return stats.session_totals(ad.batches(spark, d), span=32)
+    return stats.session_totals(ad.batches(spark, d))
 
 
 @query
@@ -595,6 +591,14 @@ def postings(spark, d):
     return rows.select("lexeme", F.col("id").alias("url"), written.alias("positions"))
 
 
+@query
+def postings_without_limits(spark, d):
+    """Every position of every lexeme, none pressed together."""
+    rows = index.build_postings(ad.indexed_docs(spark, d).withColumn("id", F.col("url")), position_limits=False)
+    written = F.array_join(F.transform("positions", lambda p: F.concat(p["pos"].cast("string"), p["w"])), " ")
+    return rows.select("lexeme", F.col("id").alias("url"), written.alias("positions"))
+
+
 @query
 def parse_queries(spark, d):
     return search.parse_queries(ad.queries(spark, d)).select("query_id", "lexeme", F.col("n").cast("bigint").alias("n"))
@@ -702,7 +706,7 @@ def summary_change(spark, d):
     pages = rows.groupBy("snapshot").agg(F.count("*").alias("total_pages"))
     first = rows.groupBy("domain").agg(F.min("snapshot").alias("snapshot")).groupBy("snapshot").agg(F.count("*").alias("unique_domains"))
     counts = pages.join(first, "snapshot", "left").select("snapshot", "total_pages", F.coalesce("unique_domains", F.lit(0)).alias("unique_domains"))
-    return stats.summary_change(stats.running_totals(counts, "snapshot", ["total_pages", "unique_domains"], span=4))
+    return stats.summary_change(stats.running_totals(counts, "snapshot", ["total_pages", "unique_domains"]))
 
 
 # ---- trained classifier and English search

@@ -408,6 +408,8 @@ ORACLES: dict[str, str] = {
     "document_vectors": f"WITH {VEC} SELECT url, lexeme, pos, weight FROM vec",
     "postings": f"""WITH {VEC} SELECT lexeme, url, string_agg(pos || weight, ' ' ORDER BY pos) AS positions
         FROM post GROUP BY ALL""",
+    "postings_without_limits": f"""WITH {VEC.replace('least(generate_subscripts(l, 1) + shift, 16383)', 'generate_subscripts(l, 1) + shift')
+        .replace('WHERE nth <= 256', '')} SELECT lexeme, url, string_agg(pos || weight, ' ' ORDER BY pos) AS positions FROM post GROUP BY ALL""",
     "parse_queries": f"WITH {QRY}, {TERMS} SELECT query_id, lexeme, n FROM terms",
     "match": f"WITH {HITS} SELECT query_id, url FROM hits",
     "rank": f"WITH {RANKED} SELECT query_id, url, round(rank, 6) AS rank FROM ranked",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,17 @@ def chunk_of(seq: Column, span: int) -> Column:
     the keys are; ordered work on a hot key then splits by chunk.
     """
     return F.floor(seq / F.lit(span)).cast("bigint")
+
+
+def sums_before(totals: DataFrame, chunk: str, columns: list[str]) -> DataFrame:
+    """(chunk, _o_<column>...): sums over all chunks before each one, of one row per chunk.
+
+    Runs of 1,024 chunks are summed apart; only one row per run meets in one task.
+    """
+    runs = totals.withColumn("_run", F.floor(F.col(chunk) / 1024))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = runs.groupBy("_run").agg(*[F.sum(c).alias(c) for c in columns])
+    base = whole.select("_run", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    inside = Window.partitionBy("_run").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    summed = runs.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    return summed.join(base, "_run").select(chunk, *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(f"_o_{c}") for c in columns])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blogindex import schemas
+from blogindex.functions import text as tx
 
 _EMPTY_LIST = "cast(array() as array<string>)"
 
@@ -110,10 +111,14 @@ def gate_documents(df: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, positive: str, negative: str) -> DataFrame:
-    """Labelled page files: <root>/<domain>/*.json, label 1.0 or 0.0 by root."""
+    """Labelled page files: <root>/<domain>/*.json, one record each, label 1.0 or 0.0 by root.
+
+    Pages without any text to train on are left out.
+    """
     def labelled(root: str, label: float) -> DataFrame:
         return (spark.read.schema(schemas.PAGE).option("multiLine", True)
                 .json(f"{root}/*/*.json")
+                .filter(tx.strip(tx.page_text(schemas.TRAIN_FIELDS)) != "")
                 .withColumn("label", F.lit(label)))
 
     return labelled(positive, 1.0).unionByName(labelled(negative, 0.0))

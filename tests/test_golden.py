@@ -403,3 +403,22 @@ def test_model_that_cannot_be_read_is_not_replaced(spark, tmp_path):
     (tmp_path / "model").mkdir()
     with pytest.raises(Exception):
         classify.load_or_train(str(tmp_path / "model"), lambda: pytest.fail("trained"), "doc_id")
+
+
+def test_corpus_leaves_out_blank_pages(spark, tmp_path):
+    for kind, texts in (("yes", ["about code", " \t "]), ("no", ["shop", ""])):
+        for i, text in enumerate(texts):
+            folder = tmp_path / kind / f"site{i}"
+            folder.mkdir(parents=True)
+            (folder / "a.json").write_text(json.dumps({"location": f"http://{kind}{i}.org/", "content": [text]}, indent=1))
+    got = records.read_corpus(spark, str(tmp_path / "yes"), str(tmp_path / "no")).select("location", "label").collect()
+    assert sorted(map(tuple, got)) == [("http://no0.org/", 0.0), ("http://yes0.org/", 1.0)]
+
+
+def test_running_totals_over_many_runs(spark):
+    rows = spark.range(5000).select(F.col("id").alias("batch"), (F.col("id") % 7).alias("v"))
+    got = {r.batch: r.v for r in stats.running_totals(rows, "batch", ["v"], span=2).collect()}
+    total = 0
+    for i in range(5000):
+        total += i % 7
+        assert got[i] == total
