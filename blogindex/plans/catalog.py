@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blogindex import schemas
 from blogindex.functions import text as tx
 from blogindex.functions import urls
+from blogindex.functions.sql import register_functions
 from blogindex.functions.stopwords import ENGLISH_STOP_WORDS
 from blogindex.operators import (
     classify, domains, extract, features, frontier, index, ingest, present, routing, search,
@@ -82,10 +83,11 @@ def rejected_pages(spark, d):
 @query
 def typed_pages(spark, d):
     """Page JSON with content as one string, and a wrong type in the keywords of some sources."""
+    whole = F.array_join("content", "\n")
     keywords = F.when(F.element_at("keywords", 2) == "src1", F.lit("7")) \
         .otherwise(F.to_json("keywords"))
     value = F.concat(F.lit('{"location":'), F.to_json(F.array("location")).substr(F.lit(2), F.length(F.to_json(F.array("location"))) - 2),
-                     F.lit(',"content":'), F.to_json(F.array("title")).substr(F.lit(2), F.length(F.to_json(F.array("title"))) - 2),
+                     F.lit(',"content":'), F.to_json(F.array(whole)).substr(F.lit(2), F.length(F.to_json(F.array(whole))) - 2),
                      F.lit(',"keywords":'), keywords, F.lit(',"links":null}'))
     raw = ad.doc_pages(spark, d).select("doc_id", value.alias("value"))
     return records.parse_typed_pages(raw).select(
@@ -97,10 +99,13 @@ def typed_pages(spark, d):
 @query
 def pages_json(spark, d):
     value = F.col("value")
+    record = F.from_json(value, schemas.PAGE)
     return stores.page_json(ad.doc_pages(spark, d)).select(
         F.get_json_object(value, "$.location").alias("location"),
         F.get_json_object(value, "$.author").alias("author"),
         F.get_json_object(value, "$.created_at").cast("bigint").alias("created_at"),
+        F.md5(F.concat_ws("|", *[F.array_join(record[c], ",") if c in schemas.LIST_COLUMNS else record[c].cast("string")
+                                 for c in schemas.PAGE_COLUMNS[:-1]])).alias("digest"),
         F.size(F.json_object_keys(value)).cast("bigint").alias("fields"))
 
 
@@ -192,6 +197,25 @@ def normalize_link(spark, d):
                        urls.normalize_link(F.col("url"), F.col("href")).alias("link"))
 
 
+@query
+def sql_normalize_link(spark, d):
+    """The same through the SQL functions."""
+    register_functions(spark)
+    shapes = F.array(*[F.lit(s) for s in LINK_SHAPES])
+    rows = ad.table(spark, d, "pages").select("page_id", "url", F.posexplode(shapes).alias("shape", "href"))
+    return rows.selectExpr("page_id", "cast(shape AS bigint) AS shape", "normalize_link(url, href) AS link")
+
+
+@query
+def sql_page_columns(spark, d):
+    """Hash, word count, hosts of documents as pages, by the SQL functions."""
+    register_functions(spark)
+    pages = ad.doc_pages(spark, d).select("doc_id", "title", "location", F.array_join("content", " ").alias("body"))
+    return pages.selectExpr(
+        "doc_id", "content_hash(title, body) AS content_hash", "cast(word_count(body) AS bigint) AS word_count",
+        "hostname(location) AS hostname", "netloc(location) AS netloc", "extract_domain(location) AS domain")
+
+
 @query
 def block_domains(spark, d):
     pages = ad.table(spark, d, "pages").select("page_id", "url")
@@ -266,6 +290,20 @@ def assemble_page(spark, d):
                                                ("headings", "content", "links", "script_content")])
 
 
+@query
+def extract_meta(spark, d):
+    """Meta fields and the first script link; the table has none, so tags made from its columns come first."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    tags = F.concat(
+        F.lit('<meta name="description" content=" About '), host, F.lit(' "><meta name="description" content=" ">'
+              '<meta name="author" content="First"><meta content="'), host, F.lit('" name=" author "><meta name="Author" content="No">'
+              '<meta name="keywords" content="k1, '), F.col("page_id").cast("string"), F.lit(',z"><script src="/c"></script>'))
+    pages = ad.raw_pages(spark, d).select("page_id", "url", F.concat(tags, "html").alias("html"))
+    return extract.extract_pages(pages).select(
+        "page_id", "description", "author", F.array_join("keywords", "|").alias("keywords"),
+        F.get("script_links", F.lit(0)).alias("script_link"))
+
+
 # ---- frontier
 
 @query

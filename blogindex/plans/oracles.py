@@ -285,10 +285,11 @@ ORACLES: dict[str, str] = {
     "parse_pages_router": doc_digest("''"),
     "rejected_pages": f"""WITH {DOCS} SELECT doc_id, substr('"title":' || to_json(title) || ',"keywords":["fr","' || source
         || '"],"headings":[],"content":[', 1, 40) AS value FROM docs WHERE {JSON_BAD}""",
-    "typed_pages": f"""WITH {DOCS} SELECT doc_id, location, title AS content,
+    "typed_pages": f"""WITH {DOCS} SELECT doc_id, location, array_to_string(content, chr(10)) AS content,
         CASE WHEN source = 'src1' THEN '' ELSE lang || '|' || source END AS keywords, 0::BIGINT AS links,
         source = 'src1' AS type_error FROM docs""",
-    "pages_json": f"WITH {DOCS} SELECT location, '' AS author, created_at * 1000 AS created_at, 11::BIGINT AS fields FROM docs",
+    "pages_json": f"""WITH {DOCS} SELECT location, '' AS author, created_at * 1000 AS created_at, 11::BIGINT AS fields,
+        md5(array_to_string([title, '', '', lang || ',' || source, '', array_to_string(content, ','), '', '', '', location], '|')) AS digest FROM docs""",
     "store_lookup": f"""WITH {DOCS} SELECT {uuid('sha256(location)')} AS id, source || '.example.com' AS host, location
         FROM docs WHERE lang = 'en'""",
     "read_seeds": "SELECT url AS location FROM pages WHERE url NOT LIKE '%#%'",
@@ -324,6 +325,13 @@ ORACLES: dict[str, str] = {
     "extract_content": html_list(CONTENT_TAGS, "content"),
     "extract_script_text": html_list("'script'", "script_content"),
     "extract_links": f"WITH {LINKS} SELECT page_id, pos, links FROM links",
+    "extract_meta": r"""WITH b AS (
+        SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+', 0) AS o,
+               rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') AS p, regexp_extract(url, '[?#].*$', 0) AS q FROM pages)
+        SELECT page_id, 'About ' || host AS description, host AS author, 'k1| ' || page_id || '|z' AS keywords, o || p || '/c' || q AS script_link FROM b""",
+    "sql_page_columns": f"""WITH {DOCS} SELECT doc_id, {content_hash('title', 'body')} AS content_hash,
+        CASE WHEN body = '' THEN 0 ELSE {word_count('body')} END AS word_count, source || '.example.com' AS hostname,
+        source || '.example.com' AS netloc, source || '.example.com' AS domain FROM docs""",
     "assemble_page": f"""WITH {HTML} SELECT p.page_id, any_value(p.url) AS location, 1706745600000 AS created_at,
         count(*) FILTER (state IN ('h1','h2','h3','h4','h5','h6')) AS headings, count(*) FILTER (state IN ({CONTENT_TAGS})) AS content,
         any_value(len(regexp_extract_all(p.html, '<a href='))) AS links, count(*) FILTER (state = 'script') AS script_content
@@ -448,6 +456,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'frontier', unnest([location, location || '/next']) FROM r WHERE p < 80
         UNION ALL SELECT DISTINCT 'blacklist', source || '.example.com' FROM r WHERE p >= 80""",
 }
+ORACLES["sql_normalize_link"] = ORACLES["normalize_link"]
 ORACLES["stream_index"] = ORACLES["apply_upsert"]
 
 # Search over the visits' final table: the same SQL with that table for the documents.
