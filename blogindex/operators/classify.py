@@ -62,7 +62,7 @@ def _fit(docs: DataFrame, key: str, C: float, balanced: bool, stop_words: list[s
     n_docs = fe.document_count(source)
     vocabulary = fe.select_vocabulary(
         fe.term_counts(source, key, stop_words=stop_words), n_docs, size=vocabulary_size)
-    rows = vocabulary.join(fe.idf(vocabulary, n_docs), "term").orderBy("term").collect()
+    rows = fe.idf(vocabulary, n_docs).orderBy("term").collect()
     if not rows:
         raise ValueError("no term is frequent enough to train on")
     stages = fe.vector_stages([r["term"] for r in rows], [r["idf"] for r in rows])

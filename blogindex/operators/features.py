@@ -114,7 +114,7 @@ def vectorize(docs: DataFrame, key: str, vocabulary: DataFrame, n_docs: DataFram
     counting, weighing and the norm happen in the document's row, so nothing is shuffled.
     A document without a term of the vocabulary has empty lists.
     """
-    rows = vocabulary.join(idf(vocabulary, n_docs), "term").orderBy("term").collect()
+    rows = idf(vocabulary, n_docs).orderBy("term").collect()
     terms = [r["term"] for r in rows]
     if not terms:
         empty = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<double>)")
