@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance down the directories.
 
-Only DataFrame functions run on the data. What depends on the templates alone, a few
-dozen words, is computed on the driver and enters the plan as literals.
+Only DataFrame functions run on the data. The number of files with each word is counted
+over all words and files; only what depends on the templates alone, a few dozen words, is
+computed on the driver and enters the plan as literals.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blogindex.llm.common import stored
+
 # Short notices of common licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,61 +48,96 @@ def _folder(path: Column) -> Column:
 
 
 class Weights:
-    """Term weights of the templates, from the number of files that hold each term."""
+    """Term weights of all files, from the number of files that hold each term.
+
+    The counts of all terms stay a table; only those of the template terms come to the driver.
+    """
 
     def __init__(self, files: DataFrame, templates: list[tuple[str, str]], threshold: float):
         bags = {name: Counter(re.findall(_TERM, text.lower())) for name, text in templates}
         names = sorted(set().union(*bags.values()))
-        found = F.array_intersect(_terms(F.col("text")), F.array(*[F.lit(t) for t in names]))
-        seen = files.select(F.explode(found).alias("term")).groupBy("term").count().collect()
-        n, df = files.select("path").count(), {r["term"]: r["count"] for r in seen}
+        counts = stored(files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+                        .groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+        n = files.count()
+        df = {r["term"]: r["df"] for r in counts.filter(F.col("term").isin(names)).collect()}
+        self.counts = counts.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
         self.idf = {t: math.log((n + 1.0) / (df.get(t, 0) + 1.0)) + 1.0 for t in names}
-        self.other = math.log(n + 1.0) + 1.0
         raw = {name: {t: k * self.idf[t] for t, k in bag.items()} for name, bag in bags.items()}
-        self.unit = {}
-        self.anchors: set[str] = set()
+        self.size = {name: sum(bag.values()) for name, bag in bags.items()}
+        self.unit: dict[str, dict[str, float]] = {}
+        self.anchors: dict[str, list[str]] = {}
+        # By Cauchy-Schwarz the cosine is at most the length of the part of the template
+        # whose terms a text holds, whatever else it holds.
+        self.least = threshold * threshold * 0.999
         for name, weights in raw.items():
             norm = math.sqrt(sum(w * w for w in weights.values()))
             self.unit[name] = {t: w / norm for t, w in weights.items()}
             # A text that holds none of the heaviest terms cannot reach the threshold:
             # all the lighter ones together are shorter than it.
-            rest = 0.0
+            rest, self.anchors[name] = 0.0, []
             for t, w in sorted(self.unit[name].items(), key=lambda x: (x[1], x[0])):
                 rest += w * w
-                if rest >= threshold * threshold * 0.999:
-                    self.anchors.add(t)
-
-    def table(self, files: DataFrame) -> DataFrame:
-        """(term, idf, uses): one row per term, as literals."""
-        rows = [F.struct(F.lit(t).alias("term"), F.lit(self.idf[t]).alias("idf"), F.array(*[
-            F.struct(F.lit(name).alias("name"), F.lit(unit[t]).alias("unit"))
-            for name, unit in sorted(self.unit.items()) if t in unit]).alias("uses")) for t in sorted(self.idf)]
+                if rest >= self.least:
+                    self.anchors[name].append(t)
+
+    def near(self, terms: Column) -> Column:
+        """The templates that a list of terms can reach, as structs."""
+        rows = [F.struct(
+            F.lit(name).alias("name"), F.lit(self.size[name]).alias("size"),
+            F.array(*map(F.lit, self.anchors[name])).alias("anchors"),
+            F.create_map(*[F.lit(x) for t, u in sorted(unit.items()) for x in (t, u * u)]).alias("squares"))
+            for name, unit in sorted(self.unit.items())]
+        held = F.array_intersect(terms, F.array(*map(F.lit, sorted(self.idf))))
+        return F.filter(F.array(*rows), lambda k: F.aggregate(
+            held, F.lit(0.0), lambda x, t: x + F.coalesce(F.try_element_at(k["squares"], t), F.lit(0.0))) >= self.least)
+
+    def terms(self, files: DataFrame) -> DataFrame:
+        """(term, known): the idf of the template terms, as literals."""
+        rows = [F.struct(F.lit(t).alias("term"), F.lit(w).alias("known")) for t, w in sorted(self.idf.items())]
+        return files.sparkSession.range(1).select(F.inline(F.array(*rows)))
+
+    def units(self, files: DataFrame) -> DataFrame:
+        """(name, term, unit): the templates as vectors of length one, as literals."""
+        rows = [F.struct(F.lit(name).alias("name"), F.lit(t).alias("term"), F.lit(u).alias("unit"))
+                for name, unit in sorted(self.unit.items()) for t, u in sorted(unit.items())]
         return files.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
+def _lines(texts: DataFrame, weights: Weights, anchor: str) -> DataFrame:
+    """(path, is_file, name, part, terms): lines, and whole texts of licence files, with templates they can reach."""
+    parts = F.filter(F.split("text", "\n"), lambda line: line.rlike(anchor))
+    parts = F.when(F.col("is_file"), F.array_union(F.array("text"), parts)).otherwise(F.array_distinct(parts))
+    segments = texts.select("path", "is_file", F.posexplode(parts).alias("part", "segment")) \
+        .select("path", "is_file", "part", F.regexp_extract_all("segment", F.lit(f"({_TERM})"), 1).alias("terms"))
+    return segments.select("path", "is_file", "part", "terms", F.explode(weights.near(F.col("terms"))).alias("_k")) \
+        .select("path", "is_file", F.col("_k.name").alias("name"), "part", "terms")
+
+
 def own_licences(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(path, licence, similarity, is_file) of the files with a notice like a template.
 
-    Every line of a text is compared, and for a licence file also the whole text. Lines
-    without an anchor term are skipped, which cannot reach the threshold.
+    Every line of a text is compared, and for a licence file also the whole text. What
+    holds too few terms of a template to reach the threshold is skipped.
     """
     weights = Weights(files, templates, threshold)
-    anchor = rf"(?<![a-z0-9])({'|'.join(sorted(weights.anchors))})(?![a-z0-9])"
+    anchor = rf"(?<![a-z0-9])({'|'.join(sorted(set().union(*weights.anchors.values())))})(?![a-z0-9])"
     is_file = F.col("path").rlike(LICENCE_FILE)
-    hits = files.select("path", _lower(F.col("text")).alias("text"), is_file.alias("is_file")).filter(F.col("text").rlike(anchor))
-    parts = F.filter(F.split("text", "\n"), lambda line: line.rlike(anchor))
-    parts = F.when(F.col("is_file"), F.array_union(F.array("text"), parts)).otherwise(F.array_distinct(parts))
-    segments = hits.select("path", "is_file", F.posexplode_outer(parts).alias("part", "segment")).filter("segment IS NOT NULL")
-    terms = segments.select("path", "is_file", "part", F.explode(F.regexp_extract_all("segment", F.lit(f"({_TERM})"), 1)).alias("term")) \
-        .groupBy("path", "is_file", "part", "term").agg(F.count("*").alias("tf"))
-    # The term table has as many rows as the templates have terms.
-    weighed = terms.join(F.broadcast(weights.table(files)), "term", "left") \
-        .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
-    lengths = weighed.groupBy("path", "is_file", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.select("path", "part", "w", F.inline("uses")).groupBy("path", "part", "name") \
-        .agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    scored = dots.join(lengths, ["path", "part"]).select(
-        "path", "is_file", "name", F.round(F.col("dot") / F.col("length"), 6).alias("similarity")) \
+    texts = files.select("path", _lower(F.col("text")).alias("text"), is_file.alias("is_file")).filter(F.col("text").rlike(anchor))
+    segments = _lines(texts, weights, anchor)
+    key = ["path", "is_file", "name", "part"]
+    terms = stored(segments.select(*key, F.explode("terms").alias("term"))
+                   .groupBy(*key, "term").agg(F.count("*").alias("tf")), "licence-terms")
+    # The literal tables have as many rows as the templates have terms. The other terms
+    # meet their counts in a shuffle; template terms, the commonest here, pass it under
+    # keys of their own that match nothing.
+    known = terms.join(F.broadcast(weights.terms(files)), "term", "left") \
+        .join(F.broadcast(weights.units(files)), ["name", "term"], "left") \
+        .withColumn("_other", F.when(F.col("known").isNull(), F.col("term")).otherwise(F.concat(F.lit("/"), "path")))
+    others = weights.counts.join(terms.select("term").distinct(), "term", "left_semi").withColumnRenamed("term", "_other")
+    w = F.col("tf") * F.coalesce("known", "idf")
+    scored = known.join(others, "_other", "left").groupBy("path", "name", "part").agg(
+        F.first("is_file").alias("is_file"),
+        F.round(F.sum(w * F.coalesce("unit", F.lit(0.0))) / F.sqrt(F.sum(w * w)), 6).alias("similarity")) \
         .filter(F.col("similarity") >= threshold)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "name")).alias("_best")
     return scored.groupBy("path").agg(best, F.first("is_file").alias("is_file")) \

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +174,30 @@ def test_licences_awkward(spark, awkward, nothing):
     assert licenses.scan_licences(licenses.document_files(nothing)).count() == 0
 
 
+def _naive_cosine(text, texts, template):
+    """TF-IDF cosine of a text to a template, with document frequencies of all words."""
+    held = [set(re.findall("[a-z0-9]+", t.lower())) for t in texts]
+    a, b = (Counter(re.findall("[a-z0-9]+", t.lower())) for t in (text, template))
+    idf = {t: math.log((len(texts) + 1) / (sum(t in h for h in held) + 1)) + 1 for t in {*a, *b}}
+    a, b = ({t: k * idf[t] for t, k in bag.items()} for bag in (a, b))
+    return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+
+@pytest.mark.parametrize("n", [40, 4000])
+def test_licences_weigh_every_word(spark, n):
+    # Other words of the line are in most files, so they weigh little at any number of files.
+    template = dict(licenses.TEMPLATES)["MIT"]
+    notice = f"and {template} with the code"
+    texts = [notice if i % 20 == 0 else f"and with the code number{i}" for i in range(n)]
+    files = spark.createDataFrame([(i, f"f{i}.py", t) for i, t in enumerate(texts)], "doc_id int, path string, text string")
+    got = {r.doc_id: r for r in licenses.scan_licences(files).collect()}
+    want = _naive_cosine(notice, texts, template)
+    assert want > 0.6
+    for i in range(n):
+        assert got[i].licence == ("MIT" if i % 20 == 0 else None)
+    assert got[0].similarity >= round(want, 6) - 1e-6
+
+
 # ---- Jaccard join
 
 def _naive_components(rows, n, percent):
