@@ -113,17 +113,40 @@ def _lines(texts: DataFrame, weights: Weights, anchor: str) -> DataFrame:
         .select("path", "is_file", F.col("_k.name").alias("name"), "part", "terms")
 
 
+def _windows(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(path, is_file, name, part, terms): runs of as many words as a template, over line breaks too.
+
+    Of every text, each run that holds an anchor term of the template and enough of its
+    terms to reach the threshold; of a text of fewer words, all of them. Parts are negative.
+    """
+    words = texts.select("path", "is_file", F.explode(F.array(_terms(F.col("text")))).alias("words"))
+    pairs = words.select("path", "is_file", "words", F.explode(weights.near(F.col("words"))).alias("_k"))
+    size, n = F.col("_k.size"), F.size("words")
+    at = F.filter(F.transform("words", lambda t, i: F.when(F.array_contains("_k.anchors", t), i + 1)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(
+        F.greatest(F.lit(1), i - size + 1), F.greatest(F.lit(1), F.least(i, n - size + 1))))))
+    # A term counts as often as it occurs, which only lets more runs through.
+    squares = F.transform("words", lambda t: F.coalesce(F.try_element_at("_k.squares", t), F.lit(0.0)))
+    pairs = pairs.select("path", "is_file", "words", "_k", starts.alias("_starts"), squares.alias("_squares"))
+    kept = F.filter("_starts", lambda s: F.aggregate(
+        F.slice("_squares", s, size), F.lit(0.0), lambda x, y: x + y) >= weights.least)
+    return pairs.select("path", "is_file", "words", "_k", F.explode(kept).alias("_start")).select(
+        "path", "is_file", F.col("_k.name").alias("name"), (-F.col("_start")).alias("part"),
+        F.slice("words", F.col("_start"), size).alias("terms"))
+
+
 def own_licences(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(path, licence, similarity, is_file) of the files with a notice like a template.
 
-    Every line of a text is compared, and for a licence file also the whole text. What
-    holds too few terms of a template to reach the threshold is skipped.
+    Every line of a text is compared, every run of as many words as the template has, and
+    for a licence file also the whole text; the best counts. What holds too few terms of a
+    template to reach the threshold is skipped.
     """
     weights = Weights(files, templates, threshold)
     anchor = rf"(?<![a-z0-9])({'|'.join(sorted(set().union(*weights.anchors.values())))})(?![a-z0-9])"
     is_file = F.col("path").rlike(LICENCE_FILE)
     texts = files.select("path", _lower(F.col("text")).alias("text"), is_file.alias("is_file")).filter(F.col("text").rlike(anchor))
-    segments = _lines(texts, weights, anchor)
+    segments = _lines(texts, weights, anchor).unionByName(_windows(texts, weights))
     key = ["path", "is_file", "name", "part"]
     terms = stored(segments.select(*key, F.explode("terms").alias("term"))
                    .groupBy(*key, "term").agg(F.count("*").alias("tf")), "licence-terms")
@@ -237,3 +260,45 @@ SELECT f.doc_id, f.path, coalesce(own.licence, inh.licence) AS licence, coalesce
   CASE WHEN own.licence IS NULL THEN inh.folder END AS inherited_from
 FROM f LEFT JOIN own USING (path) LEFT JOIN inh USING (path)
 """
+
+
+def licence_scan_sql() -> str:
+    """The scan of document_files for DuckDB with the document frequencies of all words and all runs of words."""
+    templates = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES)
+    return rf"""
+WITH f AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id // 64 AS VARCHAR),
+    CASE WHEN length(text) <= 500 AND contains(lower(text), 'license') THEN 'LICENSE-' ELSE '' END || doc_id || '.txt') AS path
+  FROM documents),
+l AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS folder, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
+    regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') AS is_file FROM f),
+tm AS (SELECT name, regexp_extract_all(lower(body), '[a-z0-9]+') AS terms FROM (VALUES {templates}) t(name, body)),
+tc AS (SELECT name, term, count(*) AS tf FROM (SELECT name, unnest(terms) AS term FROM tm) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS term FROM l) GROUP BY term),
+n AS (SELECT count(*) AS n FROM f),
+idf AS (SELECT term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM df FULL JOIN (SELECT DISTINCT term FROM tc) USING (term), n),
+tw AS (SELECT name, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY name)) AS unit FROM tc JOIN idf USING (term)),
+wd AS (SELECT path, is_file, regexp_extract_all(text, '[a-z0-9]+') AS words FROM l),
+st AS (SELECT path, is_file, words, name, len(terms) AS size, unnest(range(1, greatest(1, len(words) - len(terms) + 1) + 1)) AS start
+  FROM wd, tm),
+sg AS (SELECT DISTINCT path, is_file, name, terms FROM (
+  SELECT path, is_file, name, words[start:start + size - 1] AS terms FROM st
+  UNION ALL SELECT path, is_file, name, regexp_extract_all(segment, '[a-z0-9]+') FROM tm,
+    (SELECT path, is_file, unnest(string_split(text, chr(10))) AS segment FROM l UNION ALL SELECT path, is_file, text FROM l WHERE is_file))),
+id AS (SELECT row_number() OVER () AS id, * FROM sg),
+w AS (SELECT id, name, term, count(*) * any_value(idf) AS w FROM (SELECT id, name, unnest(terms) AS term FROM id) JOIN idf USING (term) GROUP BY id, name, term),
+sim AS (SELECT path, is_file, name, similarity FROM (SELECT id, round(sum(w * coalesce(unit, 0)) / sqrt(sum(w * w)), 6) AS similarity
+  FROM w LEFT JOIN tw USING (name, term) GROUP BY id) JOIN id USING (id)),
+own AS (SELECT path, is_file, name AS licence, similarity FROM sim WHERE similarity >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, name) = 1),
+dir AS (SELECT folder, licence, similarity FROM own JOIN (SELECT path, folder FROM l) USING (path) WHERE is_file
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY similarity DESC, licence) = 1),
+inh AS (SELECT l.path, d.licence, d.similarity, d.folder FROM l JOIN dir d
+  ON d.folder = '' OR l.folder = d.folder OR starts_with(l.folder, d.folder || '/')
+  QUALIFY row_number() OVER (PARTITION BY l.path ORDER BY length(d.folder) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(own.licence, inh.licence) AS licence, coalesce(own.similarity, inh.similarity) AS similarity,
+  CASE WHEN own.licence IS NOT NULL AND own.is_file THEN 'file' WHEN own.licence IS NOT NULL THEN 'notice'
+    WHEN inh.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.licence IS NULL THEN inh.folder END AS inherited_from
+FROM f LEFT JOIN own USING (path) LEFT JOIN inh USING (path)
+"""

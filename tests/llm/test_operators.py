@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -198,6 +199,32 @@ def test_licences_weigh_every_word(spark, n):
     assert got[0].similarity >= round(want, 6) - 1e-6
 
 
+def test_licences_inside_long_lines(spark):
+    names = dict(licenses.TEMPLATES)
+    other = [f"word{i}" for i in range(300)]
+    wrapped = names["GPL-3.0"].replace(" ", "\n")
+    texts = [" ".join([*other[:150], names["Apache-2.0"], *other[150:]]), " ".join(other[:200]) + "\n" + wrapped + "\n" + other[0],
+             " ".join(other), names["MPL-2.0"].replace("Public License,", "Public\nLicense,\n")]
+    files = spark.createDataFrame([(i, f"f{i}.py", t) for i, t in enumerate(texts)], "doc_id int, path string, text string")
+    got = {r.doc_id: (r.licence, r.similarity) for r in licenses.scan_licences(files).collect()}
+    assert got == {0: ("Apache-2.0", 1.0), 1: ("GPL-3.0", 1.0), 2: (None, None), 3: ("MPL-2.0", 1.0)}
+
+
+def test_licences_same_as_sql(spark):
+    notice = dict(licenses.TEMPLATES)["MIT"]
+    rows = [(i, [f"and {notice} in the line {i}", f"some text of {i}\nthe mit licensed the use of 2 licenses under version 2",
+                 notice, None, f"{'of the source code ' * i} by {i}"][i % 5], "en", "web", 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = licenses.scan_licences(licenses.document_files(docs)).select("doc_id", "path", "licence", "similarity", "origin", "inherited_from")
+    duck = duckdb.connect()
+    documents = docs.toPandas()
+    duck.register("documents", documents)
+    want = duck.execute(licenses.licence_scan_sql()).fetchall()
+    def key(r):
+        return (r[0], r[1], r[2], None if r[3] is None else round(r[3], 5), r[4], r[5])
+    assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want))
+
+
 # ---- Jaccard join
 
 def _naive_components(rows, n, percent):
