@@ -213,11 +213,19 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]] | None = No
 def document_files(docs: DataFrame, per_folder: int = 64) -> DataFrame:
     """Documents as files (doc_id, path, text) of a tree: source, language, number range.
 
-    A short document, of 500 letters at most, with the word 'license' in it is a licence file.
+    Of documents of any length with the word 'license' in them, by the id modulo 16, one
+    in 16 is a licence file of the source, two of the language, nine of the number range,
+    and the others are ordinary files with a notice.
     """
-    short = (F.length("text") <= 500) & F.lower("text").contains("license")
-    name = F.concat(F.when(F.coalesce(short, F.lit(False)), "LICENSE-").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / per_folder).cast("string"), name)
+    deal = F.pmod(F.col("doc_id"), F.lit(16))
+    names_it = F.lower("text").contains("license")
+
+    def dealt(low: int, high: int) -> Column:
+        return F.coalesce(names_it & deal.between(low, high), F.lit(False))
+
+    name = F.concat(F.when(dealt(0, 11), "LICENSE-").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", "source", F.when(~dealt(0, 0), F.col("lang")),
+                       F.when(~dealt(0, 2), F.floor(F.col("doc_id") / per_folder).cast("string")), name)
     return docs.select("doc_id", path.alias("path"), "text")
 
 
@@ -266,9 +274,10 @@ def licence_scan_sql() -> str:
     """The scan of document_files for DuckDB with the document frequencies of all words and all runs of words."""
     templates = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES)
     return rf"""
-WITH f AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id // 64 AS VARCHAR),
-    CASE WHEN length(text) <= 500 AND contains(lower(text), 'license') THEN 'LICENSE-' ELSE '' END || doc_id || '.txt') AS path
-  FROM documents),
+WITH f AS (SELECT doc_id, text, concat_ws('/', source, CASE WHEN deal <> 0 THEN lang END,
+    CASE WHEN deal > 2 THEN CAST(doc_id // 64 AS VARCHAR) END,
+    CASE WHEN deal <= 11 THEN 'LICENSE-' ELSE '' END || doc_id || '.txt') AS path
+  FROM (SELECT *, CASE WHEN contains(lower(coalesce(text, '')), 'license') THEN (doc_id % 16 + 16) % 16 ELSE 16 END AS deal FROM documents)),
 l AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS folder, translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
     regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') AS is_file FROM f),

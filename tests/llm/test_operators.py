@@ -225,6 +225,22 @@ def test_licences_same_as_sql(spark):
     assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want))
 
 
+def test_licences_of_documents_inherit_from_all_levels(spark):
+    long = "\n".join(["Permission is hereby granted to use it."] * 60)
+    texts = {16: ("web", "Released under the MIT License.\n" + long), 17: ("web", "Licensed under CC BY-SA 4.0.\n" + long),
+             67: ("web", "Licensed under the Apache License, Version 2.0.\n" + long), 68: ("web", "code"), 130: ("web", "code"),
+             300: ("news", "code"), 31: ("news", "Released under the MIT License.")}
+    rows = [(i, t, "fr" if i == 130 else "en", s, 0) for i, (s, t) in texts.items()] + [(200, "code", "en", "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.path, r.licence, r.origin, r.inherited_from)
+           for r in licenses.scan_licences(licenses.document_files(docs)).collect()}
+    assert got == {
+        16: ("web/LICENSE-16.txt", "MIT", "file", None), 17: ("web/en/LICENSE-17.txt", "CC-BY-SA-4.0", "file", None),
+        67: ("web/en/1/LICENSE-67.txt", "Apache-2.0", "file", None), 68: ("web/en/1/68.txt", "Apache-2.0", "inherited", "web/en/1"),
+        200: ("web/en/3/200.txt", "CC-BY-SA-4.0", "inherited", "web/en"), 130: ("web/fr/2/130.txt", "MIT", "inherited", "web"),
+        300: ("news/en/4/300.txt", None, "none", None), 31: ("news/en/0/31.txt", "MIT", "notice", None)}
+
+
 # ---- Jaccard join
 
 def _naive_components(rows, n, percent):
