@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     Rows whose fold is 0 are held out. Of the others, the train_rows with the least hash
     of the id are taken; that many feature lists, and nothing else, reach the driver. An
-    id with several labels counts as its smallest one; null labels are left out. Without
+    id with several labels counts as its smallest one, one with several texts as the one
+    whose feature list sorts first; null labels are left out. Without
     rows the machine gives 0.5 for all.
     """
     chosen = (labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int").alias("_label"))
@@ -137,8 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
                 "indices": pa.array([i.tobytes() for i, _ in made], pa.binary()),
                 "x": pa.array([v.tobytes() for _, v in made], pa.binary())})
 
+    # One list per id, so that no repeated id takes the place of another one.
     got = texts.select("doc_id", "text", "_label").mapInArrow(run, "doc_id bigint, label int, indices binary, x binary") \
-        .orderBy("doc_id", "label", "indices").limit(2 * train_rows).collect()
+        .groupBy("doc_id", "label").agg(F.min(F.struct("indices", "x")).alias("_first")) \
+        .select("doc_id", "label", "_first.indices", "_first.x").orderBy("doc_id").collect()
     if not got:
         return Machine(0.0, np.zeros(BUCKETS + _DENSE, np.float32), np.zeros((BUCKETS + _DENSE, FACTORS), np.float32))
     rows = [(np.frombuffer(r["indices"], np.int32), np.frombuffer(r["x"], np.float32)) for r in got]

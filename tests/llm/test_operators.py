@@ -160,6 +160,16 @@ def test_quality_awkward(spark, awkward, nothing):
     assert {r.score for r in quality.quality_scores(awkward, labels.limit(0)).collect()} == {0.5}
 
 
+def test_repeated_ids_displace_no_training_rows(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:8]
+    one_each = [(i, f"{'good' if k % 2 else 'bad'} words of text {i}") for k, i in enumerate(ids)]
+    once = spark.createDataFrame(one_each, "doc_id bigint, text string")
+    often = spark.createDataFrame(one_each[:1] * 50 + one_each, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, quality int")
+    a, b = (quality.train(docs, labels, len(ids)) for docs in (once, often))
+    assert a.bias == b.bias and np.array_equal(a.linear, b.linear) and np.array_equal(a.factors, b.factors)
+
+
 # ---- licences
 
 def test_licences_awkward(spark, awkward, nothing):
