@@ -165,6 +165,11 @@ def assign_groups(units: DataFrame, shards: int) -> DataFrame:
     into parts, each part packs its own into bins of at most a 32nd of a shard, and the
     bins are the items of the next level, at most half as many. So no task sees more than
     that, and the last one packs bins that are small against a shard.
+
+    So the shards switch with the input: up to that number (10,240 items at 40 shards) one
+    task packs the items themselves, above it bins of them. At 40 shards, 9,296 groups
+    (sf0.1) gave 638,996 to 639,343 bytes a shard at a mean of 639,333, and 47,257 groups
+    (check_s) 4,340,980 to 4,347,243 at a mean of 4,344,561.
     """
     level, above = units.select("item", "bytes"), []
     most = (units.agg(F.sum("bytes")).first()[0] or 0) // (32 * shards)
