@@ -43,15 +43,19 @@ def remove_stop_words(toks: Column, stop_words: list[str]) -> Column:
 
 
 def ngrams(toks: Column, low: int = 1, high: int = 3) -> Column:
-    """All runs of low to high neighbouring tokens, joined by a space."""
-    def of_size(n: int) -> Column:
+    """All runs of low to high neighbouring tokens, joined by a space.
+
+    The list is bound once, as the variable of a transform over a list of one: an expression
+    used in a lambda would be worked out again for every token.
+    """
+    def of_size(bound: Column, n: int) -> Column:
         if n == 1:
-            return toks
-        starts = F.slice(toks, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0)))
+            return bound
+        starts = F.slice(bound, 1, F.greatest(F.size(bound) - (n - 1), F.lit(0)))
         return F.transform(starts, lambda t, i: F.concat(
-            t, *[x for k in range(1, n) for x in (F.lit(" "), F.get(toks, i + k))]))
+            t, *[x for k in range(1, n) for x in (F.lit(" "), F.get(bound, i + k))]))
 
-    return F.concat(*[of_size(n) for n in range(low, high + 1)])
+    return F.transform(F.array(toks), lambda bound: F.concat(*[of_size(bound, n) for n in range(low, high + 1)]))[0]
 
 
 def content_text(content: Column) -> Column:
