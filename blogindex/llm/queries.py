@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from blogindex.llm import fingerprints, hmm, jaccard, licenses, packing, pfor, pieces, quality, rules, sharding, variants
+from blogindex.llm import (curves, fingerprints, hmm, jaccard, licenses, packing, pfor, pieces, quality, rules, sharding,
+                           variants, whitening)
 from blogindex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,13 +63,21 @@ def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return pfor.token_round_trip(_documents(spark, folder), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return curves.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(_documents(spark, folder), one_in=97)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_hidden_markov, op2_quality_rules, op3_licenses, op4_jaccard, op5_quality, op6_fingerprints, op7_sharding,
-    op8_pieces, op9_packing, op10_token_output, op13_variants)}
+    op8_pieces, op9_packing, op10_token_output, op11_whitening, op12_curves, op13_variants)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
