@@ -46,6 +46,22 @@ def admit(frontier: DataFrame, visited: DataFrame,
     return admitted, visited.select("location").union(admitted.select("location"))
 
 
+def list_flags(items: DataFrame, blocked: DataFrame | None, blacklist: DataFrame | None, key: str = "exact") -> DataFrame:
+    """The items with _blocked and _black, true where a domain list holds their host."""
+    if blocked is None:
+        flags = items.withColumn("_blocked", F.lit(None).cast("boolean"))
+    else:
+        flags = items.withColumn("_host", F.lower(urls.hostname(F.col("location")))) \
+            .join(dom.blocked_hosts(items, blocked, "location")
+                  .select(F.col("host").alias("_host"), F.lit(True).alias("_blocked")),
+                  "_host", "left").drop("_host")
+    if blacklist is None:
+        return flags.withColumn("_black", F.lit(None).cast("boolean"))
+    return flags.withColumn("_host", dom.blacklist_key("location", key)).join(
+        dom.blacklist_entries(blacklist, key).withColumn("_black", F.lit(True)),
+        "_host", "left").drop("_host")
+
+
 def admission_report(frontier: DataFrame, visited: DataFrame, blocked: DataFrame,
                      blacklist: DataFrame | None = None, max_retries: int = DEFAULTS.max_retries,
                      key: str = "exact") -> DataFrame:
@@ -60,17 +76,7 @@ def admission_report(frontier: DataFrame, visited: DataFrame, blocked: DataFrame
     firsts = items.filter("_live").groupBy("location").agg(F.min("seq").alias("_first"))
     firsts = firsts.join(visited.select("location", F.lit(True).alias("_seen")).distinct(),
                          "location", "left")
-    flags = firsts \
-        .withColumn("_host", F.lower(urls.hostname(F.col("location")))) \
-        .join(dom.blocked_hosts(firsts, blocked, "location")
-              .select(F.col("host").alias("_host"), F.lit(True).alias("_blocked")),
-              "_host", "left").drop("_host")
-    if blacklist is None:
-        flags = flags.withColumn("_black", F.lit(None).cast("boolean"))
-    else:
-        flags = flags.withColumn("_host", dom.blacklist_key("location", key)).join(
-            dom.blacklist_entries(blacklist, key).withColumn("_black", F.lit(True)),
-            "_host", "left").drop("_host")
+    flags = list_flags(firsts, blocked, blacklist, key)
     joined = items.join(flags, "location", "left")
     reason = (F.when(F.col("retries") > max_retries, "retries")
               .when(F.col("check_failed"), "requeued")

@@ -62,14 +62,28 @@ def recrawls(spark: SparkSession, root: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, root: str, name: str, key: str, parts: int = 4) -> DataFrame:
-    """A table as a stream of several micro-batches, one file each, in order of the key."""
+    """A table as a stream of several micro-batches, in order of the key; null keys come first.
+
+    Each range of the key is written by the tasks that scan it, a file each. Ranges of fewer
+    files than the largest get empty ones, so that a micro-batch takes the files of one range.
+    """
     rows = table(spark, root, name)
     low, high = rows.agg(F.min(key), F.max(key)).first()
-    path, step = new_work_dir(spark, name), max(1, -(-(high - low + 1) // parts))
-    for i in range(parts):
-        part = rows.filter(F.col(key).between(low + i * step, low + (i + 1) * step - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    low, high = (0, 0) if low is None else (low, high)
+    step = max(1, -(-(high - low + 1) // parts))
+    ranges = [F.col(key).between(low + i * step, low + (i + 1) * step - 1) for i in range(parts)]
+    ranges[0] = ranges[0] | F.col(key).isNull()
+    place = F.coalesce(*[F.when(own, i) for i, own in enumerate(ranges)])
+    # A task writes one file if it has a row of the range.
+    tasks = rows.select(place.alias("range"), F.spark_partition_id().alias("task")).distinct().groupBy("range").count()
+    files = {r["range"]: r["count"] for r in tasks.collect()}
+    most = max(files.values(), default=1)
+    path, none = new_work_dir(spark, name), spark.createDataFrame([], rows.schema).coalesce(1)
+    for i, own in enumerate(ranges):
+        rows.filter(own).write.mode("append").parquet(path)
+        for _ in range(most - max(files.get(i, 0), 1)):
+            none.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", most).parquet(path)
 
 
 def indexed_docs(spark: SparkSession, root: str) -> DataFrame:

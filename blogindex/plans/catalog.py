@@ -20,6 +20,7 @@ from blogindex.plans import adapters as ad
 from blogindex.session import new_work_dir, work_root
 from blogindex.sources import lists, records, stores
 from blogindex.streaming import jobs
+from blogindex.streaming.admission import with_rocksdb
 from blogindex.streaming.store import PageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -779,15 +780,35 @@ def search_english(spark, d):
 
 # ---- streams over the tables
 
-@query
-def stream_admission(spark, d):
+def _fails_at_first(items):
+    """The visited check of some addresses fails until they have been put back twice."""
+    return items.withColumn("check_failed", F.col("location").endswith("ref=x") & (F.col("retries") < 2))
+
+
+def _admission(spark, d):
+    """Folder of an admission stream over all page addresses that feeds itself; state in RocksDB."""
+    session = with_rocksdb(spark)
     root = new_work_dir(spark, "admission")
     shapes = F.array(F.col("url"), F.col("url"), F.concat("url", F.lit("%zz")))
-    items = ad.table_stream(spark, d, "pages", "page_id").select(
-        F.explode(shapes).alias("location"), (F.col("page_id") % 6).cast("int").alias("retries"))
-    jobs.admission_stream(items, root, f"{root}/checkpoint", lambda s: lists.domain_table(s, ad.BLOCKED),
-                          lambda s: _page_blacklist(s, d)).awaitTermination()
-    return spark.read.parquet(f"{root}/admitted").select("location")
+    stream = ad.table_stream(session, d, "pages", "page_id")
+    seeds = stream.select("page_id", F.posexplode(shapes).alias("copy", "location")).select(
+        "location", (F.col("page_id") % 6).cast("int").alias("retries"), (F.col("page_id") * 3 + F.col("copy")).alias("seq"))
+    visited = ad.table(session, d, "pages").filter(F.col("url").contains("utm_source")).select(F.col("url").alias("location"))
+    jobs.drain(lambda: jobs.admission_stream(
+        jobs.frontier_queue(seeds, root), root, f"{root}/checkpoint", lambda s: lists.domain_table(s, ad.BLOCKED),
+        lambda s: _page_blacklist(s, d), visited=visited, check=_fails_at_first))
+    return root
+
+
+@query
+def stream_admission(spark, d):
+    return spark.read.parquet(f"{_admission(spark, d)}/admitted").select("seq", "location", "retries")
+
+
+@query
+def stream_admission_report(spark, d):
+    """What became of every item in every pass, over several micro-batches and requeues."""
+    return spark.read.parquet(f"{_admission(spark, d)}/report").select("seq", "location", "retries", "reason")
 
 
 @query
@@ -800,7 +821,18 @@ def stream_route(spark, d):
                         lambda df: df.withColumn("p_not", (F.length("title") % 100) / 100.0), 0.8).awaitTermination()
     outputs = [spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("output"), F.col(col).alias("value"))
                for name, col in (("index", "location"), ("frontier", "location"), ("blacklist", "domain"))]
-    return outputs[0].union(outputs[1]).union(outputs[2].distinct())  # a domain may be rejected in several batches
+    return outputs[0].union(outputs[1]).union(outputs[2])
+
+
+@query
+def stream_classify(spark, d):
+    """The documents as a stream, scored by the trained model, which is saved first, and routed."""
+    root = new_work_dir(spark, "classify")
+    classify.save_model(_trained(spark, d)[1], f"{root}/model")
+    pages = ad.pages_of_documents(ad.table_stream(spark, d, "documents", "doc_id"))
+    score = jobs.model_scorer(f"{root}/model", ENGLISH_STOP_WORDS)
+    jobs.routing_stream(pages, f"{root}/out", f"{root}/checkpoint", score, 0.9).awaitTermination()
+    return spark.read.parquet(f"{root}/out/index").select("doc_id", "p_not", "p_dev", "route")
 
 
 def _visit_stream(spark, d):

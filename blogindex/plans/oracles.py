@@ -448,14 +448,25 @@ ORACLES: dict[str, str] = {
         t AS (SELECT s.snapshot, count(*) AS total_pages, count(DISTINCT r.domain) AS unique_domains FROM s JOIN r ON r.snapshot <= s.snapshot GROUP BY 1)
         SELECT *, greatest(total_pages - lag(total_pages, 1, total_pages) OVER (ORDER BY snapshot), 0) AS total_pages_growth,
             greatest(unique_domains - lag(unique_domains, 1, unique_domains) OVER (ORDER BY snapshot), 0) AS unique_domains_growth FROM t""",
-    "stream_admission": f"""WITH {FRONT}, {BLACK} SELECT DISTINCT location FROM front WHERE retries <= 3
-        AND NOT (copy = 2 AND url NOT LIKE '%?%') AND {HOST} NOT IN (SELECT host FROM black)
-        AND NOT regexp_matches({HOST}, '(^|\\.)(cheap-pills\\.example\\.com|spam-farm\\.example\\.org)$')""",
     "stream_route": f"""WITH {DOCS}, r AS (SELECT location, source, length(title) % 100 AS p FROM docs)
         SELECT 'index' AS output, location AS value FROM r WHERE p <= 50
         UNION ALL SELECT 'frontier', unnest([location, location || '/next']) FROM r WHERE p < 80
         UNION ALL SELECT DISTINCT 'blacklist', source || '.example.com' FROM r WHERE p >= 80""",
 }
+# Every pass of every item: those of some addresses fail until their second retry, and come
+# back behind all that was there. The first of a location is that of the earliest pass.
+_PASSES = f"""{ADMIT}, {BLACK}, passes AS (
+    SELECT * REPLACE (retries + pass AS retries), pass, location LIKE '%ref=x' AND retries + pass < 2 AS failed
+    FROM front, (SELECT unnest(range(0, 3)) AS pass)
+    WHERE pass = 0 OR (location LIKE '%ref=x' AND retries + pass <= 2)),
+  decided AS (SELECT *, row_number() OVER (PARTITION BY location, retries > 3 OR failed ORDER BY pass, seq) AS nth FROM passes),
+  report AS (SELECT seq, location, retries, CASE WHEN retries > 3 THEN 'retries' WHEN failed THEN 'requeued'
+        WHEN location IN (SELECT location FROM visited) OR nth > 1 THEN 'visited'
+        WHEN copy = 2 AND url NOT LIKE '%?%' THEN 'malformed'
+        WHEN regexp_matches({HOST}, '(^|\\.)(cheap-pills\\.example\\.com|spam-farm\\.example\\.org)$') THEN 'blocked'
+        WHEN {HOST} IN (SELECT host FROM black) THEN 'blacklisted' ELSE 'admitted' END AS reason FROM decided)"""
+ORACLES["stream_admission_report"] = f"WITH {_PASSES} SELECT seq, location, retries, reason FROM report"
+ORACLES["stream_admission"] = f"WITH {_PASSES} SELECT seq, location, retries FROM report WHERE reason = 'admitted'"
 ORACLES["sql_normalize_link"] = ORACLES["normalize_link"]
 ORACLES["stream_index"] = ORACLES["apply_upsert"]
 

@@ -15,7 +15,7 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGro
 WITH_PYTHON = {n for n in catalog.QUERIES if n.startswith("extract_")} | {"assemble_page", "search_english"}
 # Queries that run streams, files or model fits while they are built.
 SKIP = {"train_classifier", "classify_pages", "crawl_waves", "store_lookup", "read_corpus", "read_seeds",
-        "stream_admission", "stream_route", "stream_index", "stream_search", "stream_counts", "stream_daily_stats",
+        "stream_admission", "stream_admission_report", "stream_route", "stream_classify", "stream_index", "stream_search", "stream_counts", "stream_daily_stats",
         "stream_replay"}
 
 

@@ -4,11 +4,13 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from blogindex import schemas
 from blogindex.operators import ingest, routing
 from blogindex.plans import adapters as ad
+from blogindex.plans import catalog
 from blogindex.sources import lists, records
 from blogindex.streaming import jobs
 from blogindex.streaming.store import PageStore
@@ -114,3 +116,59 @@ def test_routing_stream(spark, tmp_path):
         column = "domain" if name == "blacklist" else "location"
         rows = sorted(r[column] for r in got.select(column).collect())
         assert (sorted(set(rows)) if name == "blacklist" else rows) == sorted(r[column] for r in want.select(column).collect())
+
+
+def test_admission_puts_failed_items_back(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    parts = [[("http://a.org/", 0, 5), ("http://a.org/", 1, 3), ("http://f.org/", 2, 6)], [("http://f.org/", 3, 7), ("http://v.org/", 0, 8), (None, 0, 9)],
+             [("http://f.org/", 4, 10), ("http://a.org/", 0, 1)]]
+    for i, part in enumerate(parts):
+        _write(src / f"{i}.json", i, "\n".join(json.dumps({"location": u, "retries": r, "seq": s}) for u, r, s in part))
+    seeds = records.stream_frontier(spark, str(src), max_files=1)
+    visited = spark.createDataFrame([("http://v.org/",)], "location STRING")
+
+    def check(items):
+        return items.withColumn("check_failed", F.col("location").startswith("http://f") & (F.col("retries") < 3))
+
+    runs = jobs.drain(lambda: jobs.admission_stream(
+        jobs.frontier_queue(seeds, out), out, str(tmp_path / "cp"), lambda s: None, visited=visited, check=check))
+    assert runs == 3
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/report").select("seq", "retries", "reason").collect())
+    # Of one batch the smallest seq is first; an earlier batch comes before a smaller seq.
+    assert got == [(1, 0, "visited"), (3, 1, "admitted"), (5, 0, "visited"), (6, 2, "requeued"), (6, 3, "visited"),
+                   (7, 3, "admitted"), (8, 0, "visited"), (9, 0, "malformed"), (10, 4, "retries")]
+
+
+def test_admission_refused_without_rocksdb(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    other = spark.newSession()
+    other.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    items = records.stream_frontier(other, str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="RocksDB"):
+        jobs.admission_stream(items, str(tmp_path / "out"), str(tmp_path / "cp"), lambda s: None)
+
+
+def test_classifier_in_the_stream(spark, tmp_path):
+    """Scores by the saved model in micro-batches equal the batch ones; rejected domains come out once."""
+    got = catalog.QUERIES["stream_classify"](spark, DATA)
+    want = catalog.QUERIES["classify_pages"](spark, DATA)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.filter("route = 'index'").collect()))
+
+
+def test_rejected_domains_are_fed_back(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    page = dict.fromkeys(["title", "description", "author"], "") | {"keywords": [], "headings": [], "content": [], "script_links": [], "script_content": [], "created_at": 0}
+    for i, hosts in enumerate((["good", "bad"], ["bad", "good"])):
+        _write(src / f"{i}.json", i, "\n".join(json.dumps({**page, "location": f"http://{h}.org/{i}", "links": [f"http://{h}.org/next"]}) for h in hosts))
+
+    def score(df):
+        return df.withColumn("p_not", F.col("location").contains("bad").cast("double"))
+
+    stream = records.stream_pages(spark, str(src), max_files=1)
+    jobs.routing_stream(stream, out, str(tmp_path / "cp"), score, 0.9, skip_rejected=True).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/blacklist").select("domain", "batch_id").collect()] == [("bad.org", 0)]
+    assert [r[0] for r in jobs.rejected_domains(out)(spark).collect()] == ["bad.org"]
+    assert sorted(r[0] for r in spark.read.parquet(f"{out}/index").select("location").collect()) == ["http://good.org/0", "http://good.org/1"]
