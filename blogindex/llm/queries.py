@@ -82,7 +82,7 @@ QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": rules.QUALITY_SQL,
-    "op3_licenses": licenses.licence_sql(),
+    "op3_licenses": licenses.licence_scan_sql(),
     "op4_jaccard": jaccard.component_sql(4, 85),
 }
 if corpus_pipeline.ORACLE_SQL:

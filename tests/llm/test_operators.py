@@ -182,6 +182,15 @@ def test_licences_awkward(spark, awkward, nothing):
     assert got == {1: ("MIT", "file", None), 2: ("Apache-2.0", "inherited", "a/b"), 3: ("CC-BY-NC-4.0", "notice", None),
                    4: (None, "none", None), 5: ("Apache-2.0", "file", None), 6: (None, "none", None), 7: ("MIT", "inherited", "a")}
     assert licenses.scan_licences(licenses.document_files(awkward)).count() == len(_awkward_rows())
+    # Rows without an id, and other texts under one id, are files of their own; equal rows are one file.
+    mixed = spark.createDataFrame(
+        [(None, notice, "en", "web"), (None, "no licence at all " * 40, "en", "web"), (3, notice, "en", "web"), (3, "words " * 90, "en", "web"),
+         (3, "words " * 90, "en", "web"), (None, None, None, None), (64, "code", "en", "web")], "doc_id bigint, text string, lang string, source string")
+    got = sorted(map(str, ((r.doc_id, r.path, r.licence, r.origin, r.similarity) for r in licenses.scan_licences(licenses.document_files(mixed)).collect())))
+    assert got == sorted(map(str, [
+        (None, "web/en/.txt", "MIT", "notice", 1.0), (None, "web/en/.txt", None, "none", None), (3, "web/en/0/LICENSE-3.txt", "MIT", "file", 1.0),
+        (3, "web/en/0/3.txt", "MIT", "inherited", 1.0), (3, "web/en/0/3.txt", "MIT", "inherited", 1.0), (None, ".txt", None, "none", None),
+        (64, "web/en/1/64.txt", None, "none", None)]))
     assert licenses.scan_licences(licenses.document_files(nothing)).count() == 0
 
 
