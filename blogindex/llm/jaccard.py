@@ -3,7 +3,9 @@
 Sets of equal content are one class. Classes meet in tiles: one tile per shingle that is
 among the rarest of each, and in it only sizes within the threshold. A bitmap of hashed
 shingles per class bounds the overlap of a candidate from above; what passes is decided
-by the exact sizes of intersection and union.
+by the exact sizes of intersection and union. Inside a tile pairs are told apart one by
+one, but what leaves it is a spanning forest of what belongs together, so the rows made
+never outnumber the rows of the tiles.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from blogindex.llm.common import as_bytes, drop_stored, rows_of, stored, text_ro
 from blogindex.llm.graph import components
 
 # Buckets of the frequency sketch; shared shingles that a candidate needs; rows of a tile
-# that one task compares with each other.
-BUCKETS, SHARED, TILE = 1 << 20, 4, 4096
+# that one task compares with each other; uses of a shingle beyond which its rows are salted.
+BUCKETS, SHARED, TILE, HOT = 1 << 20, 4, 4096, 20_000
 # Ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _CACHED = 1_000_000
@@ -134,28 +136,35 @@ def may_link(sizes: np.ndarray, bits: list[bytes], a: np.ndarray, b: np.ndarray,
     return out
 
 
-_SET_DDL = "doc_id bigint, size int, key binary, prefix array<bigint>, bits binary"
+_SET_DDL = "doc_id bigint, size int, key binary, prefix array<bigint>, salts array<int>, bits binary"
 _SET = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())),
-                  ("bits", pa.binary())])
+                  ("salts", pa.list_(pa.int32())), ("bits", pa.binary())])
 
 
 def shingle_sets(docs: DataFrame, like: Likeness, weight: np.ndarray) -> DataFrame:
-    """One row per document: size, a key of the content, the rarest shingles in order, the bitmap."""
+    """One row per document: size, a key of the content, the rarest shingles in order, the bitmap.
+
+    salts tells into how many parts the rows of each rare shingle are dealt, by the sketch;
+    null where all are one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches):
         make, weight = Shingler(like.n), shared.value
         for ids, texts in text_rows(batches):
             sets = [make(t) for t in texts]
-            prefixes = []
+            prefixes, salts = [], []
             for s in sets:
                 least = -(-len(s) * like.percent // 100)
-                order = np.lexsort((s, weight[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                prefixes.append(s[order[:len(s) - least + SHARED]].view(np.int64))
+                times = weight[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((s, times))[:len(s) - least + SHARED]
+                prefixes.append(s[order].view(np.int64))
+                parts = -(-times[order] // HOT)
+                salts.append(np.maximum(parts, 1).astype(np.int32) if (parts > 1).any() else None)
             yield rows_of({
                 "doc_id": ids, "size": [len(s) for s in sets],
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "prefix": prefixes, "bits": [bitmap(s) if len(s) else None for s in sets]}, _SET)
+                "prefix": prefixes, "salts": salts, "bits": [bitmap(s) if len(s) else None for s in sets]}, _SET)
 
     return docs.select(F.col("doc_id").cast("bigint"), as_bytes()).mapInArrow(run, _SET_DDL)
 
@@ -168,18 +177,19 @@ _META_DDL = "token bigint, size int, id bigint, low boolean, other bigint, other
 def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of tiles with company, and for each one or two partners to try first.
 
-    Rows come sorted by (token, size, id). A row's partners are the last row before it in
-    its tile that may be the smaller side, and the row of the smallest id, as copies often
+    Rows come sorted by (token, salt, size, id). A row's partners are the last row before it
+    in its tile that may be the smaller side, and the row of the smallest id, as copies often
     come after what they were made of. Only the rows that a later one may refer to are
-    carried over to the next batch.
+    carried over to the next batch. A row of a salted tile, one of salt 0 or more, always has
+    company: that of the other salts.
     """
     kept = None
 
-    def work(token, size, id_, low, ghosts, final):
+    def work(token, size, id_, low, salt, ghosts, final):
         n = len(token)
-        new = np.r_[True, token[1:] != token[:-1]]
+        new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
         run = np.cumsum(new)
-        alone = new & np.r_[new[1:], True]
+        alone = new & np.r_[new[1:], True] & (salt < 0)
         at = np.arange(n)
         last = np.maximum.accumulate(np.where(low, at, -1))
         before = np.r_[-1, last[:-1]]
@@ -207,7 +217,7 @@ def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator
             small, large = small[fits], large[fits]
             out.append((token[large], size[large], id_[large], low[large], id_[small], size[small]))
         rest = np.flatnonzero(hold)
-        return out, (token[rest], size[rest], id_[rest], low[rest], ~held_back[rest])
+        return out, (token[rest], size[rest], id_[rest], low[rest], salt[rest], ~held_back[rest])
 
     def batches(out):
         for token, size, id_, low, other, other_size in out:
@@ -220,69 +230,179 @@ def _neighbours(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator
     for batch in sorted_rows:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         ghosts = np.zeros(len(columns[0]), bool)
         if kept is not None:
-            columns = [np.concatenate(pair) for pair in zip(kept[:4], columns)]
-            ghosts = np.concatenate([kept[4], ghosts])
+            columns = [np.concatenate(pair) for pair in zip(kept[:5], columns)]
+            ghosts = np.concatenate([kept[5], ghosts])
         out, kept = work(*columns, ghosts, False)
         yield from batches(out)
     if kept is not None:
-        yield from batches(work(*kept[:4], kept[4], True)[0])
+        yield from batches(work(*kept[:5], kept[5], True)[0])
 
 
-def _crossing(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, size_a, size_b) of every pair of a tile that may link and is not in one component.
+class _Forest:
+    """Sets that grow together: which of few numbered things are joined so far."""
 
-    Rows: token, cell, part, size, id, low, component, bits, sorted by (token, cell, size,
-    id). A cell holds at most two parts of a large tile, and pairs come from different
-    ones. Only pairs that their bitmaps do not rule out leave the tile.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32())])
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def joined(self) -> np.ndarray:
+        """The set of each thing, as the number of one of its things."""
+        while True:
+            new = self.up[self.up]
+            if (new == self.up).all():
+                return new
+            self.up = new
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Joins all pairs; the places of those that joined two sets."""
+        once = np.unique(a * len(self.up) + b, return_index=True)[1]
+        up, out = self.up.tolist(), []
+        for at, x, y in zip(once.tolist(), a[once].tolist(), b[once].tolist()):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append(at)
+        self.up = np.array(up)
+        return out
+
+
+def _in_tiles(sorted_rows: Iterator[pa.RecordBatch], key: int, work) -> Iterator[pa.RecordBatch]:
+    """work on the columns of each run of rows with equal values in the first key columns."""
     kept: list[np.ndarray] | None = None
 
-    def tile(part, size, id_, low, component, bits, across):
-        for b0 in range(0, len(id_), 512):
-            b = slice(b0, b0 + 512)
-            start = int(np.searchsorted(size, -(-int(size[b0]) * percent // 100)))
-            a = slice(start, min(b0 + 512, len(id_)))
-            fits = low[a][:, None] & (component[a][:, None] != component[b][None, :])
-            fits &= 100 * size[a].astype(np.int64)[:, None] >= percent * size[b].astype(np.int64)[None, :]
-            fits &= np.arange(len(id_))[a][:, None] < np.arange(len(id_))[b][None, :]
-            if across:
-                fits &= part[a][:, None] != part[b][None, :]
-            i, j = np.nonzero(fits)
-            i, j = i + a.start, j + b.start
-            if len(i):
-                used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-                may = may_link(size[used].astype(np.int64), [bits[u] for u in used], at[:len(i)], at[len(i):], percent)
-                i, j = i[may], j[may]
-            if len(i):
-                yield rows_of({"a": id_[i], "b": id_[j], "size_a": size[i], "size_b": size[j]}, schema)
-
-    def tiles(columns):
-        token, cell, part, size, id_, low, component, bits = columns
-        new = np.r_[True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]
-        starts = np.r_[np.flatnonzero(new), len(token)]
+    def runs(columns):
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:key]], axis=0)]
+        starts = np.r_[np.flatnonzero(new), len(new)]
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if e - s > 1 and (component[s:e] != component[s]).any():
-                parts = part[s:e]
-                yield from tile(parts, size[s:e], id_[s:e], low[s:e], component[s:e], bits[s:e], (parts != parts[0]).any())
+            if e - s > 1:
+                yield from work(*(c[s:e] for c in columns[key:]))
 
     for batch in sorted_rows:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if kept is not None:
             columns = [np.concatenate(pair) for pair in zip(kept, columns)]
-        token, cell = columns[:2]
-        open_ = np.flatnonzero((token != token[-1]) | (cell != cell[-1]))
+        open_ = np.flatnonzero(np.any([c != c[-1] for c in columns[:key]], axis=0))
         cut = open_[-1] + 1 if len(open_) else 0
         if cut:
-            yield from tiles([c[:cut] for c in columns])
+            yield from runs([c[:cut] for c in columns])
         kept = [c[cut:] for c in columns]
     if kept is not None:
-        yield from tiles(kept)
+        yield from runs(kept)
+
+
+def _bands(size: np.ndarray, component: np.ndarray, fits, percent: int):
+    """(i, j) places, in blocks, of the pairs of rows in order of size that may link by their sizes.
+
+    Pairs of one component are left out, as are those that fits, given a block of rows,
+    denies. Components that are joined meanwhile count as one: the caller sends them in.
+    """
+    for b0 in range(0, len(size), 128):
+        b = slice(b0, min(b0 + 128, len(size)))
+        start = int(np.searchsorted(size, -(-int(size[b0]) * percent // 100)))
+        for a0 in range(start, b.stop, 4096):
+            a = slice(a0, min(a0 + 4096, b.stop))
+            joined = component()
+            ok = joined[a][:, None] != joined[b][None, :]
+            ok &= 100 * size[a].astype(np.int64)[:, None] >= percent * size[b].astype(np.int64)[None, :]
+            ok &= np.arange(a.start, a.stop)[:, None] < np.arange(b.start, b.stop)[None, :]
+            if fits is not None:
+                ok &= fits(a, b)
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield i + a.start, j + b.start
+
+
+def _by_bitmaps(size, bits, i, j, percent):
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    return may_link(size[used].astype(np.int64), [bits[u] for u in used], at[:len(i)], at[len(i):], percent)
+
+
+def _maybe(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): components that the bitmaps of a tile cannot keep apart, as a forest.
+
+    Rows: token, part, size, id, low, major, first, component, bits, sorted by (token, part,
+    size, id). The rows of the tile's main component lie in one part each, the others in
+    all; pairs of the others count in the first part only.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(size, id_, low, major, first, component, bits):
+        if (component == component[0]).all():
+            return
+        names, number = np.unique(component, return_inverse=True)
+        forest, out = _Forest(len(names)), []
+
+        def fits(a, b):
+            ok = np.broadcast_to(low[a][:, None], (a.stop - a.start, b.stop - b.start))
+            return ok if first[0] else ok & (major[a][:, None] | major[b][None, :])
+
+        for i, j in _bands(size, lambda: forest.joined()[number], fits, percent):
+            may = _by_bitmaps(size, bits, i, j, percent)
+            a, b = number[i[may]], number[j[may]]
+            out += [(names[a[k]], names[b[k]]) for k in forest.join(a, b)]
+        if out:
+            yield rows_of({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
+
+    yield from _in_tiles(sorted_rows, 2, work)
+
+
+def overlap(hashes: list[bytes], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the pairs (i, j) of sets link, by the exact sizes of intersection and union."""
+    out = np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    cuts = np.r_[np.flatnonzero(np.r_[True, i[order][1:] != i[order][:-1]]), len(i)]
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        one = np.frombuffer(hashes[i[order[s]]], np.uint64)
+        for low in range(s, e, 512):
+            some = order[low:min(low + 512, e)]
+            others = [np.frombuffer(hashes[k], np.uint64) for k in j[some]]
+            sizes = np.array([len(x) for x in others])
+            flat = np.concatenate(others)
+            held = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            both = np.add.reduceat(held, np.cumsum(sizes) - sizes, dtype=np.int64)
+            out[some] = 100 * both >= percent * (len(one) + sizes - both)
+    return out
+
+
+def _decided(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between components, as a forest of each group.
+
+    Rows: group, cell, part, size, id, component, bits, hashes, sorted by (group, cell, size,
+    id). A cell holds at most two parts of a large group, and pairs come from different ones.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(part, size, id_, component, bits, hashes):
+        names, number = np.unique(component, return_inverse=True)
+        across = (part != part[0]).any()
+        forest, out = _Forest(len(names)), []
+
+        def fits(a, b):
+            return part[a][:, None] != part[b][None, :]
+
+        for i, j in _bands(size, lambda: forest.joined()[number], fits if across else None, percent):
+            may = _by_bitmaps(size, bits, i, j, percent)
+            i, j = i[may], j[may]
+            # Pairs of sets that an earlier one of the block has joined need no look.
+            for low in range(0, len(i), 2048):
+                a, b = i[low:low + 2048], j[low:low + 2048]
+                joined = forest.joined()[number]
+                apart = joined[a] != joined[b]
+                a, b = a[apart], b[apart]
+                linked = overlap(hashes, a, b, percent)
+                a, b = a[linked], b[linked]
+                out += [(id_[a[k]], id_[b[k]]) for k in forest.join(number[a], number[b])]
+        if out:
+            yield rows_of({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
+
+    yield from _in_tiles(sorted_rows, 2, work)
 
 
 def _enough(pairs: DataFrame, like: Likeness) -> DataFrame:
@@ -302,8 +422,21 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df[key] == ids["id"], "left_semi")
 
 
-def linked(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b) of the pairs that link: by the bitmaps of sets, if these are given, then by exact overlap."""
+def set_hashes(ids: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(id, hashes): the sorted shingle hashes of the documents with the stored ids."""
+    def hashes(batches):
+        make = Shingler(like.n)
+        for ids, texts in text_rows(batches):
+            yield pa.RecordBatch.from_pydict({
+                "id": pa.array(ids, pa.int64()), "hashes": pa.array([make(t).tobytes() for t in texts], pa.binary())})
+
+    texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes()), ids, "doc_id")
+    # Repeated rows of an id have the same text; one of them is enough.
+    return texts.mapInArrow(hashes, "id bigint, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b) of the pairs that link: by the bitmaps of sets, then by exact overlap."""
     @F.pandas_udf("boolean")
     def by_bits(a: pd.Series, b: pd.Series, size_a: pd.Series, size_b: pd.Series) -> pd.Series:
         first, second = np.array([0]), np.array([1])
@@ -312,30 +445,16 @@ def linked(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, like: Like
 
     @F.pandas_udf("boolean")
     def by_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= like.percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype="bool")
-
-    def hashes(batches):
-        make = Shingler(like.n)
-        for ids, texts in text_rows(batches):
-            yield pa.RecordBatch.from_pydict({
-                "id": pa.array(ids, pa.int64()), "hashes": pa.array([make(t).tobytes() for t in texts], pa.binary())})
+        first, second = np.array([0]), np.array([1])
+        return pd.Series([overlap([x, y], first, second, like.percent)[0] for x, y in zip(a, b)], dtype="bool")
 
-    if sets is not None:
-        maps = sets.select("id", "bits")
-        pairs = pairs.join(maps.withColumnsRenamed({"id": "a", "bits": "bits_a"}), "a") \
-            .join(maps.withColumnsRenamed({"id": "b", "bits": "bits_b"}), "b") \
-            .filter(by_bits("bits_a", "bits_b", "size_a", "size_b"))
+    maps = sets.select("id", "bits")
+    pairs = pairs.join(maps.withColumnsRenamed({"id": "a", "bits": "bits_a"}), "a") \
+        .join(maps.withColumnsRenamed({"id": "b", "bits": "bits_b"}), "b") \
+        .filter(by_bits("bits_a", "bits_b", "size_a", "size_b"))
     near = stored(pairs.select("a", "b"), "candidates")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes()), ids, "doc_id")
-    # Repeated rows of an id have the same text; one of them is enough.
-    whole = texts.mapInArrow(hashes, "id bigint, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
-    whole = stored(whole, "hashes")
+    whole = stored(set_hashes(ids, docs, like), "hashes")
     found = near.join(whole.withColumnsRenamed({"id": "a", "hashes": "_a"}), "a") \
         .join(whole.withColumnsRenamed({"id": "b", "hashes": "_b"}), "b").filter(by_overlap("_a", "_b")).select("a", "b")
     found = stored(found, "linked")
@@ -343,21 +462,69 @@ def linked(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, like: Like
     return found
 
 
+def _cells(parts: Column, part: Column) -> Column:
+    """The cells of a row: one per pair of its part with any part."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: (
+        F.least(part, j) * parts + F.greatest(part, j)).cast("int"))
+
+
+def crossing_links(live: DataFrame, known: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): links that connect the components of live (token, size, id, low, component) as all links do.
+
+    Tiles first tell which components their bitmaps cannot keep apart. What hangs together
+    by that is a group, mostly of few rows, and its sets are compared exactly. Of a large
+    tile the rows of the main component are dealt out, and the others go to every part.
+    """
+    p = like.percent
+    mixed = live.groupBy("token").agg(F.count("*").alias("_n"), F.min("component").alias("_c"), F.max("component").alias("_d")) \
+        .filter("_c <> _d").select("token", F.ceil(F.col("_n") / TILE).cast("int").alias("_parts"))
+    mixed = stored(mixed, "mixed")
+    main = live.join(mixed.filter("_parts > 1"), "token", "left_semi").groupBy("token", "component").agg(F.count("*").alias("_k")) \
+        .groupBy("token").agg(F.max_by("component", "_k").alias("_main"))
+    major = F.coalesce(F.col("component") == F.col("_main"), F.lit(False))
+    own = F.pmod(F.xxhash64("id"), "_parts").cast("int")
+    rows = live.join(mixed, "token").join(main, "token", "left").withColumn("major", major).withColumn("part", F.explode(
+        F.when(F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1)))) \
+        .join(classes.select("id", "bits"), "id") \
+        .select("token", "part", "size", "id", "low", "major", (F.col("part") == 0).alias("first"), "component", "bits")
+    maybe = rows.repartition("token", "part").sortWithinPartitions("token", "part", "size", "id").mapInArrow(
+        lambda batches: _maybe(batches, p), "a bigint, b bigint")
+    maybe = stored(maybe.distinct(), "maybe")
+    groups = stored(components(maybe).select(F.col("component").alias("group"), F.col("id").alias("component")), "groups")
+    drop_stored(maybe)
+    parted = classes.select("id", "size").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = stored(parted.join(groups, "component").select("group", "id", "size", "component"), "members")
+    ids = stored(members.select("id").distinct(), "ids")
+    whole = set_hashes(ids, docs, like)
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("_parts"))
+    rows = members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int")) \
+        .withColumn("cell", F.explode(_cells(F.col("_parts"), F.col("part")))) \
+        .join(classes.select("id", "bits"), "id").join(whole, "id") \
+        .select("group", "cell", "part", "size", "id", "component", "bits", "hashes")
+    found = stored(rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "size", "id").mapInArrow(
+        lambda batches: _decided(batches, p), "a bigint, b bigint"), "crossing")
+    drop_stored(mixed, groups, members, ids)
+    return found
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): links that connect the classes (id, size, prefix, bits) as all links do.
 
     Two passes over the tiles. The first tries one or two partners per row, which joins
-    most of what belongs together. The second compares all rows of a tile that are not in
-    one component yet, so a large group of near copies is never compared pair by pair, and
-    no link between two components is missed. Tiles of many rows are cut into parts, and
-    each pair of parts is a task's work of its own.
+    most of what belongs together; there the rows of a hot token are dealt out by salt, as
+    it need not find every link. The second compares the rows of a tile that are not in one
+    component yet, so a large group of near copies is never compared pair by pair, and no
+    link between two components is missed.
     """
     p, q = like.percent, 100 + like.percent
     # A set's lowest shingles, enough to meet any set of at least its own size.
     low = F.col("size") - F.ceil(2 * p * F.col("size") / q) + SHARED
-    rows = classes.select("id", "size", low.alias("_low"), F.posexplode_outer("prefix").alias("_at", "token")) \
-        .filter("token IS NOT NULL").select("token", "size", "id", (F.col("_at") < F.col("_low")).alias("low"))
-    tiles = stored(rows.repartition("token").sortWithinPartitions("token", "size", "id").mapInArrow(
+    parts = F.get("salts", F.col("_at"))
+    rows = classes.select("id", "size", "salts", low.alias("_low"), F.posexplode_outer("prefix").alias("_at", "token")) \
+        .filter("token IS NOT NULL").select(
+            "token", "size", "id", (F.col("_at") < F.col("_low")).alias("low"),
+            F.when(parts > 1, F.pmod(F.xxhash64("id", "token"), parts)).otherwise(-1).cast("int").alias("salt"))
+    tiles = stored(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "id").mapInArrow(
         lambda batches: _neighbours(batches, p), _META_DDL), "tiles")
     tried = tiles.filter("other IS NOT NULL").select(
         F.col("other").alias("a"), F.col("id").alias("b"), F.col("other_size").alias("size_a"), F.col("size").alias("size_b"))
@@ -366,18 +533,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFra
     live = tiles.filter("other IS NULL").join(known, "id", "left").select(
         "token", "size", "id", "low", F.coalesce("component", "id").alias("component"))
     live = stored(live, "live")
-    large = live.groupBy("token").agg(F.count("*").alias("_n"), F.min("component").alias("_c"), F.max("component").alias("_d")) \
-        .filter("_c <> _d").select("token", F.ceil(F.col("_n") / TILE).cast("int").alias("_parts"))
-    part = F.pmod(F.xxhash64("id"), "_parts").cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: (
-        F.least(F.col("part"), j) * F.col("_parts") + F.greatest(F.col("part"), j)).cast("int"))
-    rows = live.join(large, "token").withColumn("part", part).withColumn("cell", F.explode(cells)) \
-        .join(classes.select("id", "bits"), "id") \
-        .select("token", "cell", "part", "size", "id", "low", "component", "bits")
-    crossing = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "id").mapInArrow(
-        lambda batches: _crossing(batches, p), "a bigint, b bigint, size_a int, size_b int")
-    second = linked(_enough(crossing, like), None, docs, like)
-    drop_stored(tiles, live, known)
+    drop_stored(tiles)
+    second = crossing_links(live, known, classes, docs, like)
+    drop_stored(live, known)
     return first.unionAll(second)
 
 
@@ -396,7 +554,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = stored(shingle_sets(given, like, frequent_buckets(usable, n)), "sets")
     classes = stored(sets.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
-        F.first("bits").alias("bits")), "classes")
+        F.first("salts").alias("salts"), F.first("bits").alias("bits")), "classes")
     found = components(link_classes(classes.drop("key"), usable, like))
     named = classes.select("key", "id").join(found, "id", "left").select(
         "key", F.coalesce("component", "id").alias("component_id"))

@@ -298,12 +298,13 @@ def test_components_of_random_copies(spark, n, percent):
                 text[rng.randrange(len(text))] = rng.choice(words)
             rows.append((len(rows), " ".join(text)))
     rng.shuffle(rows)
-    old, jaccard.TILE = jaccard.TILE, 6  # small tiles: large ones are cut into parts
+    old = jaccard.TILE, jaccard.HOT
+    jaccard.TILE, jaccard.HOT = 6, 3  # small tiles: large ones are cut into parts, frequent shingles salted
     try:
         table = spark.createDataFrame(rows, "doc_id bigint, text string")
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table, n, percent).collect()}
     finally:
-        jaccard.TILE = old
+        jaccard.TILE, jaccard.HOT = old
     assert got == _naive_components(rows, n, percent)
 
 
