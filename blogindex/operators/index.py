@@ -89,7 +89,7 @@ def _entries(pages: DataFrame, keep: list[str], config: str, stop_words: list[st
 
 
 def document_vectors(pages: DataFrame, key: str = "id", config: str = "simple",
-                     stop_words: list[str] | None = None, position_limits: bool = True) -> DataFrame:
+                     stop_words: list[str] | None = None, position_limits: bool = False) -> DataFrame:
     """(key, lexeme, pos, weight) of each page's fields; needs no shuffle."""
     entries = _entries(pages, [key], config, stop_words, position_limits)
     return unnest(entries, "_all", key)
@@ -97,7 +97,7 @@ def document_vectors(pages: DataFrame, key: str = "id", config: str = "simple",
 
 def build_postings(pages: DataFrame, key: str = "id", config: str = "simple",
                    stop_words: list[str] | None = None, keep: list[str] | None = None,
-                   position_limits: bool = True) -> DataFrame:
+                   position_limits: bool = False) -> DataFrame:
     """(lexeme, key, keep..., positions): positions with weight letter, in order, each once.
 
     With position_limits, the published limits of the search-vector type hold: 256 positions

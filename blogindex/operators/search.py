@@ -14,6 +14,11 @@ _BROADCAST_WINNERS = 100_000
 _TWICE_INVERSE = {letter: round(2 / weight) for letter, weight in WEIGHTS.items()}
 
 
+def _order() -> list[Column]:
+    """Best first; sums of the same covers in another order differ in the last digits, and such ranks are equal."""
+    return [F.desc(F.round("rank", 9)), F.desc("created_at"), F.asc("url")]
+
+
 def parse_queries(queries: DataFrame, config: str = "simple", stop_words: list[str] | None = None
                   ) -> DataFrame:
     """(query_id, lexeme, slot, n): distinct lexemes of each query, numbered, and their count.
@@ -36,17 +41,41 @@ def lookup(postings: DataFrame, parsed: DataFrame, max_terms: int = 2000) -> Dat
     return postings.filter(F.col("lexeme").isin(terms)) if len(terms) <= max_terms else postings
 
 
+def match_pages(postings: DataFrame, parsed: DataFrame, key: str = "id") -> DataFrame:
+    """(query_id, key, n): pages that hold every lexeme of the query; no position is read.
+
+    The pages of each query's rarest lexeme are looked up in the lists of the others, so
+    the work follows the rarest lexeme and not the most frequent one. A query with a lexeme
+    that no page holds is out at once.
+    """
+    narrow = postings.select("lexeme", key)
+    often = narrow.join(parsed.select("lexeme").distinct(), "lexeme", "left_semi") \
+        .groupBy("lexeme").agg(F.count("*").alias("_df"))
+    query = Window.partitionBy("query_id")
+    ordered = parsed.join(often, "lexeme").withColumns({
+        "_at": F.row_number().over(query.orderBy("_df", "slot")), "_known": F.count("*").over(query)}).filter("_known = n")
+    rarest = narrow.join(ordered.filter("_at = 1").select("query_id", "lexeme", "n"), "lexeme").select("query_id", key, "n")
+    others = rarest.join(ordered.filter("_at > 1").select("query_id", "lexeme"), "query_id")
+    held = others.join(narrow, ["lexeme", key], "left_semi").groupBy("query_id", key) \
+        .agg(F.first("n").alias("n"), F.count("*").alias("_found")).filter("_found = n - 1").drop("_found")
+    return rarest.filter("n = 1").unionByName(held)
+
+
+def with_positions(matches: DataFrame, postings: DataFrame, parsed: DataFrame, key: str = "id") -> DataFrame:
+    """The matches with hits: one (slot, positions) per lexeme of the query."""
+    others = [c for c in matches.columns if c not in ("query_id", key)]
+    wanted = matches.join(parsed.select("query_id", "lexeme", "slot"), "query_id")
+    return wanted.join(postings.select("lexeme", key, "positions"), ["lexeme", key]).groupBy("query_id", key).agg(
+        *[F.first(c).alias(c) for c in others], F.collect_list(F.struct("slot", "positions")).alias("hits"))
+
+
 def match(postings: DataFrame, parsed: DataFrame, key: str = "id") -> DataFrame:
     """(query_id, key, n, hits): pages that hold every lexeme of the query.
 
-    hits is one (slot, positions) per lexeme, so a group is bounded by the query's
-    lexemes times the position cap. A hot lexeme only spreads over more groups.
+    Positions are fetched for these pages only. hits is one (slot, positions) per lexeme,
+    so a group is bounded by the query's lexemes. A hot lexeme only spreads over more groups.
     """
-    found = postings.select("lexeme", key, "positions").join(parsed, "lexeme")
-    return (found.groupBy("query_id", key)
-            .agg(F.first("n").alias("n"), F.count("*").alias("_found"),
-                 F.collect_list(F.struct("slot", "positions")).alias("hits"))
-            .filter("_found = n").drop("_found"))
+    return with_positions(match_pages(postings, parsed, key), postings, parsed, key)
 
 
 def _occurrences(hits: Column) -> Column:
@@ -123,8 +152,8 @@ def ranked_hits(postings: DataFrame, pages: DataFrame, queries: DataFrame, confi
                 stop_words: list[str] | None = None) -> DataFrame:
     """(query_id, id, url, created_at, rank) of all hits that pass the filters."""
     narrow = _page_filter(pages, domain, min_words).select("id", "url", "created_at")
-    matches = match(postings, parse_queries(queries, config, stop_words))
-    return rank(matches.join(narrow, "id"))
+    parsed = parse_queries(queries, config, stop_words)
+    return rank(with_positions(match_pages(postings, parsed).join(narrow, "id"), postings, parsed))
 
 
 def search_totals(postings: DataFrame, pages: DataFrame, queries: DataFrame, config: str = "simple",
@@ -133,10 +162,8 @@ def search_totals(postings: DataFrame, pages: DataFrame, queries: DataFrame, con
     """(query_id, total) of every query, 0 without hits; needs no rank."""
     narrow = _page_filter(pages, domain, min_words).select("id")
     parsed = parse_queries(queries, config, stop_words)
-    found = (postings.select("lexeme", "id").join(parsed, "lexeme")
-             .groupBy("query_id", "id").agg(F.first("n").alias("n"), F.count("*").alias("_found"))
-             .filter("_found = n").join(narrow, "id", "left_semi")
-             .groupBy("query_id").agg(F.count("*").alias("total")))
+    found = match_pages(postings, parsed).join(narrow, "id", "left_semi") \
+        .groupBy("query_id").agg(F.count("*").alias("total"))
     return queries.select("query_id").join(found, "query_id", "left") \
         .select("query_id", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
 
@@ -155,7 +182,7 @@ def search(postings: DataFrame, pages: DataFrame, queries: DataFrame, page: int
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page starts at 1, per_page lies in 1..100")
     hits = ranked_hits(postings, pages, queries, config, domain, min_words, stop_words)
-    order = Window.partitionBy("query_id").orderBy(F.desc("rank"), F.desc("created_at"), "url")
+    order = Window.partitionBy("query_id").orderBy(*_order())
     first = (page - 1) * per_page
     winners = (hits.withColumn("position", F.row_number().over(order))
                .filter((F.col("position") <= first + per_page) & (F.col("position") > first))
@@ -173,10 +200,9 @@ def search_pages(postings: DataFrame, pages: DataFrame, query: str, limit: int =
                  config: str = "simple") -> DataFrame:
     """The operators' own search of one text, by position: adds the author, has no snippet."""
     queries = pages.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("q"))
-    order = [F.desc("rank"), F.desc("created_at"), "url"]
-    top = ranked_hits(postings, pages, queries, config).orderBy(*order).offset(offset).limit(limit)
+    top = ranked_hits(postings, pages, queries, config).orderBy(*_order()).offset(offset).limit(limit)
     # Only the rows of one page are numbered: the limit comes first.
-    top = top.select((F.row_number().over(Window.orderBy(*order)) + offset).alias("position"), "id", "rank")
+    top = top.select((F.row_number().over(Window.orderBy(*_order())) + offset).alias("position"), "id", "rank")
     return pages.select("id", "url", "title", "description", "author", "domain", "word_count",
                         "created_at").join(top, "id").orderBy("position")
 

@@ -93,10 +93,16 @@ def indexed_docs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, root: str) -> DataFrame:
-    """(query_id, q): the first two words of more than three letters of each item."""
-    long_words = F.filter(tx.words(F.col("text")), lambda w: F.length(w) > 3)
-    return table(spark, root, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(long_words, 1, 2), " ").alias("q"))
+    """(query_id, q): each item's whole text as one query, and each two words of it in turn as another.
+
+    The whole text of item i is query 1,000,000 i; a null text is a query without words.
+    """
+    words = tx.words(F.coalesce("text", F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)), F.lit(2))
+    short = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, 2), " "))
+    items = table(spark, root, "benchmark").select("item_id", "text", words.alias("_w"))
+    return items.select("item_id", F.posexplode(F.concat(F.array(F.coalesce("text", F.lit(""))), short)).alias("_at", "q")) \
+        .select((F.col("item_id") * 1_000_000 + F.col("_at")).alias("query_id"), "q")
 
 
 def common_words(spark: SparkSession, root: str) -> str:

@@ -615,17 +615,20 @@ def _by_url(postings, pages):
 
 @query
 def document_vectors(spark, d):
-    rows = index.document_vectors(ad.indexed_docs(spark, d).withColumn("id", F.col("url")))
+    rows = index.document_vectors(ad.indexed_docs(spark, d).withColumn("id", F.col("url")), position_limits=True)
     return rows.select(F.col("id").alias("url"), "lexeme", F.col("pos").cast("bigint").alias("pos"), "weight")
 
 
 def _postings(spark, d, config="simple"):
-    return index.build_postings(ad.indexed_docs(spark, d), config=config)
+    """The index of the documents, written and read back: a search looks into it several times."""
+    path = new_work_dir(spark, "postings")
+    index.write_postings(index.build_postings(ad.indexed_docs(spark, d), config=config), path)
+    return spark.read.parquet(path)
 
 
 @query
 def postings(spark, d):
-    rows = index.build_postings(ad.indexed_docs(spark, d).withColumn("id", F.col("url")))
+    rows = index.build_postings(ad.indexed_docs(spark, d).withColumn("id", F.col("url")), position_limits=True)
     written = F.array_join(F.transform("positions", lambda p: F.concat(p["pos"].cast("string"), p["w"])), " ")
     return rows.select("lexeme", F.col("id").alias("url"), written.alias("positions"))
 
@@ -633,7 +636,7 @@ def postings(spark, d):
 @query
 def postings_without_limits(spark, d):
     """Every position of every lexeme, none pressed together."""
-    rows = index.build_postings(ad.indexed_docs(spark, d).withColumn("id", F.col("url")), position_limits=False)
+    rows = index.build_postings(ad.indexed_docs(spark, d).withColumn("id", F.col("url")))
     written = F.array_join(F.transform("positions", lambda p: F.concat(p["pos"].cast("string"), p["w"])), " ")
     return rows.select("lexeme", F.col("id").alias("url"), written.alias("positions"))
 

@@ -47,7 +47,7 @@ IDX = rf"""{DOCS}, idx AS (
          {content_hash('title', 'body')} AS content_hash, {word_count('body')} AS word_count, created_at
   FROM docs WHERE {accepted()})"""
 
-VEC = rf"""{IDX}, fields AS (
+LIMITED = rf"""{IDX}, fields AS (
   SELECT url, 'A' AS w, regexp_extract_all(lower(title), '{W}') AS l, 0 AS shift FROM idx
   UNION ALL
   SELECT url, 'C', regexp_extract_all(lower(content), '{W}'), len(regexp_extract_all(lower(title), '{W}')) FROM idx
@@ -60,9 +60,16 @@ post AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, lexeme ORDER BY pos) AS nth
                  FROM (SELECT url, lexeme, pos, min(weight) AS weight FROM vec GROUP BY ALL)) WHERE nth <= 256)"""
 
-QRY = rf"""qs AS (
-  SELECT item_id AS query_id, array_to_string(list_filter(
-           regexp_extract_all(lower(text), '{W}'), lambda x: length(x) > 3)[1:2], ' ') AS q FROM benchmark)"""
+# Each item's words as one query, and each two of them in turn as another.
+# Every position, none pressed together and none left out.
+VEC = LIMITED.replace("least(generate_subscripts(l, 1) + shift, 16383)", "generate_subscripts(l, 1) + shift") \
+    .replace(" WHERE nth <= 256", "")
+
+QRY = rf"""items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{W}') AS ws FROM benchmark),
+qs AS (
+  SELECT item_id * 1000000 AS query_id, array_to_string(ws, ' ') AS q FROM items
+  UNION ALL SELECT item_id * 1000000 + k, array_to_string(ws[2 * k - 1:2 * k], ' ')
+  FROM (SELECT *, unnest(range(1, greatest((len(ws) + 1) // 2, 1) + 1)) AS k FROM items))"""
 
 TERMS = """terms AS (
   SELECT query_id, lexeme, count(*) OVER (PARTITION BY query_id) AS n
@@ -123,8 +130,7 @@ RESULT_SELECT = ("SELECT query_id, position, url, title, content_summary, domain
                  "round(rank, 6) AS rank FROM paged")
 
 TOTALS = f"""{HITS}, totals AS (
-  SELECT b.item_id AS query_id, count(h.url) AS total
-  FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id GROUP BY ALL)"""
+  SELECT qs.query_id, count(h.url) AS total FROM qs LEFT JOIN hits h USING (query_id) GROUP BY ALL)"""
 
 ONE = rf"""{VEC}, terms AS (SELECT 0 AS query_id, lexeme FROM (
     SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{W}')) AS lexeme FROM benchmark)
@@ -413,11 +419,10 @@ ORACLES: dict[str, str] = {
     "page_count": f"WITH {IDX} SELECT count(*) AS pages FROM idx",
     "content_duplicates": f"""WITH {IDX} SELECT content_hash, count(*) AS pages, min(url) AS first_url FROM idx
         GROUP BY content_hash HAVING count(*) > 1""",
-    "document_vectors": f"WITH {VEC} SELECT url, lexeme, pos, weight FROM vec",
-    "postings": f"""WITH {VEC} SELECT lexeme, url, string_agg(pos || weight, ' ' ORDER BY pos) AS positions
+    "document_vectors": f"WITH {LIMITED} SELECT url, lexeme, pos, weight FROM vec",
+    "postings": f"""WITH {LIMITED} SELECT lexeme, url, string_agg(pos || weight, ' ' ORDER BY pos) AS positions
         FROM post GROUP BY ALL""",
-    "postings_without_limits": f"""WITH {VEC.replace('least(generate_subscripts(l, 1) + shift, 16383)', 'generate_subscripts(l, 1) + shift')
-        .replace('WHERE nth <= 256', '')} SELECT lexeme, url, string_agg(pos || weight, ' ' ORDER BY pos) AS positions FROM post GROUP BY ALL""",
+    "postings_without_limits": f"""WITH {VEC} SELECT lexeme, url, string_agg(pos || weight, ' ' ORDER BY pos) AS positions FROM post GROUP BY ALL""",
     "parse_queries": f"WITH {QRY}, {TERMS} SELECT query_id, lexeme, n FROM terms",
     "match": f"WITH {HITS} SELECT query_id, url FROM hits",
     "rank": f"WITH {RANKED} SELECT query_id, url, round(rank, 6) AS rank FROM ranked",

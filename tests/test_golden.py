@@ -221,8 +221,10 @@ def test_english_rank(spark):
 
 def test_position_caps(spark):
     pages = _pages(spark, [("1", "t", " ".join(["spam"] * 300 + ["x"] * 16_200 + ["egg"] * 3))])
-    got = {r["lexeme"]: r["positions"] for r in index.build_postings(pages).collect()}
+    got = {r["lexeme"]: r["positions"] for r in index.build_postings(pages, position_limits=True).collect()}
     assert len(got["spam"]) == 256 and [p["pos"] for p in got["egg"]] == [16_383]
+    whole = {r["lexeme"]: r["positions"] for r in index.build_postings(pages).collect()}
+    assert len(whole["spam"]) == 300 and [p["pos"] for p in whole["egg"]] == [16_502, 16_503, 16_504]
 
 
 def test_filters_off(spark):

@@ -55,11 +55,21 @@ def test_lookup_reaches_the_scan(spark, tmp_path):
     pages = ad.indexed_docs(spark, DATA)
     path = str(tmp_path / "postings")
     index.cluster_postings(index.build_postings(pages), path)
-    parsed = search.parse_queries(ad.queries(spark, DATA).filter("query_id < 3"))
+    parsed = search.parse_queries(ad.queries(spark, DATA).filter("query_id < 2000000"))
     text = plan(search.lookup(spark.read.parquet(path), parsed))
     assert "PushedFilters: [In(lexeme" in text
 
 
+def test_no_positions_before_all_words_are_found(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    index.write_postings(index.build_postings(ad.indexed_docs(spark, DATA)), path)
+    postings, parsed = spark.read.parquet(path), search.parse_queries(ad.queries(spark, DATA))
+    assert "positions" not in plan(search.match_pages(postings, parsed))
+    # The whole search reads them in one scan, behind the join to the pages that are left.
+    text = plan(search.match(postings, parsed))
+    assert text.count("ReadSchema: struct<lexeme:string,id:string,positions") == 1
+
+
 def test_each_page_is_walked_once(spark):
     for name in ("extract_links", "extract_headings", "extract_content", "extract_script_text", "assemble_page"):
         text = plan(catalog.QUERIES[name](spark, DATA))
