@@ -2,6 +2,8 @@
 
 Layout under the root, one folder per batch in each:
   versions/batch_id=N   rows that changed the table, with all stored columns
+  hashes/batch_id=N/prefix=P   their address and content hashes, by the first signs of the
+                        address hash: a batch opens only the prefixes of its own addresses
   postings/batch_id=N   postings of those rows, sorted by lexeme
   counts/batch_id=N     one row of counts and time, written last: it commits the batch
   base                  postings of a compaction, with the batch each one came from
@@ -30,6 +32,7 @@ from blogindex.session import exists
 _VERSION = ["batch_id", "seq"]
 # Batches that the numbering leaves to each stream.
 STREAM_BATCHES = 1 << 40
+_HASHES = "url_hash string, content_hash string, seq double, batch_id bigint, prefix string"
 
 
 def _version_id() -> Column:
@@ -56,8 +59,9 @@ def stream_number(spark: SparkSession, root: str, checkpoint: str) -> int:
 
 class PageStore:
     def __init__(self, spark: SparkSession, root: str, config: str = "simple",
-                 stop_words: list[str] | None = None):
-        self.spark, self.root, self.config, self.stop_words = spark, root, config, stop_words
+                 stop_words: list[str] | None = None, prefix: int = 1):
+        """prefix: hexadecimal signs of the address hash that name a folder, 16 folders for each; fixed for a store."""
+        self.spark, self.root, self.config, self.stop_words, self.prefix = spark, root, config, stop_words, prefix
 
     def _path(self, table: str, batch_id: int | None = None) -> str:
         return f"{self.root}/{table}" + ("" if batch_id is None else f"/batch_id={batch_id}")
@@ -76,25 +80,41 @@ class PageStore:
 
     def _committed(self, table: str, before: int | None = None) -> DataFrame | None:
         """Rows of committed batches, optionally only of those before a batch."""
-        df, counts = self._read(table), self.counts()
+        return self._of_batches(self._read(table), before)
+
+    def _of_batches(self, df: DataFrame | None, before: int | None) -> DataFrame | None:
+        counts = self.counts()
         if df is None or counts is None:
             return None
         if before is not None:
             df, counts = df.filter(F.col("batch_id") < before), counts.filter(F.col("batch_id") < before)
         return df.join(counts.select("batch_id").distinct(), "batch_id", "left_semi")
 
+    def _prefix(self) -> Column:
+        return F.substring("url_hash", 1, self.prefix).alias("prefix")
+
     def current_hashes(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame | None:
-        """(url_hash, content_hash) of the table, or of the URLs in of; reads only these columns of the log.
+        """(url_hash, content_hash) of the table, or of the URLs in of.
 
-        With of, the log is cut down to those URLs before anything is grouped.
+        With of, only the folders of the prefixes in it are opened, of which there are at most
+        16 to the power of prefix, and the log is cut down to those URLs before anything is
+        grouped.
         """
-        log = self._committed("versions", before)
+        if not exists(self.spark, self._path("hashes")):
+            return None
+        log = self._of_batches(self.spark.read.schema(_HASHES).parquet(self._path("hashes")), before)
         if log is None:
             return None
         if of is not None:
-            log = log.join(of.select("url_hash").distinct(), "url_hash", "left_semi")
+            touched = [r["prefix"] for r in of.select(self._prefix()).filter("prefix IS NOT NULL").distinct().collect()]
+            log = log.filter(F.col("prefix").isin(touched)).join(of.select("url_hash").distinct(), "url_hash", "left_semi")
         return log.groupBy("url_hash").agg(F.max_by("content_hash", F.struct(*_VERSION)).alias("content_hash"))
 
+    def _write_hashes(self, versions: DataFrame, path: str, *partitions: str) -> None:
+        versions.select("url_hash", "content_hash", F.col("seq").cast("double"), *partitions, self._prefix()) \
+            .repartition(*partitions, "prefix").sortWithinPartitions("prefix", "url_hash") \
+            .write.mode("overwrite").partitionBy(*partitions, "prefix").parquet(path)
+
     def pages(self, before: int | None = None) -> DataFrame | None:
         """The page table: STORED_COLUMNS, times and version."""
         log = self._committed("versions", before)
@@ -126,6 +146,7 @@ class PageStore:
             changed.write.mode("overwrite").parquet(self._path("versions", batch_id))
             written = self.spark.read.schema(changed.schema).parquet(self._path("versions", batch_id)) \
                 .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            self._write_hashes(written, self._path("hashes", batch_id))
             keyed = spread(written, "id").withColumn("id", _version_id())
             index.write_postings(index.build_postings(keyed, "id", self.config, self.stop_words),
                                  self._path("postings", batch_id))
@@ -167,7 +188,7 @@ class PageStore:
         pages, postings, counts = self.pages(), self.postings(), self.counts()
         if pages is None or postings is None or counts is None:
             raise ValueError(f"nothing is indexed in {self.root}")
-        new = PageStore(self.spark, target, self.config, self.stop_words)
+        new = PageStore(self.spark, target, self.config, self.stop_words, self.prefix)
         last = counts.agg(F.max("batch_id")).first()[0]
         earlier = self.pages(before=last)
         kept = pages if earlier is None else pages.unionByName(
@@ -175,6 +196,7 @@ class PageStore:
         kept.repartition("batch_id", F.pmod(F.xxhash64("url_hash"), F.lit(64))) \
             .sortWithinPartitions("batch_id", "domain", "created_at") \
             .write.mode("overwrite").partitionBy("batch_id").parquet(new._path("versions"))
+        new._write_hashes(kept, new._path("hashes"), "batch_id")
         live = postings.drop("batch_id").join(pages.select(_version_id().alias("id"), "batch_id"), "id")
         index.cluster_postings(live.select("lexeme", "id", "batch_id", "positions"), new._path("base"))
         counts.write.mode("overwrite").partitionBy("batch_id").parquet(new._path("counts"))

@@ -172,3 +172,24 @@ def test_rejected_domains_are_fed_back(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{out}/blacklist").select("domain", "batch_id").collect()] == [("bad.org", 0)]
     assert [r[0] for r in jobs.rejected_domains(out)(spark).collect()] == ["bad.org"]
     assert sorted(r[0] for r in spark.read.parquet(f"{out}/index").select("location").collect()) == ["http://good.org/0", "http://good.org/1"]
+
+
+def test_a_batch_opens_only_the_prefixes_of_its_addresses(spark, tmp_path):
+    """What a second batch reads of the store does not grow with the addresses of other prefixes."""
+    one = ad.doc_pages(spark, DATA).filter("doc_id = 5").select(*schemas.PAGE_COLUMNS, "seq")
+    own = one.select(F.sha2("location", 256).alias("url_hash"))
+    seen = []
+    for name, rest in (("small", "doc_id < 20"), ("large", "true")):
+        store = PageStore(spark, str(tmp_path / name))
+        pages = ad.doc_pages(spark, DATA).filter(rest).select(*schemas.PAGE_COLUMNS, "seq")
+        store.write_batch(pages, 0, F.lit(NOW).cast("timestamp"))
+        log = spark.read.parquet(f"{store.root}/hashes")
+        hashes = store.current_hashes(before=1, of=own)
+        text = hashes._jdf.queryExecution().explainString(hashes._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "PartitionFilters" in text and "(prefix" in text
+        prefix = own.first()["url_hash"][:1]
+        seen.append(log.filter(F.col("prefix").cast("string") == prefix).select(F.input_file_name()).distinct().count())
+        store.write_batch(one, 1, F.lit(NOW).cast("timestamp"))
+        assert store.counts().filter("batch_id = 1").first()["skipped"] == 1
+        assert store.current_hashes().count() == store.pages().count()
+    assert seen[0] == seen[1] == 1
