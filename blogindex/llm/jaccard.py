@@ -26,6 +26,8 @@ from blogindex.llm.graph import components
 # Buckets of the frequency sketch; shared shingles that a candidate needs; rows of a tile
 # that one task compares with each other; uses of a shingle beyond which its rows are salted.
 BUCKETS, SHARED, TILE, HOT = 1 << 20, 4, 4096, 20_000
+# Bits for each shingle in the bitmaps that groups are compared by.
+WIDE = 8
 # Ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _CACHED = 1_000_000
@@ -103,9 +105,9 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
     return weight
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit per hash, in a power of two of bits, at least as many as there are hashes."""
-    bits = 1 << max(6, min(17, int(len(hashes) - 1).bit_length()))
+def bitmap(hashes: np.ndarray, share: int = 1, most: int = 17) -> bytes:
+    """A bit per hash, in a power of two of bits, at least share for each hash and 1 << most in all."""
+    bits = 1 << max(6, min(most, int(share * len(hashes) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -371,16 +373,20 @@ def overlap(hashes: list[bytes], i: np.ndarray, j: np.ndarray, percent: int) ->
     return out
 
 
-def _decided(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _decided(sorted_rows: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """(a, b): links between components, as a forest of each group.
 
-    Rows: group, cell, part, size, id, component, bits, hashes, sorted by (group, cell, size,
-    id). A cell holds at most two parts of a large group, and pairs come from different ones.
+    Rows: group, cell, part, size, id, component, bits[, hashes], sorted by (group, cell,
+    size, id). A cell holds at most two parts of a large group, and pairs come from different
+    ones. If not exact, pairs that the bitmaps allow count as links, and a and b are the
+    components themselves.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def work(part, size, id_, component, bits, hashes):
+    def work(part, size, id_, component, bits, hashes=None):
         names, number = np.unique(component, return_inverse=True)
+        if len(names) == 1:
+            return
         across = (part != part[0]).any()
         forest, out = _Forest(len(names)), []
 
@@ -388,17 +394,21 @@ def _decided(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             return part[a][:, None] != part[b][None, :]
 
         for i, j in _bands(size, lambda: forest.joined()[number], fits if across else None, percent):
-            may = _by_bitmaps(size, bits, i, j, percent)
-            i, j = i[may], j[may]
             # Pairs of sets that an earlier one of the block has joined need no look.
-            for low in range(0, len(i), 2048):
-                a, b = i[low:low + 2048], j[low:low + 2048]
+            for low in range(0, len(i), 20_000):
+                a, b = i[low:low + 20_000], j[low:low + 20_000]
                 joined = forest.joined()[number]
                 apart = joined[a] != joined[b]
                 a, b = a[apart], b[apart]
-                linked = overlap(hashes, a, b, percent)
-                a, b = a[linked], b[linked]
-                out += [(id_[a[k]], id_[b[k]]) for k in forest.join(number[a], number[b])]
+                if not len(a):
+                    continue
+                may = _by_bitmaps(size, bits, a, b, percent)
+                a, b = a[may], b[may]
+                if exact and len(a):
+                    linked = overlap(hashes, a, b, percent)
+                    a, b = a[linked], b[linked]
+                ends = (id_[a], id_[b]) if exact else (component[a], component[b])
+                out += [(ends[0][k], ends[1][k]) for k in forest.join(number[a], number[b])]
         if out:
             yield rows_of({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
 
@@ -423,16 +433,22 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def set_hashes(ids: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """(id, hashes): the sorted shingle hashes of the documents with the stored ids."""
+    """(id, bits, hashes) of the documents with the stored ids: the sorted shingle hashes, and WIDE bits for each."""
     def hashes(batches):
         make = Shingler(like.n)
-        for ids, texts in text_rows(batches):
+        for ids, texts in text_rows(batches, 100):
+            sets = [make(t) for t in texts]
             yield pa.RecordBatch.from_pydict({
-                "id": pa.array(ids, pa.int64()), "hashes": pa.array([make(t).tobytes() for t in texts], pa.binary())})
+                "id": pa.array(ids, pa.int64()), "bits": pa.array([bitmap(s, WIDE, 20) for s in sets], pa.binary()),
+                "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     texts = with_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes()), ids, "doc_id")
-    # Repeated rows of an id have the same text; one of them is enough.
-    return texts.mapInArrow(hashes, "id bigint, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    return texts.mapInArrow(hashes, "id bigint, bits binary, hashes binary")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row per id: repeated rows of an id have the same text."""
+    return rows.groupBy("id").agg(*[F.first(c).alias(c) for c in rows.columns if c != "id"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
@@ -454,7 +470,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
         .filter(by_bits("bits_a", "bits_b", "size_a", "size_b"))
     near = stored(pairs.select("a", "b"), "candidates")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    whole = stored(set_hashes(ids, docs, like), "hashes")
+    whole = stored(_once(set_hashes(ids, docs, like).drop("bits")), "hashes")
     found = near.join(whole.withColumnsRenamed({"id": "a", "hashes": "_a"}), "a") \
         .join(whole.withColumnsRenamed({"id": "b", "hashes": "_b"}), "b").filter(by_overlap("_a", "_b")).select("a", "b")
     found = stored(found, "linked")
@@ -472,7 +488,8 @@ def crossing_links(live: DataFrame, known: DataFrame, classes: DataFrame, docs:
     """(a, b): links that connect the components of live (token, size, id, low, component) as all links do.
 
     Tiles first tell which components their bitmaps cannot keep apart. What hangs together
-    by that is a group, mostly of few rows, and its sets are compared exactly. Of a large
+    by that is a group; wider bitmaps cut it down, and the sets of what is left, mostly few,
+    are compared exactly. Of a large
     tile the rows of the main component are dealt out, and the others go to every part.
     """
     p = like.percent
@@ -490,21 +507,30 @@ def crossing_links(live: DataFrame, known: DataFrame, classes: DataFrame, docs:
     maybe = rows.repartition("token", "part").sortWithinPartitions("token", "part", "size", "id").mapInArrow(
         lambda batches: _maybe(batches, p), "a bigint, b bigint")
     maybe = stored(maybe.distinct(), "maybe")
-    groups = stored(components(maybe).select(F.col("component").alias("group"), F.col("id").alias("component")), "groups")
-    drop_stored(maybe)
     parted = classes.select("id", "size").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Wider bitmaps first: far fewer sets have to be compared exactly.
+    near = stored(_within_groups(maybe, parted, docs, like, exact=False).distinct(), "near")
+    found = stored(_within_groups(near, parted, docs, like, exact=True), "crossing")
+    drop_stored(mixed, maybe, near)
+    return found
+
+
+def _within_groups(maybe: DataFrame, parted: DataFrame, docs: DataFrame, like: Likeness, exact: bool) -> DataFrame:
+    """Links between the components of each group, that is of what the pairs of components in maybe hang together.
+
+    parted names the component of every class (id, size, component).
+    """
+    groups = components(maybe).select(F.col("component").alias("group"), F.col("id").alias("component"))
     members = stored(parted.join(groups, "component").select("group", "id", "size", "component"), "members")
     ids = stored(members.select("id").distinct(), "ids")
-    whole = set_hashes(ids, docs, like)
+    sets = _once(set_hashes(ids, docs, like).select("id", "bits", *(["hashes"] if exact else [])))
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("_parts"))
     rows = members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int")) \
-        .withColumn("cell", F.explode(_cells(F.col("_parts"), F.col("part")))) \
-        .join(classes.select("id", "bits"), "id").join(whole, "id") \
-        .select("group", "cell", "part", "size", "id", "component", "bits", "hashes")
-    found = stored(rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "size", "id").mapInArrow(
-        lambda batches: _decided(batches, p), "a bigint, b bigint"), "crossing")
-    drop_stored(mixed, groups, members, ids)
-    return found
+        .withColumn("cell", F.explode(_cells(F.col("_parts"), F.col("part")))).drop("_parts") \
+        .join(sets, "id").select("group", "cell", "part", "size", "id", "component", *sets.columns[1:])
+    percent = like.percent
+    return rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "size", "id").mapInArrow(
+        lambda batches: _decided(batches, percent, exact), "a bigint, b bigint")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
