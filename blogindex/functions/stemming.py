@@ -128,12 +128,78 @@ def stem_words(words: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lists.offsets, stems, mask=mask)
 
 
-@F.arrow_udf(StringType())
-def stem_word(words: pa.Array) -> pa.Array:
-    return _stem_array(words)
+def stem_steps(word: str, dialect: str = "spark") -> list[tuple[str, str]]:
+    """The rules as SQL: (column, expression) pairs, each using those before it; the last is stem.
+
+    word names the column of lower-case words. The dialects differ in how a pattern is
+    tested and replaced only.
+    """
+    def has(x: str, pattern: str) -> str:
+        return f"{x} RLIKE '{pattern}'" if dialect == "spark" else f"regexp_matches({x}, '{pattern}')"
+
+    def quoted(values) -> str:
+        return ", ".join(f"'{v}'" for v in values)
+
+    def ending(x: str, suffixes) -> str:
+        # The match that starts first is that of the longest suffix.
+        return f"regexp_extract({x}, '({'|'.join(sorted(suffixes, key=len, reverse=True))})$', 1)"
+
+    def switch(x: str, table: dict[str, str]) -> str:
+        return f"CASE {x} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())} END"
+
+    def region(x: str) -> str:
+        return f"length(regexp_extract({x}, '^.*?[aeiouy][^aeiouy]', 0))"
+
+    def head(x: str, end: str) -> str:
+        return f"left({x}, length({x}) - length({end}))"
+
+    def far(x: str, end: str, start: str) -> str:
+        return f"{end} <> '' AND length({x}) - length({end}) >= {start}"
+
+    short = f"({has('{x}', '[^aeiouy][aeiouy][^aeiouywxY]$')} OR {has('{x}', '^[aeiouy][^aeiouy]$')})"
+    doubles = "(" + "|".join(_DOUBLES) + ")$"
+    marked = f"regexp_replace({word}, '(^|[aeiouy])y', '$1Y')" if dialect == "spark" else \
+        f"regexp_replace({word}, '(^|[aeiouy])y', '\\1Y', 'g')"
+    first = " ".join(f"WHEN starts_with(a, '{x}') THEN {len(x)}" if dialect != "spark" else f"WHEN startswith(a, '{x}') THEN {len(x)}"
+                     for x in _PREFIXES)
+    return [
+        ("a", marked),
+        ("r1", f"CASE {first} WHEN {region('a')} = 0 THEN length(a) ELSE {region('a')} END"),
+        ("r2", f"CASE WHEN {region('substring(a, r1 + 1)')} = 0 THEN length(a) ELSE r1 + {region('substring(a, r1 + 1)')} END"),
+        # Plurals.
+        ("b", f"CASE WHEN a LIKE '%sses' THEN left(a, length(a) - 2) WHEN a LIKE '%ied' OR a LIKE '%ies' THEN "
+              f"left(a, length(a) - CASE WHEN length(a) > 4 THEN 2 ELSE 1 END) WHEN a LIKE '%s' AND a NOT LIKE '%us' AND a NOT LIKE '%ss' "
+              f"AND {has('left(a, length(a) - 2)', '[aeiouy]')} THEN left(a, length(a) - 1) ELSE a END"),
+        # Past and progressive forms.
+        ("e1", ending("b", ["eed", "eedly", "ed", "edly", "ing", "ingly"])),
+        ("h", head("b", "e1")),
+        ("c", f"CASE WHEN e1 IN ('eed', 'eedly') THEN CASE WHEN length(h) >= r1 THEN concat(h, 'ee') ELSE b END "
+              f"WHEN e1 = '' OR NOT {has('h', '[aeiouy]')} THEN b WHEN {has('h', '(at|bl|iz)$')} THEN concat(h, 'e') "
+              f"WHEN {has('h', doubles)} THEN left(h, length(h) - 1) "
+              f"WHEN length(h) <= r1 AND {short.format(x='h')} THEN concat(h, 'e') ELSE h END"),
+        ("d", f"CASE WHEN length(c) > 2 AND {has('c', '[^aeiouy][yY]$')} THEN concat(left(c, length(c) - 1), 'i') ELSE c END"),
+        # Derivational suffixes.
+        ("e2", ending("d", _STEP2)),
+        ("h2", head("d", "e2")),
+        ("f", f"CASE WHEN {far('d', 'e2', 'r1')} AND (e2 <> 'ogi' OR h2 LIKE '%l') AND (e2 <> 'li' OR {has('h2', f'[{_LI_ENDING}]$')}) "
+              f"THEN concat(h2, {switch('e2', _STEP2)}) ELSE d END"),
+        ("e3", ending("f", _STEP3)),
+        ("g", f"CASE WHEN {far('f', 'e3', 'r1')} AND (e3 <> 'ative' OR length(f) - length(e3) >= r2) "
+              f"THEN concat({head('f', 'e3')}, {switch('e3', _STEP3)}) ELSE f END"),
+        ("e4", ending("g", _STEP4)),
+        ("i", f"CASE WHEN {far('g', 'e4', 'r2')} AND (e4 <> 'ion' OR {has(head('g', 'e4'), '[st]$')}) THEN {head('g', 'e4')} ELSE g END"),
+        # Final e and doubled l.
+        ("j", "left(i, length(i) - 1)"),
+        ("k", f"CASE WHEN i LIKE '%e' AND (length(j) >= r2 OR (length(j) >= r1 AND NOT {short.format(x='j')})) THEN j "
+              f"WHEN i LIKE '%ll' AND length(j) >= r2 THEN j ELSE i END"),
+        ("stem", f"CASE WHEN length({word}) <= 2 THEN {word} WHEN {word} IN ({quoted(_WHOLE)}) THEN {switch(word, _WHOLE)} "
+                 f"WHEN b IN ({quoted(sorted(_AFTER_1A))}) THEN b ELSE replace(k, 'Y', 'y') END"),
+    ]
 
 
 def stem_vocabulary(vocabulary: DataFrame, col: str = "word") -> DataFrame:
-    """(word, stem) of the distinct words."""
-    return vocabulary.select(F.col(col).alias("word")).distinct() \
-        .withColumn("stem", stem_word("word"))
+    """(word, stem) of the distinct words, by column expressions only."""
+    words = vocabulary.select(F.col(col).alias("word")).distinct()
+    for name, rule in stem_steps("word"):
+        words = words.withColumn(name, F.expr(rule))
+    return words.select("word", "stem")

@@ -60,8 +60,7 @@ def _fit(docs: DataFrame, key: str, C: float, balanced: bool, stop_words: list[s
     fitted = split(docs, key)[0]
     source = docs if fit_on == "all" else fitted
     n_docs = fe.document_count(source)
-    vocabulary = fe.select_vocabulary(
-        fe.term_counts(source, key, stop_words=stop_words), n_docs, size=vocabulary_size)
+    vocabulary = fe.mine_vocabulary(source, key, n_docs, stop_words=stop_words, size=vocabulary_size)
     rows = fe.idf(vocabulary, n_docs).orderBy("term").collect()
     if not rows:
         raise ValueError("no term is frequent enough to train on")

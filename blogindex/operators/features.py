@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blogindex.functions import text as tx
 from blogindex.plans.rows import runs, unnest
+from blogindex.session import new_work_dir
 
 
 def default_stop_words() -> list[str]:
@@ -83,6 +84,63 @@ def select_vocabulary(counts: DataFrame, n_docs: DataFrame, min_df: int = 2, max
             .select("term", "df", "total"))
 
 
+# Grams of one length that go into the plan to prune the next; more are not used.
+_LISTED = 20_000
+
+
+def _pruned_ngrams(tokens: Column, n: int, frequent: list[str] | None) -> Column:
+    """The n-grams whose two parts of n - 1 tokens are frequent; all of them without a list."""
+    if n == 1 or frequent is None:
+        return tx.ngrams(tokens, n, n)
+
+    def bound(b: Column) -> Column:
+        return F.filter(F.transform(b["grams"], lambda g, i: F.when(F.get(b["ok"], i) & F.get(b["ok"], i + 1), g)),
+                        lambda g: g.isNotNull())
+
+    ok = F.transform(tx.ngrams(tokens, n - 1, n - 1), lambda g: g.isin(frequent) if frequent else F.lit(False))
+    return F.transform(F.array(F.struct(tx.ngrams(tokens, n, n).alias("grams"), ok.alias("ok"))), bound)[0]
+
+
+def _counted(docs: DataFrame, key: str, grams: Column) -> DataFrame:
+    """(term, df, total) of a list of terms per document, counted inside the rows first."""
+    terms = docs.select(key, F.transform(grams, lambda t: F.struct(t.alias("term"))).alias("_terms"))
+    return runs(terms, "_terms", "term", F.size, "tf").groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("total"))
+
+
+def mine_vocabulary(docs: DataFrame, key: str, n_docs: DataFrame, low: int = 1, high: int = 3,
+                    stop_words: list[str] | None = None, min_df: int = 2, max_df: float = 0.9,
+                    size: int = 10_000) -> DataFrame:
+    """(term, df, total): what select_vocabulary makes of all n-grams, counting far fewer of them.
+
+    Words first, then pairs, then triples. A term occurs at most as often as any of its parts
+    and in no more documents, so only terms whose parts are in enough documents and occur as
+    often as the last term of the vocabulary so far are counted at all; nothing else could
+    get into it. docs is read once per length and should be a stored table.
+    """
+    n = n_docs.select("n").first()["n"]
+    kept = docs.select(key, tx.remove_stop_words(F.col("tokens"), stop_words or []).alias("tokens"))
+    best: DataFrame | None = None
+    frequent: list[str] | None = None
+    least = 0
+    for length in range(1, high + 1):
+        counted = _counted(kept, key, _pruned_ngrams(F.col("tokens"), length, frequent)) \
+            .filter((F.col("df") >= min_df) & (F.col("total") >= least))
+        path = new_work_dir(docs.sparkSession, f"grams-{length}")
+        counted.write.parquet(path)
+        level = docs.sparkSession.read.schema(counted.schema).parquet(path)
+        if length >= low:
+            fits = level.filter(F.col("df") <= n * max_df)
+            best = fits if best is None else best.unionByName(fits)
+            edge = best.orderBy(F.desc("total"), "term").limit(size).agg(
+                F.count("*").alias("n"), F.min("total").alias("total")).first()
+            least = edge["total"] if edge["n"] == size else 0
+        if length < high:
+            rows = level.filter(F.col("total") >= least).select("term").limit(_LISTED + 1).collect()
+            frequent = [r["term"] for r in rows] if len(rows) <= _LISTED else None
+    return best.orderBy(F.desc("total"), "term").limit(size).select("term", "df", "total")
+
+
 def document_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"))
 

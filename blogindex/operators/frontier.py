@@ -5,13 +5,13 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blogindex.functions import urls
 from blogindex.operators import domains as dom
 from blogindex.plans.sizing import chunk_of, sums_before
-from blogindex.session import work_root
+from blogindex.session import new_work_dir
 from blogindex.settings import DEFAULTS
 
 
@@ -115,41 +115,70 @@ def _numbered(df: DataFrame, parent: str, order: list[str], start: int, span: in
             .drop("_chunk", "_offset", "_row"))
 
 
+class VisitedTable:
+    """What a crawl has admitted, dealt into buckets of the location's hash.
+
+    The table is bucketed on disk as a shuffle deals rows out, so the join of a wave to it
+    moves the wave only. A wave is appended as a partition of its own.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.path = new_work_dir(spark, "visited")
+        self.name = "visited_" + self.path.rsplit("-", 1)[-1]
+        self.empty = True
+
+    def append(self, rows: DataFrame, wave: int) -> None:
+        (rows.withColumn("wave", F.lit(wave)).repartition(self.buckets, "location")
+         .write.format("parquet").mode("append").partitionBy("wave").bucketBy(self.buckets, "location")
+         .option("path", self.path).saveAsTable(self.name))
+        self.empty = False
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        return rows if self.empty else rows.join(self.rows().select("location"), "location", "left_anti")
+
+    def close(self) -> DataFrame:
+        """All rows, read from the files; the name is given up."""
+        schema = self.rows().schema
+        self.spark.sql(f"DROP TABLE {self.name}")  # external: the files stay
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int | None = None,
                 blocked: DataFrame | None = None,
                 route: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
-                key: str = "exact", span: int = 10_000) -> DataFrame:
+                key: str = "exact", span: int = 10_000, buckets: int | None = None) -> DataFrame:
     """(location, wave, seq): what a crawl of the snapshot admits, in queue order.
 
     seeds: (location, seq); pages: (location, links, ...). Each wave admits the new
     locations, looks up their pages and queues the links. route(pages) may return
     (pages to follow, domains to blacklist); the set applies from the next wave on.
-    Each wave is checkpointed to the shared folder, so lineage stays short and an
-    executor's loss costs no earlier wave. The crawl ends when the frontier is empty; with
-    max_waves, a crawl that is not done by then is an error.
+    Each wave is written to the visited table in the shared folder, so lineage stays short,
+    an executor's loss costs no earlier wave, and a wave's shuffle depends on the wave only
+    (buckets: as many as a shuffle has partitions). The crawl ends when the frontier is
+    empty; with max_waves, a crawl that is not done by then is an error.
     """
-    work_root(seeds.sparkSession)
+    spark = seeds.sparkSession
     frontier = seeds.select("location", "seq")
-    done: DataFrame | None = None
+    done = VisitedTable(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     black: DataFrame | None = None
     start = 0
     for wave in itertools.count():
-        new = frontier.groupBy("location").agg(F.min("seq").alias("_order"))
-        if done is not None:
-            new = new.join(done.select("location"), "location", "left_anti")
+        new = done.unseen(frontier.groupBy("location").agg(F.min("seq").alias("_order")))
         parent = F.col("_order") if wave == 0 else F.col("_order.parent")
         new = _numbered(new.withColumn("_parent", parent), "_parent", ["_order", "location"],
                         start, span)
-        new = new.select("location", F.lit(wave).alias("wave"), "seq").checkpoint()
+        done.append(new.select("location", F.col("seq").cast("bigint").alias("seq")), wave)
+        new = done.rows().filter(F.col("wave") == wave)
         count = new.count()
         if count == 0:
             break
         if max_waves is not None and wave >= max_waves:
             raise RuntimeError(f"{count} locations are left after {max_waves} waves")
         start += count
-        done = new if done is None else done.union(new)
-        if wave % 16 == 15:
-            done = done.checkpoint()
         live = new.filter(urls.parses(F.col("location")))
         if blocked is not None:
             live = dom.block_domains(live, blocked, "location")
@@ -162,5 +191,4 @@ def crawl_waves(seeds: DataFrame, pages: DataFrame, max_waves: int | None = None
         frontier = (_each_link(fetched.select(F.col("seq").alias("_parent"), F.posexplode_outer("links")
                                               .alias("pos", "location")))
                     .select("location", F.struct(F.col("_parent").alias("parent"), "pos").alias("seq")))
-    return frontier.select("location", F.lit(0).alias("wave"), F.lit(0).cast("bigint").alias("seq")).limit(0) \
-        if done is None else done
+    return done.close().select("location", "wave", "seq")

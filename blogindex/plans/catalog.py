@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blogindex import schemas
+from blogindex.functions import stemming
 from blogindex.functions import text as tx
 from blogindex.functions import urls
 from blogindex.functions.sql import register_functions
@@ -167,6 +168,14 @@ def resolve_seeds(spark, d):
     return seeds.resolve_seeds(tried, status)
 
 
+@query
+def working_seeds(spark, d):
+    """The working addresses as a line list, read back as seeds."""
+    path = new_work_dir(spark, "working")
+    seeds.write_working_seeds(resolve_seeds(spark, d), path)
+    return lists.read_seeds(spark, path, on_bad="drop").select("location")
+
+
 @query
 def hostname(spark, d):
     return ad.table(spark, d, "pages").select("page_id", urls.hostname(F.col("url")).alias("hostname"))
@@ -359,7 +368,7 @@ def crawl_waves(spark, d):
     first = ad.table(spark, d, "documents").filter("doc_id = 0").select(
         F.format_string("https://%s.example.com/%s/%d", "source", "lang", "doc_id").alias("location"),
         F.col("doc_id").alias("seq"))
-    return frontier.crawl_waves(first, pages)
+    return frontier.crawl_waves(first, pages, buckets=spark.sparkContext.defaultParallelism)
 
 
 # ---- text and features
@@ -416,22 +425,25 @@ def ngrams(spark, d):
         "doc_id", F.size(terms).cast("bigint").alias("terms"), F.md5(F.array_join(terms, "|")).alias("digest"))
 
 
-def _counts(spark, d):
-    return features.term_counts(_doc_tokens(spark, d), "doc_id", stop_words=ENGLISH_STOP_WORDS)
+def _stored_tokens(spark, d):
+    """The tokens of the documents, written once: vocabulary and vectors read them several times."""
+    path, docs = new_work_dir(spark, "tokens"), _doc_tokens(spark, d)
+    docs.write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
 
 
-def _n_docs(spark, d):
-    return features.document_count(_doc_tokens(spark, d))
+def _vocabulary(docs):
+    return features.mine_vocabulary(docs, "doc_id", features.document_count(docs), stop_words=ENGLISH_STOP_WORDS)
 
 
 @query
 def vocabulary(spark, d):
-    return features.select_vocabulary(_counts(spark, d), _n_docs(spark, d))
+    return _vocabulary(_stored_tokens(spark, d))
 
 
 def _vectors(spark, d):
-    return features.vectorize(_doc_tokens(spark, d), "doc_id", vocabulary(spark, d), _n_docs(spark, d),
-                              stop_words=ENGLISH_STOP_WORDS)
+    docs = _stored_tokens(spark, d)
+    return features.vectorize(docs, "doc_id", _vocabulary(docs), features.document_count(docs), stop_words=ENGLISH_STOP_WORDS)
 
 
 @query
@@ -776,6 +788,13 @@ def classify_pages(spark, d):
     return routing.route(scored, 0.9).select("doc_id", "p_not", "p_dev", "route")
 
 
+@query
+def stem(spark, d):
+    """Stems of all words of the documents and the benchmark, by column expressions."""
+    words = [ad.table(spark, d, t).select(F.explode_outer(tx.words(F.col("text"))).alias("word")) for t in ("documents", "benchmark")]
+    return stemming.stem_vocabulary(words[0].union(words[1]).filter("word IS NOT NULL"))
+
+
 @query
 def search_english(spark, d):
     return _result_columns(_search(spark, d, config="english"))
@@ -827,6 +846,28 @@ def stream_route(spark, d):
     return outputs[0].union(outputs[1]).union(outputs[2])
 
 
+@query
+def stream_chain(spark, d):
+    """Queue files through admission, fetch, routing and indexing, each stage a stream over what the one before wrote."""
+    session, root = with_rocksdb(spark), new_work_dir(spark, "chain")
+    docs = ad.doc_pages(session, d)
+    queue = docs.select("location", (F.col("doc_id") % 6).cast("int").alias("retries"), F.col("doc_id").alias("seq"))
+    for rest in (0, 1):  # every location twice
+        stores.append_stage(queue.withColumn("seq", F.col("seq") + rest * 1_000_000_000), f"{root}/queue")
+    session.createDataFrame([("SRC3.example.com",), ("src5.example.com",)], "value STRING").write.text(f"{root}/blocked")
+    jobs.admission_stream(records.stream_frontier(session, f"{root}/queue", max_files=4), f"{root}/admission", f"{root}/admission/checkpoint",
+                          lambda s: lists.read_domain_list(s, f"{root}/blocked")).awaitTermination()
+    admitted = session.readStream.schema("seq BIGINT, location STRING, retries INT").parquet(f"{root}/admission/admitted")
+    jobs.fetch_stream(admitted, lambda s: ad.doc_pages(s, d), f"{root}/fetch", f"{root}/fetch/checkpoint").awaitTermination()
+    fetched = records.stream_pages(session, f"{root}/fetch/pages", max_files=8)
+    jobs.routing_stream(fetched, f"{root}/route", f"{root}/route/checkpoint",
+                        lambda df: df.withColumn("p_not", (F.length("title") % 100) / 100.0), 0.8).awaitTermination()
+    routed = session.readStream.schema(fetched.schema).parquet(f"{root}/route/index")
+    _index(session, routed, PageStore(session, f"{root}/store"), "checkpoint")
+    return PageStore(spark, f"{root}/store").pages().select(
+        "id", "url", "url_hash", "title", "domain", "content_hash", F.col("word_count").cast("bigint").alias("word_count"), "created_at")
+
+
 @query
 def stream_classify(spark, d):
     """The documents as a stream, scored by the trained model, which is saved first, and routed."""

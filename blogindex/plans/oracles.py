@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from blogindex.functions.stemming import stem_steps
 from blogindex.functions.stopwords import ENGLISH_STOP_WORDS
 
 W = r"[\p{L}\p{N}_]+"
@@ -475,6 +476,11 @@ ORACLES["stream_admission"] = f"WITH {_PASSES} SELECT seq, location, retries FRO
 ORACLES["sql_normalize_link"] = ORACLES["normalize_link"]
 ORACLES["stream_index"] = ORACLES["apply_upsert"]
 
+ORACLES["working_seeds"] = f"SELECT working AS location FROM ({ORACLES['resolve_seeds']}) WHERE working IS NOT NULL"
+# Admitted by retries and the list, indexed by the score, accepted by the validation.
+ORACLES["stream_chain"] = f"""WITH {IDX} SELECT id, url, sha256(url) AS url_hash, title, domain, content_hash, word_count, created_at
+    FROM idx WHERE doc_id % 6 <= 3 AND domain NOT IN ('src3.example.com', 'src5.example.com') AND length(title) % 100 <= 50"""
+
 # Search over the visits' final table: the same SQL with that table for the documents.
 _VISITED = f"""{VISITS}, idx AS (
   SELECT h.url, h.title, h.body AS content, [d.lang, d.source] AS keywords, h.created_at
@@ -495,3 +501,35 @@ _BOTH = f"""{_VISITED.replace("idx AS", "visited AS")}, idx AS (
   SELECT * FROM visited UNION ALL
   SELECT location, title, body, [lang, source], created_at FROM docs WHERE {accepted()} AND location NOT IN (SELECT url FROM visited))"""
 ORACLES["stream_replay"] = ORACLES["stream_search"].replace(_VISITED, _BOTH)
+
+
+def stems(source: str) -> str:
+    """stems (word, stem) of the words in source."""
+    steps = stem_steps("word", "duckdb")
+    out = f"SELECT DISTINCT word FROM ({source})"
+    for name, rule in steps:
+        out = f"SELECT *, {rule} AS {name} FROM ({out})"
+    return f"stems AS (SELECT word, stem FROM ({out}))"
+
+
+ORACLES["stem"] = f"""WITH {stems(f"SELECT unnest(regexp_extract_all(lower(text), '{W}')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)")}
+    SELECT word, stem FROM stems"""
+
+# English: stop words keep their numbers, the rest is stemmed; a field goes on behind the last kept word.
+_STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+_ENGLISH = rf"""{IDX}, {QRY}, lists AS (
+  SELECT url, 1 AS f, 'A' AS w, regexp_extract_all(lower(title), '{W}') AS l FROM idx
+  UNION ALL SELECT url, 2, 'C', regexp_extract_all(lower(content), '{W}') FROM idx
+  UNION ALL SELECT url, 3, 'D', regexp_extract_all(lower(array_to_string(keywords, ' ')), '{W}') FROM idx),
+kept AS (SELECT * FROM (SELECT url, f, w, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM lists) WHERE word NOT IN ({_STOP})),
+qwords AS (SELECT DISTINCT query_id, unnest(string_split(q, ' ')) AS word FROM qs),
+{stems("SELECT word FROM kept UNION ALL SELECT word FROM qwords")},
+ends_ AS (SELECT url, coalesce(max(pos) FILTER (f = 1), 0) AS e1, coalesce(max(pos) FILTER (f = 2), 0) AS e2 FROM kept GROUP BY url),
+vec AS (SELECT url, stem AS lexeme, pos + CASE f WHEN 1 THEN 0 WHEN 2 THEN e1 ELSE e1 + e2 END AS pos, w AS weight
+  FROM kept JOIN ends_ USING (url) JOIN stems USING (word)),
+post AS (SELECT url, lexeme, pos, min(weight) AS weight FROM vec GROUP BY ALL),
+terms AS (SELECT query_id, lexeme, count(*) OVER (PARTITION BY query_id) AS n FROM (
+  SELECT DISTINCT query_id, stem AS lexeme FROM qwords JOIN stems USING (word) WHERE word <> '' AND word NOT IN ({_STOP}))),
+hits AS (SELECT t.query_id, p.url, t.n FROM terms t JOIN (SELECT DISTINCT url, lexeme FROM post) p USING (lexeme)
+  GROUP BY ALL HAVING count(*) = t.n)"""
+ORACLES["search_english"] = f"WITH {results(1, 10).replace(HITS, _ENGLISH)} {RESULT_SELECT}"

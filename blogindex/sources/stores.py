@@ -22,23 +22,38 @@ def write_pages_json(df: DataFrame, path: str, created_at_unit: str = "s") -> No
     page_json(df, created_at_unit).write.mode("append").text(path)
 
 
-def store_pages(df: DataFrame, root: str, files_per_host: int = 8) -> None:
-    """Append pages under host=<hostname>, each with an id.
+# Folders of a lookup that go into the scan as a filter; more are left to the join.
+_FOLDERS = 10_000
 
-    Rows spread over a fixed number of slots per host, so a host that holds much of
-    the crawl is still written by several tasks, and no host gets more files than that.
+
+def store_pages(df: DataFrame, root: str, rows_per_file: int = 10_000) -> None:
+    """Append pages under host=<hostname>/slot=<n>, each with an id, and (id, host, slot) to a directory.
+
+    A host has as many slots as its pages of this call need, so one that holds much of the
+    crawl is written by many tasks, and a small one has one file.
     """
-    slot = F.pmod(F.xxhash64("location"), F.lit(files_per_host))
-    (df.withColumn("host", urls.hostname(F.col("location")))
-     .withColumn("id", uuid_from_hash(F.sha2("location", 256)))
-     .repartition("host", slot)
-     .write.mode("append").option("ignoreNullFields", "false").partitionBy("host").json(root))
+    named = df.withColumn("host", urls.hostname(F.col("location"))) \
+        .withColumn("id", uuid_from_hash(F.sha2("location", 256)))
+    slots = named.groupBy("host").agg(F.ceil(F.count("*") / rows_per_file).alias("_slots"))
+    # A null host has a folder as well, but matches nothing in a plain join.
+    placed = named.join(slots.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))) \
+        .withColumn("slot", F.pmod(F.xxhash64("location"), "_slots").cast("int")).drop("_slots", "_host")
+    placed.repartition("host", "slot") \
+        .write.mode("append").option("ignoreNullFields", "false").partitionBy("host", "slot").json(root)
+    placed.select("id", "host", "slot").distinct().write.mode("append").parquet(f"{root}/_directory")
 
 
 def lookup_pages(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
-    """Stored pages by id."""
-    schema = f"id STRING, host STRING, {schemas.PAGE}"
-    return spark.read.schema(schema).json(root).join(ids.select("id").distinct(), "id", "left_semi")
+    """Stored pages by id; opens only the folders that the directory names for them."""
+    wanted = ids.select("id").distinct()
+    stored = spark.read.schema(f"id STRING, host STRING, slot INT, {schemas.PAGE}").json(root)
+    folder = F.concat_ws("/", F.coalesce("host", F.lit("")), F.col("slot").cast("string"))
+    directory = spark.read.schema("id STRING, host STRING, slot INT").parquet(f"{root}/_directory")
+    folders = [r["folder"] for r in directory.join(wanted, "id", "left_semi").select(folder.alias("folder"))
+               .distinct().limit(_FOLDERS + 1).collect()]
+    if len(folders) <= _FOLDERS:
+        stored = stored.filter(folder.isin(folders))
+    return stored.drop("slot").join(wanted, "id", "left_semi")
 
 
 def append_stage(df: DataFrame, path: str) -> None:

@@ -105,6 +105,20 @@ def drain(start: Callable[[], StreamingQuery], limit: int = DEFAULTS.max_retries
     raise RuntimeError(f"the queue is not empty after {limit} runs")
 
 
+def fetch_stream(admitted: DataFrame, pages: Lookup, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append the fetched pages of admitted locations to the next stage, as JSON that stream_pages reads.
+
+    pages gives the page snapshot, read anew for every micro-batch; a location without a page
+    is dropped. seq is the admitted item's.
+    """
+    def work(batch: DataFrame, batch_id: int) -> None:
+        fetched = pages(batch.sparkSession).drop("seq").join(batch.select("location", "seq"), "location")
+        fetched.select(*schemas.PAGE_COLUMNS, F.col("seq").cast("bigint")).write.mode("overwrite") \
+            .option("ignoreNullFields", "false").json(_folder(out, "pages", batch_id))
+
+    return _start(admitted, out, checkpoint, once, work)
+
+
 def model_scorer(path: str, stop_words: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
     """Adds p_not and p_dev of a saved model to pages; pages without tokens are dropped.
 

@@ -249,6 +249,18 @@ def test_stems():
     assert {w: stem(w) for w in pairs} == pairs
 
 
+def test_stems_by_expressions(spark):
+    """The rules as column expressions give what the function gives, on words that meet every rule."""
+    from blogindex.functions import stemming
+    heads = ["", "a", "by", "hop", "hopp", "gener", "commun", "arsen", "sky", "tri", "bead", "relat", "vil", "ey", "yy", "sayY", "über", "conspic", "succ"]
+    ends = ["", "s", "es", "ies", "ied", "sses", "us", "ss", "y", "ly", "e", "ll", "eed", "eedly", "ed", "edly", "ing", "ingly", *stemming._STEP2, *stemming._STEP3,
+            *stemming._STEP4, "logi", "sion", "tion", "atted", "bling", "izing"]
+    words = sorted({(h + e).lower() for h in heads for e in ends} | set(stemming._WHOLE) | set(stemming._AFTER_1A) - {""})
+    rows = spark.createDataFrame([(w,) for w in words if w], "word STRING")
+    got = {r["word"]: r["stem"] for r in stemming.stem_vocabulary(rows).collect()}
+    assert got == {w: stem(w) for w in words if w}
+
+
 def test_json_records(spark):
     rows = ['{"location":"u","retries":2}', '{"location":"u"', '{"retries":null}']
     df = spark.createDataFrame([(r,) for r in rows], "value STRING")

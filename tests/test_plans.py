@@ -5,9 +5,10 @@ import io
 
 from pyspark.sql import functions as F
 
-from blogindex.operators import index, search
+from blogindex.operators import features, frontier, index, search
 from blogindex.plans import adapters as ad
 from blogindex.plans import catalog
+from blogindex.sources import stores
 from tests.conftest import DATA
 
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups")
@@ -15,7 +16,7 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGro
 WITH_PYTHON = {n for n in catalog.QUERIES if n.startswith("extract_")} | {"assemble_page", "search_english"}
 # Queries that run streams, files or model fits while they are built.
 SKIP = {"train_classifier", "classify_pages", "crawl_waves", "store_lookup", "read_corpus", "read_seeds",
-        "stream_admission", "stream_admission_report", "stream_route", "stream_classify", "stream_index", "stream_search", "stream_counts", "stream_daily_stats",
+        "stream_admission", "stream_admission_report", "stream_route", "stream_classify", "stream_chain", "stream_index", "stream_search", "stream_counts", "stream_daily_stats",
         "stream_replay"}
 
 
@@ -70,6 +71,45 @@ def test_no_positions_before_all_words_are_found(spark, tmp_path):
     assert text.count("ReadSchema: struct<lexeme:string,id:string,positions") == 1
 
 
+def test_a_wave_does_not_move_the_visited_set(spark):
+    visited = frontier.VisitedTable(spark, 4)
+    rows = spark.createDataFrame([(f"http://a.org/{i}", i) for i in range(50)], "location STRING, seq BIGINT")
+    visited.append(rows, 0)
+    visited.append(rows.selectExpr("concat(location, 'x') AS location", "seq"), 1)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = visited.unseen(rows.unionByName(spark.createDataFrame([("http://b.org/", 1)], rows.schema)))
+        text = plan(left)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    # One exchange, that of the wave.
+    assert text[:text.index("(1) ")].count("Exchange") == 1 and "Bucketed: true" in text
+    assert [r.location for r in left.collect()] == ["http://b.org/"]
+    assert visited.close().count() == 100
+
+
+def test_lookup_opens_only_the_folders_of_its_pages(spark, tmp_path):
+    root = str(tmp_path / "store")
+    pages = ad.doc_pages(spark, DATA).drop("doc_id", "seq")
+    stores.store_pages(pages, root, rows_per_file=3)
+    one = pages.limit(1).select(stores.uuid_from_hash(F.sha2("location", 256)).alias("id"))
+    found = stores.lookup_pages(spark, root, one)
+    assert "PartitionFilters: [concat_ws(/" in plan(found)
+    assert found.count() == 1
+    host = found.first()["host"]
+    # A host has as many files as its rows need.
+    rows = pages.filter(F.col("location").contains(f"//{host}/")).count()
+    stored = spark.read.schema("id STRING, host STRING, slot INT").json(root).filter(F.col("host") == host)
+    assert 1 < stored.select(F.input_file_name()).distinct().count() <= -(-rows // 3)
+
+
+def test_stop_words_are_filtered_once(spark):
+    kept = features.with_ngrams(spark.createDataFrame([(1, ["a", "b"])], "doc_id INT, tokens ARRAY<STRING>"), ["a"])
+    text = plan(kept)
+    assert text.count("filter(tokens") == 2  # the operator and its details
+
+
 def test_each_page_is_walked_once(spark):
     for name in ("extract_links", "extract_headings", "extract_content", "extract_script_text", "assemble_page"):
         text = plan(catalog.QUERIES[name](spark, DATA))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blogindex.functions import text as tx
 from blogindex.functions import urls
-from blogindex.operators import ingest, search, stats
+from blogindex.operators import features, ingest, search, stats
 
 
 def test_upsert_equals_sequential(spark):
@@ -128,3 +128,36 @@ def test_host_suffixes(spark):
     for row in df.collect():
         labels = row["h"].split(".")
         assert row["s"] == [row["h"]] + [".".join(labels[i:]) for i in range(1, len(labels) - 1)]
+
+
+def test_mined_vocabulary_is_that_of_all_terms(spark, monkeypatch):
+    """Level by level gives the same terms and counts as counting every n-gram, with far fewer rows."""
+    rng = random.Random(5)
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}xy" for i in range(150)]
+    rows = [(i, rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=rng.randrange(0, 60))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "k INT, tokens ARRAY<STRING>").cache()
+    counted = []
+    real = features._counted
+    monkeypatch.setattr(features, "_counted", lambda d, k, g: (counted.append(d.select(F.sum(F.size(g))).first()[0]), real(d, k, g))[1])
+    n = features.document_count(docs)
+    every = features.term_counts(docs, "k", stop_words=words[:2])
+    for low, size, min_df, max_df in ((1, 40, 2, 0.9), (1, 40, 2, 0.2), (2, 30, 3, 0.9), (1, 100_000, 2, 0.9), (1, 5, 1, 0.5)):
+        counts = every.filter(F.size(F.split("term", " ")) >= low)
+        want = features.select_vocabulary(counts, n, min_df, max_df, size)
+        got = features.mine_vocabulary(docs, "k", n, low, 3, words[:2], min_df, max_df, size)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+        if size == 40:
+            assert sum(counted) < 0.5 * every.agg(F.sum("tf")).first()[0]
+        counted.clear()
+    monkeypatch.setattr(features, "_LISTED", 3)  # too many terms to list: nothing is pruned, the result is the same
+    got = features.mine_vocabulary(docs, "k", n, size=40)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in features.select_vocabulary(
+        features.term_counts(docs, "k"), n, size=40).collect()]
+
+
+def test_ngrams_of_a_long_text(spark):
+    """Linear in the words: 20,000 of them with a stop-word filter take seconds."""
+    rows = spark.createDataFrame([(1, [f"word{i % 977}" for i in range(20_000)])], "k INT, tokens ARRAY<STRING>")
+    terms = features.with_ngrams(rows, ["word1", "word5"]).select(F.size("terms")).first()[0]
+    kept = 20_000 - sum(i % 977 in (1, 5) for i in range(20_000))
+    assert terms == 3 * kept - 3
