@@ -17,10 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from blogindex.llm.common import as_bytes, fold, rows_of, stored, text_rows, words
+from blogindex.llm.common import as_bytes, drop_stored, fold, rows_of, stored, text_rows, words
+from blogindex.session import exists, new_work_dir
 
 STATES, CLASSES, ROUNDS = 8, 1 << 14, 5
 # Tokens of the corpus shares that each state is given beside its own counts.
@@ -34,11 +36,11 @@ WINDOW = 512
 CHUNK_BYTES, CHUNK_WORDS = 8_000_000, 50_000
 # Expected counts are summed as whole numbers of this fraction, so that any order of adding gives the same model.
 _UNIT = 1 << 16
-_CHUNK = pa.schema([("chunk", pa.string()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
-                    ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
-                    ("tokens", pa.binary())])
-_CHUNK_DDL = ("chunk string, words array<binary>, times array<bigint>, ids array<bigint>, held array<boolean>, "
-              "lengths array<int>, tokens binary")
+_CHUNK = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
+                    ("classes", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+                    ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary())])
+_CHUNK_DDL = ("kind string, chunk bigint, words array<binary>, times array<bigint>, classes binary, ids array<bigint>, "
+              "held array<boolean>, lengths array<int>, tokens binary")
 
 
 def word_class(word: bytes) -> int:
@@ -49,12 +51,25 @@ def _class_column(word: Column) -> Column:
     return F.when(word == F.lit(END), CLASSES).otherwise(F.crc32(word) % CLASSES).cast("int")
 
 
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, words) of the chunks, each written to a folder of its own in one pass."""
+    path = new_work_dir(df.sparkSession, "chunks")
+    df.write.partitionBy("kind").parquet(path)
+    schema = StructType([f for f in df.schema if f.name != "kind"])
+    return tuple(df.sparkSession.read.schema(schema).parquet(f"{path}/kind={kind}") if exists(df.sparkSession, f"{path}/kind={kind}")
+                 else df.sparkSession.createDataFrame([], schema) for kind in ("texts", "words"))
+
+
 def _number_type(n_words: int) -> type:
     return np.uint16 if n_words <= 1 << 16 else np.uint32
 
 
 def chunked(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
-    """Texts as runs of numbers into a dictionary, many texts to a row; each row has its training counts."""
+    """Texts as runs of numbers into a dictionary, many texts to a chunk, in two rows.
+
+    The row of kind 'texts' has the numbers, and the class of each word; that of kind 'words'
+    the words and how often the training texts of the chunk hold them.
+    """
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         known: dict[bytes, int] = {END: 0}
@@ -63,10 +78,12 @@ def chunked(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
         def close():
             at = np.frombuffer(tokens, np.uint32)
             train = np.repeat(~np.array(held, bool), lengths)
+            name = (part << 32) + number
+            classes = np.array([word_class(w) for w in known], np.uint16).tobytes()
             return rows_of({
-                "chunk": [f"{part}-{number}"], "words": [list(known)], "ids": [ids], "held": [held], "lengths": [lengths],
-                "times": [np.bincount(at[train], minlength=len(known))],
-                "tokens": [at.astype(_number_type(len(known))).tobytes()]}, _CHUNK)
+                "kind": ["texts", "words"], "chunk": [name, name], "words": [None, list(known)], "classes": [classes, None],
+                "times": [None, np.bincount(at[train], minlength=len(known))], "ids": [ids, None], "held": [held, None],
+                "lengths": [lengths, None], "tokens": [at.astype(_number_type(len(known))).tobytes(), None]}, _CHUNK)
 
         for names, texts, out in text_rows(batches):
             for name, text, is_held in zip(names, texts, out):
@@ -183,16 +200,16 @@ def train_model(chunks: DataFrame, shares: np.ndarray, states: int = STATES, rou
     towards the corpus shares, so every class keeps some probability in every state.
     """
     model = first_model(shares, states)
-    data = chunks.select("words", "held", "lengths", "tokens")
+    data = chunks.select("classes", "held", "lengths", "tokens")
     for _ in range(rounds):
         shared = chunks.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             total = [np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape)]
-            for names, held, lengths, raw in text_rows(batches, 1):
+            for classes, held, lengths, raw in text_rows(batches, 1):
                 sizes, out = np.array(lengths[0], np.int64), np.array(held[0], bool)
-                own = np.array([word_class(w) for w in names[0]], np.int64)
+                own = np.frombuffer(classes[0], np.uint16).astype(np.int64)
                 tokens = np.frombuffer(raw[0], _number_type(len(own)))[np.repeat(~out, sizes)]
                 for part, more in zip(total, expected_counts(m, own[tokens], _windows(sizes[~out]))):
                     part += more
@@ -224,28 +241,32 @@ def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states:
     training texts all words are unknown. Each text is read once and becomes numbers into
     the dictionary of its chunk; only the distinct words of each chunk meet the counts.
     """
-    chunks = stored(chunked(docs, folds, held_fold), "chunks")
-    counts = stored(chunks.select(F.inline(F.arrays_zip("words", "times"))).filter("times > 0")
-                    .groupBy(F.col("words").alias("word")).agg(F.sum("times").alias("c")), "counts")
-    classes = counts.groupBy(_class_column(F.col("word")).alias("class")).agg(
+    chunks, vocabulary = _split(chunked(docs, folds, held_fold))
+    # Each word of a chunk moves once to the other chunks' counts of it, and its sum back.
+    words_ = vocabulary.select("chunk", F.posexplode(F.arrays_zip("words", "times")).alias("at", "_w")) \
+        .select("chunk", "at", F.col("_w.words").alias("word"), F.col("_w.times").alias("n"))
+    same = Window.partitionBy("word")
+    # The first row of a word tells its class that it is there, if the training texts hold it.
+    summed = words_.withColumns({"c": F.sum("n").over(same), "_first": F.row_number().over(same.orderBy("chunk"))}).select(
+        "chunk", "at", "c", F.when((F.col("_first") == 1) & (F.col("c") > 0), _class_column(F.col("word"))).alias("kind"))
+    placed = stored(summed, "placed")
+    drop_stored(vocabulary)
+    classes = placed.filter("kind IS NOT NULL").groupBy("kind").agg(
         F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()  # at most one row per class
     total, kinds = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
-    total[classes["class"].to_numpy()] = classes["c"].to_numpy()
-    kinds[classes["class"].to_numpy()] = classes["v"].to_numpy()
+    total[classes["kind"].to_numpy(dtype=np.int64)] = classes["c"].to_numpy()
+    kinds[classes["kind"].to_numpy(dtype=np.int64)] = classes["v"].to_numpy()
     n, v = int(total.sum()), int(kinds.sum())
     model = train_model(chunks, (total + 0.5) / (n + 0.5 * len(total)), states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((model, total + 0.5 * (kinds + 1)))
 
-    pairs = chunks.select("chunk", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
-    entry = F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), _class_column(F.col("word")).alias("k"))
-    found = pairs.groupBy("chunk").agg(F.sort_array(F.collect_list(entry)).alias("_c"))
-    joined = chunks.drop("words", "times").join(found.select(
-        "chunk", F.transform("_c", lambda x: x["c"]).alias("c"), F.transform("_c", lambda x: x["k"]).alias("k")), "chunk")
+    found = placed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("_c"))
+    joined = chunks.join(found.select("chunk", F.transform("_c", lambda x: x["c"]).alias("c")), "chunk")
 
     def run(batches):
         m, mass = shared.value
         for ids, held, lengths, raw, c, k in text_rows(batches, 1):
-            sizes, c, own = np.array(lengths[0], np.int64), np.array(c[0], np.float64), np.array(k[0], np.int64)
+            sizes, c, own = np.array(lengths[0], np.int64), np.array(c[0], np.float64), np.frombuffer(k[0], np.uint16).astype(np.int64)
             tokens = np.frombuffer(raw[0], _number_type(len(own)))
             starts = np.cumsum(sizes) - sizes
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
@@ -256,6 +277,6 @@ def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states:
                 "base_score": np.add.reduceat(base[tokens], starts),
                 "score": np.add.reduceat(inside[tokens], starts) + log_likelihood(m, own[tokens], sizes)}, _SCORE)
 
-    return joined.select("ids", "held", "lengths", "tokens", "c", "k").mapInArrow(
+    return joined.select("ids", "held", "lengths", "tokens", "c", "classes").mapInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
              "base_score double, score double")

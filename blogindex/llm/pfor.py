@@ -55,14 +55,12 @@ def encode_ids(ids: np.ndarray, share: float = 0.95) -> tuple[np.ndarray, bytes]
     over = need > width[:, None]
     over.reshape(-1)[n:] = False
     payload: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
         for some in np.array_split(at, -(-len(at) // 512)):
-            low = rest[some]
-            bits = ((low[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
-            for i, row in zip(some.tolist(), packed):
-                payload[i] = row.tobytes()
+            raw, size = _pack(rest[some], w).tobytes(), BLOCK * w // 8
+            for k, i in enumerate(some.tolist()):
+                payload[i] = raw[k * size:(k + 1) * size]
     rows, cols = np.nonzero(over)
     high = (rest[rows, cols] >> width[rows].astype(np.uint32)).astype("<u4")
     bounds = np.searchsorted(rows, np.arange(blocks + 1))
@@ -77,21 +75,52 @@ def encode_ids(ids: np.ndarray, share: float = 0.95) -> tuple[np.ndarray, bytes]
     return starts, b"".join(out)
 
 
-def decode_block(data: bytes, at: int) -> np.ndarray:
-    """The 512 ids of the block that starts at a byte; those behind the last one are filler."""
-    least, width, count = _BLOCK_HEAD.unpack_from(data, at)
-    at += _BLOCK_HEAD.size
-    size = BLOCK * width // 8
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little").reshape(BLOCK, width)
-        values = bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
-    else:
-        values = np.zeros(BLOCK, np.int64)
-    if count:
-        at += size
-        cols = np.frombuffer(data, "<u2", count, at)
-        values[cols] += np.frombuffer(data, "<u4", count, at + 2 * count).astype(np.int64) << width
-    return values + least
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of rows of numbers, least bit first; 64 numbers take width words of 64 bits."""
+    groups = values.reshape(-1, 64).T.astype(np.uint64) & np.uint64((1 << width) - 1)
+    out = np.zeros((width, groups.shape[1]), np.uint64)
+    for i in range(64 if width else 0):
+        word, shift = divmod(i * width, 64)
+        out[word] |= groups[i] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= groups[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8", copy=False)
+
+
+def _unpack(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK numbers from their packed words."""
+    groups = np.ascontiguousarray(words.reshape(-1, width).T)
+    out = np.empty((64, groups.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        out[i] = groups[word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[i] |= groups[word + 1] << np.uint64(64 - shift)
+    out &= np.uint64((1 << width) - 1)
+    return out.T.reshape(-1, BLOCK)
+
+
+def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """The ids of the blocks that start at the given bytes, a row of 512 each; those behind the last one are filler."""
+    raw = np.frombuffer(data, np.uint8)
+    heads = raw[starts[:, None] + np.arange(_BLOCK_HEAD.size)]
+    least = np.ascontiguousarray(heads[:, :4]).view("<u4")[:, 0].astype(np.uint64)
+    width, count = heads[:, 4].astype(np.int64), np.ascontiguousarray(heads[:, 5:7]).view("<u2")[:, 0].astype(np.int64)
+    body = starts + _BLOCK_HEAD.size
+    values = np.zeros((len(starts), BLOCK), np.uint64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        for some in np.array_split(at, -(-len(at) // 512)) if w else ():
+            packed = raw[body[some][:, None] + np.arange(BLOCK * w // 8)]
+            values[some] = _unpack(packed.view("<u8"), w)
+    # Exceptions: behind the low bits, all positions of a block, then all its high bits.
+    row = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    place = (body + BLOCK * width // 8)[row]
+    cols = np.ascontiguousarray(raw[(place + 2 * nth)[:, None] + np.arange(2)]).view("<u2")[:, 0]
+    high = np.ascontiguousarray(raw[(place + 2 * count[row] + 4 * nth)[:, None] + np.arange(4)]).view("<u4")[:, 0]
+    values[row, cols] += high.astype(np.uint64) << width[row].astype(np.uint64)
+    return values + least[:, None]
 
 
 def write_segment(doc_ids: list[int | None], raw: list[bytes]) -> bytes:
@@ -114,9 +143,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.frombuffer(data, "<u4", docs, at + 8 * docs)
     starts = np.frombuffer(data, "<u4", blocks, at + 12 * docs)
     base = at + 12 * docs + 4 * blocks
-    ids = np.empty(blocks * BLOCK, np.int64)
-    for i, start in enumerate(starts.tolist()):
-        ids[i * BLOCK:(i + 1) * BLOCK] = decode_block(data, base + start)
+    ids = decode_blocks(data, base + starts.astype(np.int64)).reshape(-1) if blocks else np.zeros(0, np.uint64)
     return names, lengths, ids[:n].astype("<u4")
 
 

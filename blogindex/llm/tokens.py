@@ -13,8 +13,9 @@ import numpy as np
 
 from blogindex.llm.common import words
 
-# Words kept per worker; all are dropped when there are more, which costs time only.
-CACHED_WORDS = 600_000
+# Words of a generation kept per worker, and runs. Two generations are held; when the younger
+# is full, the older is dropped, so words in use stay.
+CACHED_WORDS, CACHED_RUNS = 400_000, 400_000
 _GROUP = 400
 # A run of precomposed Latin letters, then ASCII signs that start no contraction and no
 # special token: the tokenizer cuts between the two and lower-cases the first.
@@ -44,6 +45,7 @@ class WordEncoder:
             ((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda x: x[1])
         self.visible = _visible_bytes()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
 
     def _run(self, run: str) -> bytes:
@@ -78,11 +80,16 @@ class WordEncoder:
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text; the words that are new to the worker are learned together."""
         split = [words(t, lower=False) for t in texts]
-        known = self.known
-        if len(known) + len(self.runs) > CACHED_WORDS:
-            known.clear()
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        if len(self.runs) > CACHED_RUNS:
             self.runs = {"": b""}
+        known, older = self.known, self.older
         new = set().union(*split).difference(known)
+        if older:
+            again = new.intersection(older)
+            known.update((w, older[w]) for w in again)
+            new -= again
         if new:
             self._learn(list(new))
         return [b"".join([known[w] for w in parts]) for parts in split]
