@@ -26,8 +26,10 @@ from blogindex.llm.graph import components
 # Buckets of the frequency sketch; shared shingles that a candidate needs; rows of a tile
 # that one task compares with each other; uses of a shingle beyond which its rows are salted.
 BUCKETS, SHARED, TILE, HOT = 1 << 20, 4, 4096, 20_000
-# Bits for each shingle in the bitmaps that groups are compared by.
-WIDE = 8
+# Bits for each shingle in the bitmaps that groups are compared by; rows of a tile that is
+# worked on together with others; rows and shingles of a part of a group, by bitmaps and exactly.
+WIDE, SMALL = 8, 32
+PARTS = {False: (16_384, 16_000_000), True: (8192, 4_000_000)}
 # Ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _CACHED = 1_000_000
@@ -274,15 +276,15 @@ class _Forest:
 
 
 def _in_tiles(sorted_rows: Iterator[pa.RecordBatch], key: int, work) -> Iterator[pa.RecordBatch]:
-    """work on the columns of each run of rows with equal values in the first key columns."""
+    """work(starts, columns) on whole tiles: runs of rows with equal values in the first key columns.
+
+    starts are the places where tiles begin, and the end.
+    """
     kept: list[np.ndarray] | None = None
 
     def runs(columns):
         new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:key]], axis=0)]
-        starts = np.r_[np.flatnonzero(new), len(new)]
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if e - s > 1:
-                yield from work(*(c[s:e] for c in columns[key:]))
+        yield from work(np.r_[np.flatnonzero(new), len(new)], columns[key:])
 
     for batch in sorted_rows:
         if not batch.num_rows:
@@ -326,6 +328,33 @@ def _by_bitmaps(size, bits, i, j, percent):
     return may_link(size[used].astype(np.int64), [bits[u] for u in used], at[:len(i)], at[len(i):], percent)
 
 
+def _small_tiles(starts, size, low, major, first, component, bits, percent):
+    """(i, j) rows of the pairs that bitmaps cannot keep apart, of all tiles of at most SMALL rows together."""
+    count = np.diff(starts)
+    small = np.flatnonzero((count <= SMALL) & (count > 1))
+    tile = np.repeat(np.arange(len(count)), count)
+    rows = np.flatnonzero(np.isin(tile, small))
+    left, right = [], []
+    for d in range(1, int(count[small].max(initial=1))):
+        i = rows[rows + d < len(tile)]
+        j = i + d
+        fits = (tile[i] == tile[j]) & (component[i] != component[j]) & low[i] & (first[i] | major[i] | major[j])
+        fits &= 100 * size[i].astype(np.int64) >= percent * size[j].astype(np.int64)
+        left.append(i[fits])
+        right.append(j[fits])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    # The narrower bitmap of a pair decides how wide both are: pairs of one width go together.
+    held = np.zeros(len(tile), np.int64)
+    used = np.unique(np.concatenate([i, j]))
+    held[used] = [len(bits[u]) for u in used]
+    width = np.minimum(held[i], held[j])
+    may = np.zeros(len(i), bool)
+    for w in np.unique(width):
+        some = np.flatnonzero(width == w)
+        may[some] = _by_bitmaps(size, bits, i[some], j[some], percent)
+    return tile, i[may], j[may]
+
+
 def _maybe(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b): components that the bitmaps of a tile cannot keep apart, as a forest.
 
@@ -335,11 +364,9 @@ def _maybe(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def work(size, id_, low, major, first, component, bits):
-        if (component == component[0]).all():
-            return
+    def large(size, low, major, first, component, bits):
         names, number = np.unique(component, return_inverse=True)
-        forest, out = _Forest(len(names)), []
+        forest = _Forest(len(names))
 
         def fits(a, b):
             ok = np.broadcast_to(low[a][:, None], (a.stop - a.start, b.stop - b.start))
@@ -348,7 +375,21 @@ def _maybe(sorted_rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         for i, j in _bands(size, lambda: forest.joined()[number], fits, percent):
             may = _by_bitmaps(size, bits, i, j, percent)
             a, b = number[i[may]], number[j[may]]
-            out += [(names[a[k]], names[b[k]]) for k in forest.join(a, b)]
+            for k in forest.join(a, b):
+                yield names[a[k]], names[b[k]]
+
+    def work(starts, columns):
+        size, _, low, major, first, component, bits = columns
+        tile, i, j = _small_tiles(starts, size, low, major, first, component, bits, percent)
+        # One forest for all: a component is another thing in every tile.
+        things = np.stack([np.concatenate([tile[i], tile[j]]), np.concatenate([component[i], component[j]])], axis=1)
+        number = np.unique(things, axis=0, return_inverse=True)[1].reshape(-1) if len(i) else np.zeros(0, np.int64)
+        kept = _Forest(int(number.max(initial=-1)) + 1).join(number[:len(i)], number[len(i):]) if len(i) else []
+        out = [(component[i[k]], component[j[k]]) for k in kept]
+        for t in np.flatnonzero(np.diff(starts) > SMALL).tolist():
+            s, e = starts[t], starts[t + 1]
+            if (component[s:e] != component[s]).any():
+                out.extend(large(*(c[s:e] for c in (size, low, major, first, component, bits))))
         if out:
             yield rows_of({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
 
@@ -383,7 +424,7 @@ def _decided(sorted_rows: Iterator[pa.RecordBatch], percent: int, exact: bool) -
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def work(part, size, id_, component, bits, hashes=None):
+    def tile(part, size, id_, component, bits, hashes=None):
         names, number = np.unique(component, return_inverse=True)
         if len(names) == 1:
             return
@@ -412,6 +453,10 @@ def _decided(sorted_rows: Iterator[pa.RecordBatch], percent: int, exact: bool) -
         if out:
             yield rows_of({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema)
 
+    def work(starts, columns):
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield from tile(*(c[s:e] for c in columns))
+
     yield from _in_tiles(sorted_rows, 2, work)
 
 
@@ -524,7 +569,9 @@ def _within_groups(maybe: DataFrame, parted: DataFrame, docs: DataFrame, like: L
     members = stored(parted.join(groups, "component").select("group", "id", "size", "component"), "members")
     ids = stored(members.select("id").distinct(), "ids")
     sets = _once(set_hashes(ids, docs, like).select("id", "bits", *(["hashes"] if exact else [])))
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("_parts"))
+    rows_, shingles = PARTS[exact]
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(
+        F.count("*") / rows_, F.sum(F.col("size").cast("bigint")) / shingles)).cast("int").alias("_parts"))
     rows = members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int")) \
         .withColumn("cell", F.explode(_cells(F.col("_parts"), F.col("part")))).drop("_parts") \
         .join(sets, "id").select("group", "cell", "part", "size", "id", "component", *sets.columns[1:])

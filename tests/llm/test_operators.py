@@ -298,13 +298,14 @@ def test_components_of_random_copies(spark, n, percent):
                 text[rng.randrange(len(text))] = rng.choice(words)
             rows.append((len(rows), " ".join(text)))
     rng.shuffle(rows)
-    old = jaccard.TILE, jaccard.HOT
-    jaccard.TILE, jaccard.HOT = 6, 3  # small tiles: large ones are cut into parts, frequent shingles salted
+    old = jaccard.TILE, jaccard.HOT, jaccard.SMALL, jaccard.PARTS
+    # Small tiles: large ones are cut into parts, frequent shingles salted, groups dealt out.
+    jaccard.TILE, jaccard.HOT, jaccard.SMALL, jaccard.PARTS = 6, 3, 4, {False: (7, 10_000), True: (3, 200)}
     try:
         table = spark.createDataFrame(rows, "doc_id bigint, text string")
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table, n, percent).collect()}
     finally:
-        jaccard.TILE, jaccard.HOT = old
+        jaccard.TILE, jaccard.HOT, jaccard.SMALL, jaccard.PARTS = old
     assert got == _naive_components(rows, n, percent)
 
 
