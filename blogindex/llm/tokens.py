@@ -13,9 +13,9 @@ import numpy as np
 
 from blogindex.llm.common import words
 
-# Words of a generation kept per worker, and runs. Two generations are held; when the younger
+# Words and runs of a generation kept per worker. Two generations are held; when the younger
 # is full, the older is dropped, so words in use stay.
-CACHED_WORDS, CACHED_RUNS = 400_000, 400_000
+CACHED_WORDS, CACHED_RUNS = 220_000, 80_000
 _GROUP = 400
 # A run of precomposed Latin letters, then ASCII signs that start no contraction and no
 # special token: the tokenizer cuts between the two and lower-cases the first.
@@ -47,9 +47,12 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
+        self.older_runs: dict[str, bytes] = {}
 
     def _run(self, run: str) -> bytes:
         found = self.runs.get(run)
+        if found is None and run in self.older_runs:
+            found = self.runs[run] = self.older_runs[run]
         if found is None:
             shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.visible)
             found = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
@@ -83,16 +86,27 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
         if len(self.runs) > CACHED_RUNS:
-            self.runs = {"": b""}
+            self.runs, self.older_runs = {"": b""}, self.runs
         known, older = self.known, self.older
-        new = set().union(*split).difference(known)
-        if older:
+        found = [list(map(known.get, parts)) for parts in split]
+        out: list[bytes] = []
+        open_, new = [], set()
+        for i, ids in enumerate(found):
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word is not known
+                out.append(b"")
+                open_.append(i)
+                new.update([w for w, x in zip(split[i], ids) if x is None])
+        if open_:
             again = new.intersection(older)
             known.update((w, older[w]) for w in again)
             new -= again
-        if new:
-            self._learn(list(new))
-        return [b"".join([known[w] for w in parts]) for parts in split]
+            if new:
+                self._learn(list(new))
+            for i in open_:
+                out[i] = b"".join([known[w] if x is None else x for w, x in zip(split[i], found[i])])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
