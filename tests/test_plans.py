@@ -32,8 +32,8 @@ def test_no_python_and_no_cross_product(spark, monkeypatch):
     # The index as part of the plan, not read back from files; the vocabulary without counting it.
     monkeypatch.setattr(catalog, "_postings", lambda s, d, config="simple": index.build_postings(ad.indexed_docs(s, d), config=config))
     monkeypatch.setattr(catalog, "_stored_tokens", catalog._doc_tokens)
-    monkeypatch.setattr(catalog, "_vocabulary", lambda docs: features.select_vocabulary(
-        features.term_counts(docs, "doc_id"), features.document_count(docs), size=20))
+    terms = spark.createDataFrame([("that", 9, 12), ("with that", 3, 4)], "term STRING, df BIGINT, total BIGINT")
+    monkeypatch.setattr(catalog, "_vocabulary", lambda docs: terms)
     for name, fn in catalog.QUERIES.items():
         if name in SKIP:
             continue
