@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from blogindex import schemas
 from blogindex.functions import text as tx
 from blogindex.operators import index, ingest, search, stats
-from blogindex.plans.sizing import spread
+from blogindex.plans.sizing import spread_text
 from blogindex.session import exists
 
 _VERSION = ["batch_id", "seq"]
@@ -147,7 +147,7 @@ class PageStore:
             written = self.spark.read.schema(changed.schema).parquet(self._path("versions", batch_id)) \
                 .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             self._write_hashes(written, self._path("hashes", batch_id))
-            keyed = spread(written, "id").withColumn("id", _version_id())
+            keyed = spread_text(written, "content", "id").withColumn("id", _version_id())
             index.write_postings(index.build_postings(keyed, "id", self.config, self.stop_words),
                                  self._path("postings", batch_id))
             counts = stats.batch_counts(statuses).withColumns({
