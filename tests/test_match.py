@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from blogindex.operators import search
+from blogindex.plans import catalog
 from tests.test_plans import plan
 
 POSTINGS = "lexeme STRING, id STRING, positions ARRAY<STRUCT<pos: INT, w: STRING>>"
@@ -50,3 +51,43 @@ def test_pairs_of_query_and_page_are_not_shuffled(spark):
     postings, parsed, pages = _tables(spark, False)
     for found in (search.match(postings, parsed, "id", pages), search.match_pages(postings, parsed, "id", pages)):
         assert not re.search(r"hashpartitioning\(query_id#\d+L, id#|hashpartitioning\(lexeme#\d+, id#", plan(found))
+
+
+def test_addresses_reach_the_pairs_without_a_shuffle(spark):
+    """The outermost join of match and rank sends the queries to the pages; the addresses are there already."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        for name in ("match", "rank"):
+            assert re.search(r"\w+Join", plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")))[0] == "BroadcastHashJoin"
+    finally:
+        spark.conf.set(key, before)
+
+
+def _fold(occurrences):
+    """The covers of two lexemes, keeping the last place of each."""
+    costs, last, spent, start, total = {"A": 2, "B": 5, "C": 10, "D": 20}, {}, 0, 0, 0.0
+    for i, (pos, slot, w) in enumerate(sorted(occurrences, key=lambda o: (o[0], o[1], costs[o[2]]))):
+        last[slot] = (pos, i, spent)
+        spent += costs[w]
+        first = min(last.values())
+        if len(last) == 2 and first[0] > start:
+            k, start = i + 1 - first[1], first[0]
+            noise = pos - first[0] - (k - 1)
+            total += k / ((spent - first[2]) / 2) / (1 + ((k - 1) // 2 if noise < 0 else noise))
+    return total
+
+
+def test_two_lexemes_rank_as_any_number(spark):
+    """Also where positions are shared, as those pressed together are, and where they are large."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for case in range(300):
+        places = rng.choice([range(1, 12), range(1, 200), range(2_147_483_600, 2_147_483_647)])
+        hits = [(s, [(p, rng.choice("ABCD")) for p in sorted(rng.choices(places, k=rng.randrange(1, 12)))]) for s in (0, 1)]
+        want[case] = _fold([(p, s, w) for s, ps in hits for p, w in ps])
+        rows.append((case, "x", 2, hits))
+    df = spark.createDataFrame(rows, "query_id INT, id STRING, n INT, hits ARRAY<STRUCT<slot: INT, positions: ARRAY<STRUCT<pos: INT, w: STRING>>>>")
+    assert {r["query_id"]: r["rank"] for r in search.rank(df).collect()} == want
+    assert "array_sort" not in plan(search.rank(df))
