@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,3 +437,11 @@ def test_running_totals_over_many_runs(spark):
     for i in range(5000):
         total += i % 7
         assert got[i] == total
+
+
+def test_pages_are_walked_in_slices():
+    pages = [f"<title>{i}</title><a href='/{i}'>" for i in range(450)] + [None]
+    out = list(extract.raw_fields.func(iter([pa.array(pages), pa.array([], pa.string())])))
+    assert max(map(len, out)) <= 200 < sum(map(len, out)) == 451
+    rows = [r for part in out for r in part.to_pylist()]
+    assert [(r["title"], r["hrefs"]) for r in rows] == [*[(str(i), [f"/{i}"]) for i in range(450)], (None, [])]
