@@ -445,3 +445,22 @@ def test_pages_are_walked_in_slices():
     assert max(map(len, out)) <= 200 < sum(map(len, out)) == 451
     rows = [r for part in out for r in part.to_pylist()]
     assert [(r["title"], r["hrefs"]) for r in rows] == [*[(str(i), [f"/{i}"]) for i in range(450)], (None, [])]
+
+
+def test_only_pressed_positions_are_compared(spark):
+    """Without limits positions differ by themselves; with them those at the limit are kept once, the first 256 of a word."""
+    words = ["a", "b"] * 9_000 + ["c"] * 300
+    row = ("u", "a b", None, ["b"], " ".join(words), ["a", "z"])
+    df = spark.createDataFrame([row], "id STRING, title STRING, description STRING, headings ARRAY<STRING>, content STRING, keywords ARRAY<STRING>")
+
+    def rows(limits):
+        return {r["lexeme"]: [(p["pos"], p["w"]) for p in r["positions"]] for r in index.build_postings(df, position_limits=limits).collect()}
+
+    every, pressed, want = rows(False), rows(True), {}
+    for pos, (word, letter) in enumerate([("a", "A"), ("b", "A"), ("b", "B"), *[(w, "C") for w in words], ("a", "D"), ("z", "D")], 1):
+        want.setdefault(word, []).append((pos, letter))
+    assert every == want
+    assert pressed["c"] == [(16_383, "C")] and pressed["z"] == [(16_383, "D")]
+    assert all(pressed[w] == want[w][:256] for w in "ab")
+    plans = [index.build_postings(df, position_limits=limits)._jdf.queryExecution().optimizedPlan().toString() for limits in (False, True)]
+    assert plans[0].count("filter(") < plans[1].count("filter(")
