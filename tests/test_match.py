@@ -65,6 +65,16 @@ def test_addresses_reach_the_pairs_without_a_shuffle(spark):
         spark.conf.set(key, before)
 
 
+def test_positions_move_as_numbers(spark):
+    """To their page; there they are pairs of position and letter again, large ones and other letters too."""
+    postings, parsed, pages = _tables(spark, False)
+    assert "shiftleft" in plan(search.match(postings, parsed, "id", pages))
+    places = [(1, "A"), (7, "D"), (2_147_483_647, "B"), (2_147_483_646, "C"), (9, None)]
+    rows = spark.createDataFrame([(places,), ([],), (None,)], "p ARRAY<STRUCT<pos: INT, w: STRING>>")
+    got = rows.select("p", search._unpacked(search._packed(F.col("p"))).alias("q")).collect()
+    assert len(got) == 3 and all(r["p"] == r["q"] for r in got)
+
+
 def _fold(occurrences):
     """The covers of two lexemes, keeping the last place of each."""
     costs, last, spent, start, total = {"A": 2, "B": 5, "C": 10, "D": 20}, {}, 0, 0, 0.0
