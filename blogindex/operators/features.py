@@ -94,18 +94,23 @@ def _pruned_ngrams(tokens: Column, n: int, frequent: list[str] | None) -> Column
         return tx.ngrams(tokens, n, n)
 
     def bound(b: Column) -> Column:
-        return F.filter(F.transform(b["grams"], lambda g, i: F.when(F.get(b["ok"], i) & F.get(b["ok"], i + 1), g)),
-                        lambda g: g.isNotNull())
+        # Only the n-grams that stay are put together.
+        starts = F.filter(F.transform(b["ok"], lambda ok, i: F.when(ok & F.get(b["ok"], i + 1), i)), lambda i: i.isNotNull())
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(b["tokens"], i + k) for k in range(n)]))
 
     ok = F.transform(tx.ngrams(tokens, n - 1, n - 1), lambda g: g.isin(frequent) if frequent else F.lit(False))
-    return F.transform(F.array(F.struct(tx.ngrams(tokens, n, n).alias("grams"), ok.alias("ok"))), bound)[0]
+    return F.transform(F.array(F.struct(tokens.alias("tokens"), ok.alias("ok"))), bound)[0]
 
 
 def _counted(docs: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(term, df, total) of a list of terms per document, counted inside the rows first."""
-    terms = docs.select(key, F.transform(grams, lambda t: F.struct(t.alias("term"))).alias("_terms"))
-    return runs(terms, "_terms", "term", F.size, "tf").groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("total"))
+    """(term, df, total) of a list of terms per document: its distinct terms count for df, all of them for total.
+
+    Both go as plain rows into one hash aggregate with map-side reduction; nothing is sorted in the row.
+    """
+    lists = docs.select(grams.alias("_terms")).select(F.inline_outer(F.array(
+        F.struct(F.lit(0).alias("_d"), F.col("_terms").alias("_t")), F.struct(F.lit(1).alias("_d"), F.array_distinct("_terms").alias("_t")))))
+    return lists.select("_d", F.explode_outer("_t").alias("term")).filter("term IS NOT NULL").groupBy("term").agg(
+        F.sum("_d").cast("bigint").alias("df"), F.sum(1 - F.col("_d")).cast("bigint").alias("total"))
 
 
 def mine_vocabulary(docs: DataFrame, key: str, n_docs: DataFrame, low: int = 1, high: int = 3,

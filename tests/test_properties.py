@@ -155,6 +155,18 @@ def test_mined_vocabulary_is_that_of_all_terms(spark, monkeypatch):
         features.term_counts(docs, "k"), n, size=40).collect()]
 
 
+def test_terms_are_counted_without_a_sort(spark):
+    """Documents and occurrences of each term, also of empty and repeated documents; no list is sorted in its row."""
+    rng = random.Random(8)
+    rows = [(i % 7, rng.choices("abcdef", k=rng.randrange(0, 9))) for i in range(60)] + [(None, ["a", "a"]), (1, None)]
+    docs = spark.createDataFrame(rows, "k INT, tokens ARRAY<STRING>")
+    got = features._counted(docs, "k", F.col("tokens"))
+    lists = [r or [] for _, r in rows]
+    assert {tuple(r) for r in got.collect()} == {
+        (t, sum(t in r for r in lists), sum(r.count(t) for r in lists)) for t in "abcdef"}
+    assert "sort_array" not in got._jdf.queryExecution().toString()
+
+
 def test_ngrams_of_a_long_text(spark):
     """Linear in the words: 20,000 of them with a stop-word filter take seconds."""
     rows = spark.createDataFrame([(1, [f"word{i % 977}" for i in range(20_000)])], "k INT, tokens ARRAY<STRING>")
