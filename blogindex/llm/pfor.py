@@ -34,9 +34,14 @@ _DOC = pa.schema([("block", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.
                   ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Number of bits of each unsigned number."""
-    return np.frexp(values.astype(np.float64))[1]
+    """Number of bits of each unsigned 32-bit number."""
+    if not values.size or values.max() < len(_BITS):
+        return _BITS[values]
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def encode_ids(ids: np.ndarray, share: float = 0.95) -> tuple[np.ndarray, bytes]:

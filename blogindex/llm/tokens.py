@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 
@@ -20,6 +21,7 @@ _GROUP = 400
 # A run of precomposed Latin letters, then ASCII signs that start no contraction and no
 # special token: the tokenizer cuts between the two and lower-cases the first.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([-.,;:!?%&*$#|()\"/]*)")
+_SIGNS = b"-.,;:!?%&*$#|()\"/"
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -46,25 +48,35 @@ class WordEncoder:
         self.visible = _visible_bytes()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
-        self.older_runs: dict[str, bytes] = {}
+        self.runs: dict[bytes, bytes] = {b"": b""}
+        self.older_runs: dict[bytes, bytes] = {}
 
-    def _run(self, run: str) -> bytes:
+    def _run(self, run: bytes) -> bytes:
         found = self.runs.get(run)
-        if found is None and run in self.older_runs:
-            found = self.runs[run] = self.older_runs[run]
         if found is None:
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.visible)
-            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = self.older_runs.get(run)
+            if found is None:
+                shown = run.decode() if run.isascii() else run.decode("latin-1").translate(self.visible)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.runs[run] = found
         return found
 
     def _learn(self, new: list[bytes]) -> None:
-        known, rest = self.known, []
+        known, rest, runs = self.known, [], self.runs
         for w in new:
+            letters = w.rstrip(_SIGNS)
+            if letters.isalpha():  # ASCII letters only
+                run = letters.lower()
+                found = runs.get(run) or self._run(run)
+                if len(letters) < len(w):
+                    signs = w[len(letters):]
+                    found += runs.get(signs) or self._run(signs)
+                known[w] = found
+                continue
             text = w.decode("utf-8", "replace")
             plain = _PLAIN.fullmatch(text)
             if plain:
-                known[w] = self._run(plain[1].lower()) + self._run(plain[2])
+                known[w] = self._run(plain[1].lower().encode()) + self._run(plain[2].encode())
             elif self.mark in text:
                 known[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
@@ -86,27 +98,16 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
         if len(self.runs) > CACHED_RUNS:
-            self.runs, self.older_runs = {"": b""}, self.runs
+            self.runs, self.older_runs = {b"": b""}, self.runs
         known, older = self.known, self.older
-        found = [list(map(known.get, parts)) for parts in split]
-        out: list[bytes] = []
-        open_, new = [], set()
-        for i, ids in enumerate(found):
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # a word is not known
-                out.append(b"")
-                open_.append(i)
-                new.update([w for w, x in zip(split[i], ids) if x is None])
-        if open_:
+        new = set().union(*split).difference(known)
+        if new:
             again = new.intersection(older)
             known.update((w, older[w]) for w in again)
             new -= again
             if new:
                 self._learn(list(new))
-            for i in open_:
-                out[i] = b"".join([known[w] if x is None else x for w, x in zip(split[i], found[i])])
-        return out
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 @functools.lru_cache(maxsize=2)

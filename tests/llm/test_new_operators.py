@@ -250,3 +250,36 @@ def test_variants_awkward(spark):
     assert variants.spelling_variants(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         variants.spelling_variants(table, min_letters=3)
+
+
+def test_plain_ascii_words_need_no_pattern(monkeypatch):
+    """Letters with signs behind them are cut without decoding; the ids are those of the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from blogindex.llm import tokens
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = [b"Word", b"word,", b"a.b", b"...", b"x", b"(x)", "Stra\u00dfe.".encode(), b"don't", b"7th", b"end?!", b"\xff", b"END"]
+    seen, real = [], tokens._PLAIN
+
+    class Pattern:
+        def fullmatch(self, text):
+            seen.append(text)
+            return real.fullmatch(text)
+
+    monkeypatch.setattr(tokens, "_PLAIN", Pattern())
+    encoder = tokens.WordEncoder(path)
+    texts = [None, b"", b" ".join(plain), b" ".join(plain[::-1]) + b"\n"]
+    library = Tokenizer.from_file(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [
+            library.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+    assert not {"Word", "word,", "x", "end?!", "END"} & set(seen) and "7th" in seen
+
+
+def test_bits_of_small_and_large_numbers():
+    from blogindex.llm import pfor
+    values = np.array([0, 1, 2, 3, 255, 256, 65_535, 65_536, 2**32 - 1], np.uint32)
+    want = [int(v).bit_length() for v in values]
+    assert pfor._bits(values).tolist() == want and pfor._bits(values[:7]).tolist() == want[:7]
+    assert pfor._bits(values[:7]).dtype == np.uint8 and not pfor._bits(values[:0]).size
