@@ -34,6 +34,8 @@ WINDOW = 512
 # Bytes of text, and words, that share a dictionary; so few that their numbers take two bytes
 # each. A single text with more words has four bytes each.
 CHUNK_BYTES, CHUNK_WORDS = 8_000_000, 50_000
+# Chunks with together so many tokens are scored at once: their texts step through the recursion together.
+TOGETHER = 1 << 20
 # Expected counts are summed as whole numbers of this fraction, so that any order of adding gives the same model.
 _UNIT = 1 << 16
 _CHUNK = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
@@ -232,6 +234,24 @@ _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+def _together(rows: Iterator[tuple], lengths: int) -> Iterator[list[tuple]]:
+    """The rows in runs of about TOGETHER tokens; a longer row is a run of its own."""
+    run, size = [], 0
+    for row in rows:
+        run.append(row)
+        size += sum(row[lengths])
+        if size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for columns in text_rows(batches, 1):
+        yield tuple(c[0] for c in columns)
+
+
 def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text.
 
@@ -265,17 +285,24 @@ def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states:
 
     def run(batches):
         m, mass = shared.value
-        for ids, held, lengths, raw, c, k in text_rows(batches, 1):
-            sizes, c, own = np.array(lengths[0], np.int64), np.array(c[0], np.float64), np.frombuffer(k[0], np.uint16).astype(np.int64)
-            tokens = np.frombuffer(raw[0], _number_type(len(own)))
-            starts = np.cumsum(sizes) - sizes
-            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            inside = np.log10((c + 0.5) / mass[own])
-            yield rows_of({
-                "doc_id": ids[0], "held_out": held[0], "n_tokens": sizes,
-                "n_known": np.add.reduceat((c > 0).astype(np.int64)[tokens], starts), "train_tokens": np.full(len(sizes), n),
-                "base_score": np.add.reduceat(base[tokens], starts),
-                "score": np.add.reduceat(inside[tokens], starts) + log_likelihood(m, own[tokens], sizes)}, _SCORE)
+        for chunk in _together(_each(batches), 2):
+            sequences = []
+            for _, _, lengths, raw, _, k in chunk:
+                own = np.frombuffer(k, np.uint16).astype(np.int64)
+                sequences.append(own[np.frombuffer(raw, _number_type(len(own)))])
+            likely, at = log_likelihood(m, np.concatenate(sequences), np.concatenate([np.array(r[2], np.int64) for r in chunk])), 0
+            for ids, held, lengths, raw, c, k in chunk:
+                sizes, c, own = np.array(lengths, np.int64), np.array(c, np.float64), np.frombuffer(k, np.uint16)
+                tokens = np.frombuffer(raw, _number_type(len(own)))
+                starts = np.cumsum(sizes) - sizes
+                base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+                inside = np.log10((c + 0.5) / mass[own])
+                yield rows_of({
+                    "doc_id": ids, "held_out": held, "n_tokens": sizes,
+                    "n_known": np.add.reduceat((c > 0).astype(np.int64)[tokens], starts), "train_tokens": np.full(len(sizes), n),
+                    "base_score": np.add.reduceat(base[tokens], starts),
+                    "score": np.add.reduceat(inside[tokens], starts) + likely[at:at + len(sizes)]}, _SCORE)
+                at += len(sizes)
 
     return joined.select("ids", "held", "lengths", "tokens", "c", "classes").mapInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

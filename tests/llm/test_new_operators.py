@@ -283,3 +283,16 @@ def test_bits_of_small_and_large_numbers():
     want = [int(v).bit_length() for v in values]
     assert pfor._bits(values).tolist() == want and pfor._bits(values[:7]).tolist() == want[:7]
     assert pfor._bits(values[:7]).dtype == np.uint8 and not pfor._bits(values[:0]).size
+
+
+def test_chunks_step_together(monkeypatch):
+    """Small chunks are joined up to a bound, in order, and give the probabilities of each alone."""
+    from blogindex.llm import hmm
+    rows = [(i, [n] * 3) for i, n in enumerate((2, 4, 1, 50, 3, 1))]
+    monkeypatch.setattr(hmm, "TOGETHER", 18)
+    assert [[r[0] for r in run] for run in hmm._together(iter(rows), 1)] == [[0, 1], [2, 3], [4, 5]]
+    rng = np.random.default_rng(3)
+    model = hmm.first_model(np.full(20, 0.05), 4)
+    parts = [(rng.integers(0, 20, sum(n)), np.array(n)) for _, n in rows]
+    joined = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    assert np.allclose(hmm.log_likelihood(model, *joined), np.concatenate([hmm.log_likelihood(model, *p) for p in parts]), rtol=1e-12)
