@@ -11,12 +11,13 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
-from blogindex.llm.common import words
+from blogindex.llm.common import coded_words
 
 # Words and runs of a generation kept per worker. Two generations are held; when the younger
 # is full, the older is dropped, so words in use stay.
-CACHED_WORDS, CACHED_RUNS = 220_000, 80_000
+CACHED_WORDS, CACHED_RUNS = 160_000, 80_000
 _GROUP = 400
 # A run of precomposed Latin letters, then ASCII signs that start no contraction and no
 # special token: the tokenizer cuts between the two and lower-cases the first.
@@ -93,21 +94,24 @@ class WordEncoder:
                 known[word] = raw[low:high]
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text; the words that are new to the worker are learned together."""
-        split = [words(t, lower=False) for t in texts]
+        """The ids of each text; a distinct word of them is looked up once, and new ones are learned together."""
+        distinct, numbers, ends = coded_words(texts, lower=False)
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
         if len(self.runs) > CACHED_RUNS:
             self.runs, self.older_runs = {b"": b""}, self.runs
         known, older = self.known, self.older
-        new = set().union(*split).difference(known)
+        new = [w for w in distinct if w not in known]
         if new:
-            again = new.intersection(older)
-            known.update((w, older[w]) for w in again)
-            new -= again
+            known.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
             if new:
-                self._learn(list(new))
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+                self._learn(new)
+        joined = pa.array([known[w] for w in distinct], pa.large_binary()).take(pa.array(numbers))
+        _, starts, data = joined.buffers()
+        at = np.frombuffer(starts, np.int64)[ends].tolist() if len(numbers) else [0] * len(ends)
+        raw = data.to_pybytes() if data else b""
+        return [raw[low:high] for low, high in zip([0, *at], at)]
 
 
 @functools.lru_cache(maxsize=2)
