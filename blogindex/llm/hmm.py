@@ -10,7 +10,6 @@ never broadcast.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from blogindex.llm.common import as_bytes, drop_stored, fold, rows_of, stored, text_rows, words
+from blogindex.llm.common import as_bytes, coded_words, drop_stored, fold, rows_of, stored, text_rows
 from blogindex.session import exists, new_work_dir
 
 STATES, CLASSES, ROUNDS = 8, 1 << 14, 5
@@ -31,9 +30,9 @@ SMOOTHING = 1000.0
 END = b" "
 # Training texts are cut into windows of so many tokens for the expectation step.
 WINDOW = 512
-# Bytes of text, and words, that share a dictionary; so few that their numbers take two bytes
-# each. A single text with more words has four bytes each.
-CHUNK_BYTES, CHUNK_WORDS = 8_000_000, 50_000
+# Bytes of text, and words, that share a dictionary: the more text, the fewer words are counted
+# and told their counts anew for each chunk. Numbers of more than 65,536 words take four bytes each.
+CHUNK_BYTES, CHUNK_WORDS = 16_000_000, 300_000
 # Chunks with together so many tokens are scored at once: their texts step through the recursion together.
 TOGETHER = 1 << 20
 # Expected counts are summed as whole numbers of this fraction, so that any order of adding gives the same model.
@@ -75,35 +74,32 @@ def chunked(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         known: dict[bytes, int] = {END: 0}
-        ids, held, lengths, tokens, size = [], [], [], array("I"), 0
+        ids, held, lengths, tokens, size = [], [], [], [], 0
 
         def close():
-            at = np.frombuffer(tokens, np.uint32)
-            train = np.repeat(~np.array(held, bool), lengths)
+            at, counts = np.concatenate(tokens), np.concatenate(lengths)
+            train = np.repeat(~np.array(held, bool), counts)
             name = (part << 32) + number
             classes = np.array([word_class(w) for w in known], np.uint16).tobytes()
             return rows_of({
                 "kind": ["texts", "words"], "chunk": [name, name], "words": [None, list(known)], "classes": [classes, None],
                 "times": [None, np.bincount(at[train], minlength=len(known))], "ids": [ids, None], "held": [held, None],
-                "lengths": [lengths, None], "tokens": [at.astype(_number_type(len(known))).tobytes(), None]}, _CHUNK)
-
-        for names, texts, out in text_rows(batches):
-            for name, text, is_held in zip(names, texts, out):
-                line = words(text)
-                for w in set(line):
-                    if w not in known:
-                        known[w] = len(known)
-                tokens.extend([known[w] for w in line])
-                tokens.append(0)
-                ids.append(name)
-                held.append(is_held)
-                lengths.append(len(line) + 1)
-                size += len(text or b"")
-                if size >= CHUNK_BYTES or len(known) >= CHUNK_WORDS:
-                    yield close()
-                    number += 1
-                    known = {END: 0}
-                    ids, held, lengths, tokens, size = [], [], [], array("I"), 0
+                "lengths": [counts, None], "tokens": [at.astype(_number_type(len(known))).tobytes(), None]}, _CHUNK)
+
+        for names, texts, out in text_rows(batches, 100):
+            distinct, at, ends = coded_words(texts)
+            numbers = np.array([known.setdefault(w, len(known)) for w in distinct], np.uint32)
+            # Every text ends with the end token, of number 0.
+            tokens.append(np.insert(numbers[at], ends, 0))
+            lengths.append(np.diff(ends, prepend=0).astype(np.int32) + 1)
+            ids += names
+            held += out
+            size += sum(len(t) for t in texts if t)
+            if size >= CHUNK_BYTES or len(known) >= CHUNK_WORDS:
+                yield close()
+                number += 1
+                known = {END: 0}
+                ids, held, lengths, tokens, size = [], [], [], [], 0
         if ids:
             yield close()
 
@@ -266,9 +262,9 @@ def language_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, states:
     words_ = vocabulary.select("chunk", F.posexplode(F.arrays_zip("words", "times")).alias("at", "_w")) \
         .select("chunk", "at", F.col("_w.words").alias("word"), F.col("_w.times").alias("n"))
     same = Window.partitionBy("word")
-    # The first row of a word tells its class that it is there, if the training texts hold it.
-    summed = words_.withColumns({"c": F.sum("n").over(same), "_first": F.row_number().over(same.orderBy("chunk"))}).select(
-        "chunk", "at", "c", F.when((F.col("_first") == 1) & (F.col("c") > 0), _class_column(F.col("word"))).alias("kind"))
+    # A word is in a chunk once; its first chunk tells its class that it is there, if the training texts hold it.
+    summed = words_.withColumns({"c": F.sum("n").over(same), "_first": F.min("chunk").over(same)}).select(
+        "chunk", "at", "c", F.when((F.col("_first") == F.col("chunk")) & (F.col("c") > 0), _class_column(F.col("word"))).alias("kind"))
     placed = stored(summed, "placed")
     drop_stored(vocabulary)
     classes = placed.filter("kind IS NOT NULL").groupBy("kind").agg(
